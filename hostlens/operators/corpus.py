@@ -23,11 +23,10 @@ def feed_order() -> list[Column]:
     return [
         F.col("collected_at").asc(),
         F.col("label").desc(),
-        F.col("source").asc(),
-        F.col("source_rank").asc_nulls_last(),
-        F.col("original_value").asc(),
-        F.col("source_record_id").asc(),
-        F.col("source_target").asc(),
+        *[
+            F.col(c).asc_nulls_last()
+            for c in ("source", "source_rank", "original_value", "source_record_id", "source_target")
+        ],
     ]
 
 
