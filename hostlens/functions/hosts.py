@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hostlens import fixed_values as V
-from hostlens.functions.text import WHITESPACE, WHITESPACE_CLASS, col
+from hostlens.functions.text import WHITESPACE_CLASS, col, strip, strip_dots
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IPV4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
@@ -42,14 +42,19 @@ def is_ip(host: Column | str) -> Column:
 
 def canonical_host(value: Column | str) -> Column:
     """Lower-case ASCII host without outer dots, or null when there is none."""
-    h = F.btrim(F.lower(F.btrim(col(value), F.lit(WHITESPACE))), F.lit("."))
-    usable = ~h.isin(*V.EMPTY_LITERALS) & ~h.rlike(WHITESPACE_CLASS)
-    # Empty or over-long labels cannot be encoded for DNS.
-    ascii_host = F.when(~h.rlike(r"\.\.|[^.]{64}"), h)
+    h = strip_dots(F.lower(strip(col(value))))
+    # Empty or over-long labels cannot be encoded for DNS; short hosts skip the label regex.
+    bad_label = F.contains(h, F.lit("..")) | ((F.length(h) > 63) & h.rlike("[^.]{64}"))
+    ascii_host = F.when(~bad_label, h)
     # IDNA only for the rare non-ASCII host; the call is lazy inside `when`.
-    encoded = F.when(h.rlike(r"[^\x00-\x7F]"), F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), h))
-    host = F.when(h.rlike(r"[^\x00-\x7F]"), F.lower(F.btrim(encoded, F.lit(".")))).otherwise(ascii_host)
-    return F.when(usable, F.nullif(host, F.lit("")))
+    encoded = F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), h)
+    host = (
+        F.when(h.rlike(r"^[!-~]+\z"), ascii_host)  # nearly every host: printable ASCII
+        .when(h.rlike(WHITESPACE_CLASS), F.lit(None))
+        .when(h.rlike(r"[^\x00-\x7F]"), F.lower(strip_dots(encoded)))
+        .otherwise(ascii_host)
+    )
+    return F.when(~h.isin(*V.EMPTY_LITERALS), F.nullif(host, F.lit("")))
 
 
 def is_valid_host(host: Column | str) -> Column:

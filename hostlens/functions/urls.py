@@ -29,7 +29,9 @@ def _lookalike_delimiters() -> str:
 
 def tidy(value: Column | str) -> Column:
     """Drop leading control characters and any tab or line break inside."""
-    return F.translate(F.ltrim(col(value), F.lit(CONTROL_AND_SPACE)), "\t\r\n", "")
+    text = col(value)
+    front = F.when(text.rlike(r"^[\x00-\x20]"), F.ltrim(text, F.lit(CONTROL_AND_SPACE))).otherwise(text)
+    return F.when(front.rlike(r"[\t\r\n]"), F.translate(front, "\t\r\n", "")).otherwise(front)
 
 
 def scheme_of(tidied: Column) -> Column:
@@ -94,7 +96,9 @@ def query_pairs(query: Column) -> Column:
     """Decoded, filtered and sorted (key, value) pairs of a raw query string."""
 
     def decode(text: Column) -> Column:
-        return F.try_url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))
+        escaped = F.contains(text, F.lit("%")) | F.contains(text, F.lit("+"))
+        plain = F.try_url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))
+        return F.when(escaped, plain).otherwise(text)
 
     pieces = F.filter(F.split(query, "&"), lambda p: p != "")
     pairs = F.transform(
