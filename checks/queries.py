@@ -284,7 +284,7 @@ _PRIORITY = "CASE {0} WHEN 'banking_payment' THEN 'critical' WHEN 'crypto_wallet
     SELECT doc_id, category, {_PRIORITY.format('category')} AS priority FROM c"""
 )
 def category_of_text(t: Tables) -> DataFrame:
-    named = t.raw("documents").select("doc_id", rules.category("text").alias("category"))
+    named = t.spread("documents").select("doc_id", rules.category("text").alias("category"))
     return named.withColumn("priority", rules.priority("category"))
 
 

@@ -11,6 +11,7 @@ from hostlens.functions.rules import risk_level
 from hostlens.operators import corpus, extract
 from hostlens.operators.parse import parse_records
 from hostlens.schemas import NORMALIZED, align
+from hostlens.session import spread
 
 SPAM_HOSTS = "spam-farm|cheap-pills|casino-win|free-bets|adult-x|ads-track"
 HOST_IN_URL = "://([^/?#]+)"
@@ -25,13 +26,16 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        return spread(self.raw(name))
+
     def stream(self, name: str) -> DataFrame:
         schema = self.raw(name).schema
         return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
 
     @cached_property
     def pages(self) -> DataFrame:
-        return labelled_pages(self.raw("pages"))
+        return labelled_pages(self.spread("pages"))
 
     @cached_property
     def hosts(self) -> DataFrame:
@@ -80,7 +84,7 @@ class Tables:
 
     @cached_property
     def requests(self) -> DataFrame:
-        return event_requests(self.raw("events"))
+        return event_requests(self.spread("events"))
 
     @cached_property
     def parsed_requests(self) -> DataFrame:

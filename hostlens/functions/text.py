@@ -52,8 +52,11 @@ def parts_count(text: Column, sep_regex: str) -> Column:
 
 
 def contains_any(text: Column, words) -> Column:
-    """One regex alternation instead of a chain of `contains`."""
-    return text.rlike("|".join(_quote(w) for w in words))
+    """Plain substring tests, stopping at the first hit; faster than one regex alternation."""
+    hit = F.contains(text, F.lit(words[0]))
+    for w in words[1:]:
+        hit = hit | F.contains(text, F.lit(w))
+    return hit
 
 
 def count_present(text: Column, words) -> Column:
@@ -64,10 +67,6 @@ def count_present(text: Column, words) -> Column:
     return total
 
 
-def _quote(word: str) -> str:
-    return "".join("\\" + ch if not ch.isalnum() else ch for ch in word)
-
-
 def char_runs(text: Column) -> Column:
     """The characters of the text, sorted and cut into runs of equal ones.
 

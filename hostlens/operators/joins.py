@@ -23,6 +23,15 @@ def measured(small: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> tuple[DataFra
     return small.sparkSession.createDataFrame(rows, schema=small.schema), True
 
 
+def settled(df: DataFrame, keep: list[str], names: list[str]) -> DataFrame:
+    """Fix computed columns as the output of a one-row generator.
+
+    A filter or join on such a column would otherwise be rewritten in terms of the raw input:
+    the whole computation is repeated in the filter, and planning time grows with every step.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*names))))
+
+
 def lookup_join(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame:
     """Join with a summary table: broadcast when measured small, else a shuffled join (AQE splits skew)."""
     side, fits = measured(small, max_rows)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hostlens import fixed_values as V
 from hostlens.functions import hosts, urls
 from hostlens.functions.text import after_first, clean_text
+from hostlens.operators.joins import settled
 from hostlens.schemas import PARSED_FIELDS
 from hostlens.sources.suffix_rules import EXCEPTION, PLAIN, WILDCARD, SuffixRules, load_suffix_rules
 
@@ -113,7 +114,7 @@ def parse_records(
     )
     work = work.withColumn("__host", hosts.canonical_host("__raw_host"))
     work = work.withColumn("__reason", _reason())
-    work = settled(work, keep, ["is_url", "scheme", "path", "query", "fragment", "port", "host", "reason"])
+    work = settled(work, keep, [f"__{n}" for n in ("is_url", "scheme", "path", "query", "fragment", "port", "host", "reason")])
     work = work.withColumns(
         {
             "parse_ok": F.col("__reason") == "",
@@ -150,16 +151,6 @@ def parse_records(
     )
 
 
-def settled(df: DataFrame, keep: list[str], names: list[str]) -> DataFrame:
-    """Fix computed columns as the output of a one-row generator.
-
-    A filter on `parse_ok` or a join on a host would otherwise be rewritten in terms of the raw
-    text, repeating the whole split in the filter and growing the plan with every step.
-    """
-    struct = F.struct(*[F.col(f"__{n}") for n in names])
-    return df.select(*keep, F.inline(F.array(struct)))
-
-
 def _reason() -> Column:
     """First reason that applies, or empty text."""
     v, is_url, host = F.col("__v"), F.col("__is_url"), F.col("__host")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -48,7 +47,7 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = os.environ.get("HOSTLENS_LOCAL_SCRATCH") or tempfile.mkdtemp(prefix="hostlens-")
+    folder = tempfile.mkdtemp(prefix="hostlens-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
@@ -66,3 +65,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan of few splits (small or unsplittable files) over the cores.
+
+    Parsing costs far more than reading.  A scan that already has as many partitions as the
+    cluster has cores, as any large splittable table does, is left alone: no shuffle is added.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -16,6 +16,7 @@ from hostlens.functions.dates import date_from_file_name
 from hostlens.functions.text import clean_text
 from hostlens.operators.corpus import iso_day
 from hostlens.schemas import NEWS_ROW, NORMALIZED, PHISH_ENTRY, align
+from hostlens.session import spread
 
 
 def _shape(df: DataFrame, **columns: Column) -> DataFrame:
@@ -128,7 +129,8 @@ def scan_feed(
     day = F.lit(fixed) if fixed else F.col("__day")
 
     def dated(df: DataFrame) -> DataFrame:
-        return _dated(df.select("*", name), start, end)
+        # One compressed or multi-line file is one split; it is spread before any parsing.
+        return spread(_dated(df.select("*", name), start, end))
 
     if source == "openphish":
         return shape_url_lines(dated(spark.read.text(patterns)), "value", day, source)
