@@ -15,7 +15,7 @@ from hostlens.functions.dates import first_date, looks_recent
 from hostlens.functions.urls import query_pairs
 from hostlens.operators import corpus, dedup, evaluation, extract, features, metrics, models, reports, sampling, scoring, seeds
 from hostlens.operators.parse import invalid_reasons, parse_records
-from hostlens.session import fresh_path
+from hostlens.session import fresh_path, materialize
 from hostlens.sources import feeds
 from hostlens.streaming import flows
 
@@ -129,7 +129,7 @@ _CLEAN_COLS = "original_value, label, source, collected_at, record_type, hostnam
 
 @query(_with(S.CLEAN, f"SELECT {_CLEAN_COLS} FROM kept"))
 def overlap_removed(t: Tables) -> DataFrame:
-    valid = t.parsed.where("parse_ok").drop("parse_ok", "invalid_reason")
+    valid = t.parsed_stage.where("parse_ok").drop("parse_ok", "invalid_reason")
     return corpus.remove_overlap(valid).select(*_CLEAN_COLS.split(", "))
 
 
@@ -189,7 +189,7 @@ def url_dataset(t: Tables) -> DataFrame:
     )
 )
 def stage_stats(t: Tables) -> DataFrame:
-    return corpus.clean_stats(t.parsed)
+    return corpus.clean_stats(t.parsed_stage)
 
 
 @query(
@@ -686,7 +686,7 @@ def _internal(t: Tables) -> DataFrame:
         F.regexp_extract("url", "://([^/?#]+)", 1).alias("seed_id"), F.lit("homepage").alias("discovery_method"),
         (F.col("page_id") * 100000 + F.col("position")).alias("position"), "link", F.lit("url").alias("record_type"),
     )
-    return seeds.internal_pages(parse_records(found, "link"), _site_seeds(t))
+    return materialize(seeds.internal_pages(parse_records(found, "link"), _site_seeds(t)), "internal")
 
 
 @query(_with(_FOUND, "SELECT seed_id, canonical_url, canonical_hostname, registered_domain, position FROM internal"))

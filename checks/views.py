@@ -11,7 +11,7 @@ from hostlens.functions.rules import risk_level
 from hostlens.operators import corpus, extract
 from hostlens.operators.parse import parse_records
 from hostlens.schemas import NORMALIZED, align
-from hostlens.session import spread
+from hostlens.session import materialize, spread
 
 SPAM_HOSTS = "spam-farm|cheap-pills|casino-win|free-bets|adult-x|ads-track"
 HOST_IN_URL = "://([^/?#]+)"
@@ -71,9 +71,14 @@ class Tables:
     def parsed(self) -> DataFrame:
         return corpus.parse_normalized(self.records)
 
+    @cached_property
+    def parsed_stage(self) -> DataFrame:
+        """The parsed stage as written, as the batch flow uses it: parsed once, read by every branch."""
+        return materialize(self.parsed, "parsed")
+
     @cached_property
     def clean(self) -> DataFrame:
-        return corpus.clean(self.parsed)
+        return corpus.clean(self.parsed_stage)
 
     @cached_property
     def addon(self) -> DataFrame:

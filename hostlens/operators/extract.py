@@ -11,7 +11,7 @@ from hostlens.functions.dates import first_date, looks_recent
 from hostlens.functions.text import WHITESPACE, contains_any, count_present
 from hostlens.functions.urls import resolve_reference
 from hostlens.operators.dedup import keep_first
-from hostlens.operators.joins import lookup_join, measured
+from hostlens.operators.joins import lookup_join, measured, settled
 from hostlens.operators.parse import parse_records
 from hostlens.sources.suffix_rules import SuffixRules
 
@@ -47,7 +47,8 @@ def extract_links(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
     rest = [c for c in pages.columns if c != html]
     links = pages.select(*rest, F.posexplode(page_links(F.col(html))).alias("position", "href"))
     trimmed = F.btrim(F.col("href"), F.lit(WHITESPACE))
-    return links.withColumn("link", resolve_reference(F.col(url), trimmed))
+    resolved = links.withColumn("link", resolve_reference(F.col(url), trimmed))
+    return settled(resolved, rest, ["position", "href", "link"])
 
 
 def robots_sitemaps(docs: DataFrame, body: str = "body") -> DataFrame:
@@ -152,8 +153,9 @@ def allowed_news(df: DataFrame, url: str, publishers: DataFrame, rules: SuffixRu
 
     `publishers`: publisher, publisher_base_url.  The cheap text tests run before the parse.
     """
-    low = F.lower(F.col(url))
-    kept = df.where(low.rlike(r"^https?:") & ~contains_any(low, V.NEWS_BLOCKED_TOKENS))
+    lowered = settled(df.withColumn("__low", F.lower(F.col(url))), df.columns, ["__low"])
+    low = F.col("__low")
+    kept = lowered.where(low.rlike(r"^https?:") & ~contains_any(low, V.NEWS_BLOCKED_TOKENS)).drop("__low")
     parsed = parse_records(kept.withColumn("record_type", F.lit("url")), url, rules=rules)
     path = F.lower("path")
     tail = "(" + "|".join(e.replace(".", r"\.") for e in V.NEWS_BLOCKED_ENDINGS) + r")\z"

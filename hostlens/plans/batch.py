@@ -73,7 +73,8 @@ def validate(seed: DataFrame, scorers: dict, out: str, run_ts: str) -> dict[str,
 def phishing_seed(spark: SparkSession, snapshot_dir: str, out: str, max_pairs: int = 15, max_per_category: int = 4) -> DataFrame:
     lines = feeds.latest_snapshot(spark, snapshot_dir)
     parsed = parse_records(lines.withColumn("record_type", F.lit("url")), "value")
-    name = lines.select("snapshot").first()[0]
+    first = lines.select("snapshot").first()
+    name = first[0] if first else "(empty)"
     picked = seeds.round_robin(seeds.seed_candidates(parsed, [F.col("position")]), max_pairs, max_per_category)
     rows = seeds.seed_rows(picked, name)
     sinks.write_table_csv(rows, out)

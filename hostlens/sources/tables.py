@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from hostlens.schemas import EVENT, SITE_SEED, VALIDATION_SEED, require_columns
 
+MAX_ADDON_FILES = 1_000  # hand-made files, each with its own header
+
 
 def scan_stage(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
@@ -35,7 +37,10 @@ def scan_addon_dir(spark: SparkSession, folder: str) -> DataFrame:
     listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path")
     wanted = ["input_value", "source", "collected_at"]
     out = None
-    for row in listing.orderBy("path").limit(10_000).collect():
+    files = listing.orderBy("path").limit(MAX_ADDON_FILES + 1).collect()
+    if len(files) > MAX_ADDON_FILES:
+        raise ValueError(f"more than {MAX_ADDON_FILES} addon files in {folder}; merge them first")
+    for row in files:
         df = _csv(spark, row["path"])
         if "input_value" not in df.columns:
             continue
