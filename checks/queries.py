@@ -354,9 +354,9 @@ lines AS (SELECT CAST(l_orderkey AS VARCHAR) || '/' || l_linenumber || '/' || l_
   CAST(l_returnflag = 'R' AS INTEGER) AS label, l_extendedprice AS score, strftime(l_shipdate, '%Y') AS collected_at FROM lineitem)"""
 
 
-def _lines(t: Tables) -> DataFrame:
+def _lines(t: Tables, lines: DataFrame | None = None) -> DataFrame:
     key = F.concat_ws("/", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], F.col("l_quantity").cast("int").cast("string"))
-    return t.raw("lineitem").select(
+    return (t.raw("lineitem") if lines is None else lines).select(
         key.alias("k"), (F.col("l_returnflag") == "R").cast("int").alias("label"), F.col("l_extendedprice").alias("score"),
         F.date_format(F.to_date("l_shipdate"), "yyyy").alias("collected_at"),
     )
@@ -371,7 +371,7 @@ def _lines(t: Tables) -> DataFrame:
     )
 )
 def undersample_lines(t: Tables) -> DataFrame:
-    return sampling.undersample_per_date(_lines(t), "k").select("k", "label", "collected_at")
+    return sampling.undersample_per_date(_lines(t, t.spread("lineitem")), "k").select("k", "label", "collected_at")
 
 
 _SIZES = """days AS (SELECT collected_at, row_number() OVER (ORDER BY collected_at) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT collected_at FROM labelled)),

@@ -48,7 +48,8 @@ def host_conflicts(rows: DataFrame) -> DataFrame:
     A shared canonical URL implies a shared host, so this one test on hosts also covers the test
     on URLs.  One aggregate with map-side combine; a hot host costs one row per map task.
     """
-    return rows.groupBy("canonical_hostname").agg(
+    # The join adds this null test to one of its two readers; stated here, both share one shuffle.
+    return rows.where(F.col("canonical_hostname").isNotNull()).groupBy("canonical_hostname").agg(
         F.count("*").alias("n"),
         ((F.max(F.col("label") == 1)) & (F.max(F.col("label") == 0))).alias("marked"),
     )

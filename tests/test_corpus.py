@@ -111,3 +111,10 @@ def test_group_limit_before_shuffle(spark):
     parsed = corpus.parse_normalized(rows_of(spark, random_rows(20, 1)))
     plan = corpus.clean(parsed)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_host_statistics_are_shuffled_once(spark, tmp_path):
+    corpus.parse_normalized(rows_of(spark, random_rows(200, 2))).write.parquet(f"{tmp_path}/parsed")
+    out = corpus.class_distribution(corpus.clean(spark.read.parquet(f"{tmp_path}/parsed")))
+    out.collect()
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()

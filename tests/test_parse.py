@@ -76,7 +76,7 @@ PARTS = {
     # host: (subdomain, domain, suffix, registered domain)
     "a.b.co.uk": ("a", "b", "co.uk", "b.co.uk"),
     "x.vercel.app": ("x", "vercel", "app", "vercel.app"),
-    "www.hutech.edu.vn": ("www", "hutech", "edu.vn", "hutech.edu.vn"),
+    "www.school.edu.vn": ("www", "school", "edu.vn", "school.edu.vn"),
     "a.b.unknowntld": ("a.b", "unknowntld", "", "unknowntld"),
     "co.uk": ("", "", "co.uk", "co.uk"),
     "foo.kawasaki.jp": ("", "", "foo.kawasaki.jp", "foo.kawasaki.jp"),
