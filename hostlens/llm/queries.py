@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlens.llm import bpe, packing, topk
+from hostlens.llm import bpe, packing, quality_rules, topk
 from hostlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,42 @@ WITH v AS (
 ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+
+@query
+def op9_risk_controlled_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
+
+
+_RULES = [(rule, i, c) for rule, grid in quality_rules.GRID.items() for i, c in enumerate(grid)]
+ORACLES["op9_risk_controlled_rules"] = f"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS l FROM documents
+), g AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) >= 8),
+h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 7], ' ')) AS times FROM g),
+r AS (SELECT doc_id, sum(step) AS n FROM (SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS step FROM h WHERE times > 1) GROUP BY 1),
+c AS (
+  SELECT t.doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+    CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+  FROM t LEFT JOIN r USING (doc_id)
+), f AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    coalesce(n_symbols / nullif(word_chars, 0), 0) AS symbol_share, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_share,
+    coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeat_share, coalesce(word_chars / nullif(n_words, 0), 0) AS word_length FROM c
+), m AS (SELECT f.*, y.good FROM f JOIN (SELECT doc_id, max(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY 1) y USING (doc_id) WHERE NOT base_failed),
+x AS ({" UNION ALL ".join(f"SELECT stratum, '{r}' AS rule, {i} AS step, CAST({c} AS DOUBLE) AS cutoff, count(*) FILTER (good = 1) AS n, count(*) FILTER (good = 1 AND {r} > {c}) AS k, count(*) FILTER (good = 0 AND {r} > {c}) AS caught FROM m GROUP BY 1" for r, i, c in _RULES)}),
+p AS (
+  SELECT *, CASE WHEN k >= n * {quality_rules.RISK / len(quality_rules.GRID)} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda j:
+    exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({quality_rules.RISK / len(quality_rules.GRID)}) + (n - j) * ln(1 - {quality_rules.RISK / len(quality_rules.GRID)})))) END AS p FROM x
+), s AS (SELECT *, max(p) OVER (PARTITION BY stratum, rule ORDER BY step) AS worst FROM p),
+o AS (
+  SELECT stratum, rule, cutoff FROM s WHERE worst <= {quality_rules.ERROR} / ((SELECT count(DISTINCT stratum) FROM m) * {len(quality_rules.GRID)})
+  QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY caught - k DESC, step) = 1
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({" OR ".join(f"coalesce({r} > (SELECT cutoff FROM o WHERE o.stratum = f.stratum AND o.rule = '{r}'), false)" for r in quality_rules.GRID)}) AS kept
+FROM f
+"""
