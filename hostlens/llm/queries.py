@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlens.llm import bpe, packing, quality_rules, topk
+from hostlens.llm import bpe, crf_quality, packing, quality_rules, topk
 from hostlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,12 @@ o AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({" OR ".join(f"coalesce({r} > (SELECT cutoff FROM o WHERE o.stratum = f.stratum AND o.rule = '{r}'), false)" for r in quality_rules.GRID)}) AS kept
 FROM f
 """
+
+
+@query
+def op10_crf_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = crf_quality.score(docs, crf_quality.train(docs, table(spark, folder, "labels")))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    predicted = (F.col("score") >= crf_quality.THRESHOLD).cast("int")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
