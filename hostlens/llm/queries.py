@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlens.llm import bpe, crf_quality, packing, quality_rules, topk
+from hostlens.llm import bpe, crf_quality, jaccard_join, packing, quality_rules, topk
 from hostlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,8 @@ def op10_crf_quality(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     predicted = (F.col("score") >= crf_quality.THRESHOLD).cast("int")
     return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query
+def op2_multi_order_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.similar(table(spark, folder, "documents"), 4, 85).select("doc_id", "n_shingles", "component_id")
