@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlens.llm import bpe, crf_quality, jaccard_join, packing, quality_rules, topk
+from hostlens.llm import bpe, crf_quality, jaccard_join, packing, quality_rules, suffix_dedup, topk
 from hostlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,9 @@ def op10_crf_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_multi_order_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.similar(table(spark, folder, "documents"), 4, 85).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op5_merged_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    left = suffix_dedup.strip(table(spark, folder, "documents"))
+    return left.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
