@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlens.llm import bpe, crf_quality, jaccard_join, packing, quality_rules, suffix_dedup, topk
+from hostlens.llm import bpe, crf_quality, jaccard_join, packing, quality_rules, suffix_dedup, topk, warc
 from hostlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,9 @@ def op2_multi_order_join(spark: SparkSession, folder: str) -> DataFrame:
 def op5_merged_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     left = suffix_dedup.strip(table(spark, folder, "documents"))
     return left.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op3_chunked_warc(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc.round_trip(table(spark, folder, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "whole")
