@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlens.llm import bpe, crf_quality, jaccard_join, packing, quality_rules, suffix_dedup, topk, warc
+from hostlens.llm import bpe, crf_quality, html_text, jaccard_join, packing, quality_rules, suffix_dedup, topk, warc
 from hostlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,8 @@ def op5_merged_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op3_chunked_warc(spark: SparkSession, folder: str) -> DataFrame:
     found = warc.round_trip(table(spark, folder, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "whole")
+
+
+@query
+def op4_line_block_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
