@@ -45,7 +45,7 @@ _PARTS = _ASIDES | frozenset(
     "newsletter subscribe subscription signup login share sharing social related recommended pagination pager toolbar toc skip".split()
 )
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S
+    r"<!--.*?-->|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?![\w-])\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -91,7 +91,8 @@ def lines(page: str) -> Iterator[tuple[str, bool, bool, int]]:
         if link:
             linked += len(" ".join(html.unescape(text).split()))
 
-    while found := _TOKEN.search(page, at):
+    last = page.rfind(">") + 1  # no tag ends beyond
+    while found := _TOKEN.search(page, at, last):
         if found.start() > at:
             take(page[at : found.start()])
         at = found.end()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlens.llm import bpe, crf_quality, html_text, jaccard_join, packing, quality_rules, suffix_dedup, topk, warc
+from hostlens.llm import bpe, crf_quality, html_text, jaccard_join, license_scan, packing, quality_rules, suffix_dedup, topk, warc
 from hostlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,8 @@ def op3_chunked_warc(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_line_block_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages"))
+
+
+@query
+def op6_fuzzy_notices(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.summary(license_scan.scan(table(spark, folder, "documents")))
