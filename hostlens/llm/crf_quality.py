@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hostlens.llm.common import batches
 
@@ -245,6 +246,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more, with their columns as they are (whatever their names)."""
     nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text").cast("string").alias("text"))
-    kind = nested.schema.add("score", "double")
+    kind = T.StructType([*nested.schema.fields, T.StructField("score", T.DoubleType())])
     scored = nested.mapInArrow(_scorer(model, lambda b: b.column("text")), kind)
     return scored.where(F.col("score") >= threshold).select("doc.*")

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from hostlens.llm import bpe, crf_quality, html_text, jaccard_join, license_scan, packing, quality_rules, suffix_dedup, topk, warc
 from hostlens.llm.common import table
 
@@ -121,3 +122,9 @@ def op4_line_block_text(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_fuzzy_notices(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.summary(license_scan.scan(table(spark, folder, "documents")))
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces that the whole pipeline packs."""
+    return corpus_pipeline.run(spark, folder)
