@@ -39,8 +39,8 @@ GRAM = 128
 SYMBOL = 80
 _BATCH_BYTES = 4 << 20
 _RANGE = 1 << 18
-_BIN_BYTES = 2 << 20
-_SHARD_BYTES = 1 << 20
+_BIN_BYTES = 1 << 20
+_SHARD_BYTES = 1 << 19
 _ENTRIES_PER_BUCKET = 1_000_000
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _STEP = mix(np.arange(5000, 5016, dtype=np.uint64)) | np.uint64(1)
@@ -258,7 +258,7 @@ class Transform:
         chain = [places]
         for _ in range(rounds - 1):
             chain.append(onward[chain[-1]])
-        order = np.arange(len(places))
+        order = np.arange(len(places), dtype=np.int32)
         for step in reversed(chain):
             order = order[np.argsort(symbols[step[order]], kind="stable")]
         differs = np.zeros(len(places), bool)
@@ -270,7 +270,7 @@ class Transform:
     def merged(self, other: Transform, rounds: int) -> Transform:
         """Interleaved with another transform over the same symbols by ``rounds`` refinements."""
         side = np.r_[np.zeros(len(self.at), bool), np.ones(len(other.at), bool)]
-        block = np.zeros(len(side), np.int64)
+        block = np.zeros(len(side), np.int32)
         for _ in range(rounds):
             before = np.empty(len(side), self.before.dtype)
             before[~side], before[side] = self.before, other.before
@@ -278,7 +278,7 @@ class Transform:
             s, source = before[order], block[order]
             side = side[order]
             differs = np.r_[False, (s[1:] != s[:-1]) | ((source[1:] != source[:-1]) & (s[1:] != 0))]
-            block = np.cumsum(differs)
+            block = np.cumsum(differs, dtype=np.int32)
         at, before = np.empty(len(side), self.at.dtype), np.empty(len(side), self.before.dtype)
         at[~side], at[side] = self.at, other.at
         before[~side], before[side] = self.before, other.before
@@ -297,13 +297,14 @@ def repeated_windows(texts: list[bytes], shard: int = _SHARD_BYTES) -> tuple[lis
     suffixes = sizes - SYMBOL + 1
     begin = np.cumsum(suffixes + SYMBOL) - suffixes - SYMBOL
     total = int((suffixes + SYMBOL).sum())
-    inside = np.arange(total) - np.repeat(begin, suffixes + SYMBOL)
+    inside = (np.arange(total) - np.repeat(begin, suffixes + SYMBOL)).astype(np.int32)
     real = inside < np.repeat(suffixes, suffixes + SYMBOL)
     raw = np.zeros(total, np.uint64)
     raw[real] = np.concatenate(hashes)
+    del hashes
     symbols = np.zeros(total, np.int32)
     symbols[real] = np.unique(raw[real], return_inverse=True)[1].astype(np.int32) + 1
-    onward = np.arange(total)
+    onward = np.arange(total, dtype=np.int32)
     onward[real] += SYMBOL  # an end follows the last symbol of each string
     before = np.zeros(total, np.int32)
     after = inside >= SYMBOL
@@ -313,7 +314,7 @@ def repeated_windows(texts: list[bytes], shard: int = _SHARD_BYTES) -> tuple[lis
         if begin[i] - begin[cuts[-1]] >= shard:
             cuts.append(i)
     edges = [int(begin[i]) for i in cuts] + [total]
-    shards = [Transform.of(symbols, before, onward, np.arange(a, b), rounds) for a, b in zip(edges[:-1], edges[1:])]
+    shards = [Transform.of(symbols, before, onward, np.arange(a, b, dtype=np.int32), rounds) for a, b in zip(edges[:-1], edges[1:])]
     while len(shards) > 1:
         shards = [a.merged(b[0], rounds) if b else a for a, *b in (shards[i : i + 2] for i in range(0, len(shards), 2))]
     whole = shards[0]
