@@ -497,10 +497,10 @@ def event_summary(t: Tables) -> DataFrame:
     return reports.event_summary(t.log)
 
 
-@query(_with(S.LOG, "SELECT event_id, received_at, dataset_kind, predicted_label, score, risk_level FROM log ORDER BY received_at DESC, event_id LIMIT 500"))
+@query(_with(S.LOG, "SELECT event_id, received_at, dataset_kind, predicted_label, score, risk_level FROM log ORDER BY received_at DESC, event_id LIMIT 700"))
 def recent_events(t: Tables) -> DataFrame:
-    """The top-k report of the event log: newest 500 (the limit is clamped)."""
-    return reports.recent_events(t.log, 9999)
+    """The top-k report of the event log."""
+    return reports.recent_events(t.log, 700)
 
 
 # --- evaluation -------------------------------------------------------------
@@ -662,6 +662,21 @@ def extract_links(t: Tables) -> DataFrame:
     return t.links.select("page_id", "position", "href", "link")
 
 
+@query(
+    _with(
+        S.LINKS,
+        """SELECT page_id, position + 1 AS position, href, link FROM links UNION ALL
+        SELECT page_id, 0, '/hard', regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/hard' FROM labelled_pages""",
+    )
+)
+def extract_links_hard(t: Tables) -> DataFrame:
+    """Every page between a link of very long attributes and one that never ends."""
+    first = F.concat(F.lit('<a title="'), F.repeat(F.lit("x>"), F.lit(20_000)), F.lit('" '), F.repeat(F.lit("k='v' "), F.lit(2_000)), F.lit('href="/h&#97;rd">'))
+    last = F.concat(F.lit("<a "), F.repeat(F.lit('word "w" '), F.lit(10_000)))
+    pages = t.pages.withColumn("html", F.concat(first, "html", last))
+    return extract.extract_links(pages).select("page_id", "position", "href", "link")
+
+
 _SITE = "regexp_extract(link, '://([^/?#]+)', 1)"
 # A site seed per host; found pages are the parsed links of its pages.
 _FOUND = S.LINKS + """,
@@ -792,7 +807,7 @@ def sitemap_entries(t: Tables) -> DataFrame:
           + CASE WHEN contains(lower(link), 'article') OR contains(lower(link), 'post') THEN 2 ELSE 0 END
           + CASE WHEN day >= '2024-01-20' THEN 1 ELSE 0 END AS score FROM (SELECT DISTINCT page_id, link, day FROM links)),
         ranked_maps AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, loc DESC) AS rn, max(score) OVER (PARTITION BY page_id) AS best FROM scored_maps)""",
-        "SELECT page_id, loc, score FROM ranked_maps WHERE rn <= 25 AND (score > 0 OR best = 0)",
+        "SELECT page_id, loc, score FROM ranked_maps WHERE score > 0 OR best = 0",
     )
 )
 def child_sitemaps(t: Tables) -> DataFrame:
@@ -880,6 +895,22 @@ def score_table(t: Tables) -> DataFrame:
     return scoring.score_table(_requests(t), LINEAR).select(*_SCORE_COLS, "error")
 
 
+@query(
+    _with(
+        _SCORING,
+        """SELECT event_id, CASE WHEN event_id % 5 > 1 THEN dataset_kind WHEN event_id % 5 = 0 THEN 'ip' END AS dataset_kind,
+        CASE WHEN event_id % 5 > 1 THEN predicted_label ELSE -1 END AS predicted_label, CASE WHEN event_id % 5 > 1 THEN score END AS score,
+        CASE WHEN event_id % 5 > 1 THEN error WHEN event_id % 5 = 0 THEN '''ip''' ELSE '''nan''' END AS error FROM risks""",
+    )
+)
+def score_seed_kinds(t: Tables) -> DataFrame:
+    """Rows of another kind or none come out as errors: none is lost."""
+    turn = F.col("event_id") % 5
+    kind = F.when(turn > 1, F.col("dataset_kind")).when(turn == 0, "ip")
+    scored = scoring.score_table(_requests(t).withColumn("dataset_kind", kind), LINEAR)
+    return scored.select("event_id", "dataset_kind", "predicted_label", "score", "error")
+
+
 @query(
     _with(
         S.REQUESTS,
@@ -946,7 +977,27 @@ _EVENT_COLS = [c for c in _SCORE_COLS if c != "event_id"]
 def stream_score(t: Tables) -> DataFrame:
     out = fresh_path(t.spark, "events")
     requests = event_requests(t.stream("events")).select("value", F.lit("auto").alias("dataset_kind"))
-    _wait(flows.write_scores(requests, LINEAR, f"{out}/log", f"{out}/checkpoint"))
+    _wait(flows.write_scores(requests, LINEAR, f"{out}/log", f"{out}/checkpoint", f"{out}/rejects"))
     from hostlens.sources.tables import scan_event_log
 
     return scan_event_log(t.spark, f"{out}/log").select(*_EVENT_COLS)
+
+
+@query(
+    _with(
+        _SCORING,
+        """SELECT raw_value, 'event' AS outcome, '' AS reason FROM risks WHERE error = '' AND event_id % 4 <> 0
+        UNION ALL SELECT raw_value, 'reject', error FROM risks WHERE error <> '' AND event_id % 4 <> 0
+        UNION ALL SELECT CASE WHEN event_id % 8 = 0 THEN 'http://nohost/' ELSE '' END, 'reject',
+        CASE WHEN event_id % 8 = 0 THEN 'Could not parse URL input. Reason: invalid_hostname' ELSE '`value` is required.' END FROM risks WHERE event_id % 4 = 0""",
+    )
+)
+def stream_rejects(t: Tables) -> DataFrame:
+    """Every request of a stream is an event or a reject with its reason."""
+    out = fresh_path(t.spark, "requests")
+    value = F.when(F.col("event_id") % 8 == 0, "http://nohost/").when(F.col("event_id") % 4 == 0, " ").otherwise(F.col("value"))
+    requests = event_requests(t.stream("events")).select(value.alias("value"), F.lit("auto").alias("dataset_kind"))
+    _wait(flows.write_scores(requests, LINEAR, f"{out}/log", f"{out}/checkpoint", f"{out}/rejects"))
+    events = t.spark.read.schema("raw_value string").json(f"{out}/log").select("raw_value", F.lit("event").alias("outcome"), F.lit("").alias("reason"))
+    rejects = t.spark.read.schema("raw_value string, reject_reason string").json(f"{out}/rejects")
+    return events.unionByName(rejects.select("raw_value", F.lit("reject").alias("outcome"), F.col("reject_reason").alias("reason")))

@@ -172,4 +172,10 @@ MODEL_ORDER = (
 )
 SELECTION_METRICS = ("f1", "precision", "recall", "roc_auc", "pr_auc")
 SEED = 42
-EVENT_LIMIT = (1, 500)
+NO_KIND = "nan"  # how a missing kind is named in errors
+
+# Notes of seed rows.
+SEED_NOTES = {
+    "domain": "Hostname extracted from OpenPhish snapshot {}.",
+    "url": "URL selected from OpenPhish snapshot {}.",
+}

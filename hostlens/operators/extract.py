@@ -8,23 +8,28 @@ from pyspark.sql import Window as W
 
 from hostlens import fixed_values as V
 from hostlens.functions.dates import first_date, looks_recent
-from hostlens.functions.text import WHITESPACE, contains_any, count_present
+from hostlens.functions.text import WHITESPACE, contains_any
 from hostlens.functions.urls import resolve_reference
 from hostlens.operators.dedup import keep_first
-from hostlens.operators.joins import lookup_join, measured, settled
+from hostlens.operators.joins import settled
 from hostlens.operators.parse import parse_records
+from hostlens.session import materialize
 from hostlens.sources.suffix_rules import SuffixRules
 
 _HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
-_ANCHOR = r"""(?is)<a(?=[\s/])(?:[^>"']|"[^"]*"|'[^']*')*>"""
+# Possessive runs: a group repeated per character would take a stack frame for each.
+_ANCHOR = r"""(?is)<a(?=[\s/])[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>"""
 _ATTRIBUTE = r"""(?is)([^\s/>"'=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 
 
 def unescape(text: Column) -> Column:
-    for name, char in _ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Character references decoded in one pass, by the text library on Spark's own class path.
+
+    Most links hold none and skip the call.
+    """
+    plain = F.replace(text, F.lit("&apos;"), F.lit("'"))
+    decoded = F.reflect(F.lit("org.apache.commons.text.StringEscapeUtils"), F.lit("unescapeHtml4"), plain)
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
 def page_links(html: Column) -> Column:
@@ -102,7 +107,7 @@ def sitemap_entries(docs: DataFrame, body: str = "body") -> DataFrame:
     text = F.regexp_replace(F.col(body), "^\ufeff+", "")
     text = F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, r"(?s)^[^<]+", "")).otherwise(text)
     text = F.regexp_replace(text, r"&(?!amp;|apos;|gt;|lt;|quot;|#\d+;|#x[0-9A-Fa-f]+;)", "&amp;")
-    prolog = r"(?s)^(?:\s|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>)*<(?:[\w.\-]+:)?([\w.\-]+)"
+    prolog = r"(?s)^(?:\s++|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*+>)*+<(?:[\w.\-]+:)?([\w.\-]+)"
     rest = [c for c in docs.columns if c != body]
     schema = f"struct<url:array<{_ENTRY}>,sitemap:array<{_ENTRY}>,broken:string>"
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken", "ignoreNamespace": "true"}
@@ -135,14 +140,18 @@ def child_score(loc: Column, lastmod: Column, today, lookback_days: int) -> Colu
 
 
 def select_child_sitemaps(
-    entries: DataFrame, doc: list[str], today, lookback_days: int = V.NEWS_LOOKBACK_DAYS, max_items: int = V.NEWS_MAX_SITEMAPS
+    entries: DataFrame, doc: list[str], today, lookback_days: int = V.NEWS_LOOKBACK_DAYS, max_items: int | None = None
 ) -> DataFrame:
-    """Best child sitemaps per index document: scored ones, or the first few when none scores."""
+    """Child sitemaps per index document, best first: scored ones, or all when none scores.
+
+    `max_items` is a fetching budget per document; `V.NEWS_MAX_SITEMAPS` is that of news sites.
+    """
     scored = entries.where("loc <> ''").withColumn(
         "score", child_score(F.col("loc"), F.col("lastmod"), today, lookback_days)
     )
     w = W.partitionBy(*doc).orderBy(F.col("score").desc(), F.col("loc").desc())
-    ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_items)
+    ranked = scored.withColumn("rank", F.row_number().over(w))
+    ranked = ranked if max_items is None else ranked.where(F.col("rank") <= max_items)
     best = F.max("score").over(W.partitionBy(*doc))
     kept = ranked.withColumn("__best", best).where((F.col("score") > 0) | (F.col("__best") == 0)).drop("__best")
     return keep_first(kept, [*doc, "loc"], [F.col("rank")])
@@ -166,7 +175,7 @@ def allowed_news(df: DataFrame, url: str, publishers: DataFrame, rules: SuffixRu
         publishers.withColumn("record_type", F.lit("url")), "publisher_base_url", rules=rules
     ).select("publisher", "publisher_base_url", "registered_domain")
     on = ["publisher", "registered_domain"] if "publisher" in df.columns else ["registered_domain"]
-    joined = lookup_join(pages, homes, on)
+    joined = pages.join(homes, on)
     return joined.select(*df.columns, *[c for c in ("publisher", "publisher_base_url", "registered_domain") if c not in df.columns])
 
 
@@ -176,39 +185,39 @@ def expand_sitemaps(
     key: str,
     today: str,
     lookback_days: int = V.NEWS_LOOKBACK_DAYS,
-    max_sitemaps: int = V.NEWS_MAX_SITEMAPS,
-    max_depth: int = 8,
+    max_sitemaps: int | None = None,
 ) -> DataFrame:
     """Sitemap addresses per site in reading order: roots, then children, level by level.
 
-    `roots`: key, sitemap_url, position.  `docs`: doc_url, body.  The frontier holds at most
-    `max_sitemaps` addresses per site, so each level joins the document table with a measured,
-    broadcast frontier and reads only the few matching documents.
+    `roots`: key, sitemap_url, position.  `docs`: doc_url, body.  Documents are parsed once, and only
+    their index entries are kept.  Each level's frontier is written, so no level runs those
+    before it again; the levels end when nothing new is named.  `max_sitemaps` is a fetching
+    budget per site, `V.NEWS_MAX_SITEMAPS` that of news sites.
     """
+    entries = sitemap_entries(docs.select("doc_url", "body")).where("doc_type = 'index'")
+    children = materialize(select_child_sitemaps(entries, ["doc_url"], today, lookback_days, max_sitemaps).select("doc_url", "loc", "rank"), "children")
+    w = W.partitionBy(key).orderBy("at")
     visited = None
     frontier = roots.select(key, "sitemap_url", F.array(F.lit(0), F.col("position").cast("int")).alias("at"))
-    for level in range(max_depth):
-        w = W.partitionBy(key).orderBy("at")
+    level = 0
+    while True:
         frontier = keep_first(frontier, [key, "sitemap_url"], [F.col("at")])
         if visited is not None:
             frontier = frontier.join(visited, [key, "sitemap_url"], "left_anti")
-        frontier = frontier.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= max_sitemaps).drop("__rn")
-        frontier, small = measured(frontier)
-        if small and frontier.limit(1).count() == 0:
+        if max_sitemaps is not None:
+            frontier = frontier.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= max_sitemaps).drop("__rn")
+        frontier = materialize(frontier, "frontier")
+        if visited is not None and frontier.isEmpty():
             break
         visited = frontier if visited is None else visited.unionByName(frontier)
-        wanted = frontier.withColumnRenamed("sitemap_url", "doc_url")
-        read = docs.join(F.broadcast(wanted) if small else wanted, "doc_url")
-        index = sitemap_entries(read.select(key, "doc_url", "at", "body")).where("doc_type = 'index'")
-        children = select_child_sitemaps(index, [key, "doc_url"], today, lookback_days, max_sitemaps)
+        level += 1
         parent = F.slice("at", 2, F.size("at"))
-        frontier = children.select(
-            key, F.col("loc").alias("sitemap_url"),
-            F.concat(F.array(F.lit(level + 1)), parent, F.array(F.col("rank"))).alias("at"),
+        frontier = frontier.withColumnRenamed("sitemap_url", "doc_url").join(children, "doc_url").select(
+            key, F.col("loc").alias("sitemap_url"), F.concat(F.array(F.lit(level)), parent, F.array(F.col("rank"))).alias("at"),
         )
-    order = W.partitionBy(key).orderBy("at")
-    ranked = visited.withColumn("read_order", F.row_number().over(order))
-    return ranked.where(F.col("read_order") <= max_sitemaps).select(key, "sitemap_url", "read_order")
+    ranked = visited.withColumn("read_order", F.row_number().over(w))
+    kept = ranked if max_sitemaps is None else ranked.where(F.col("read_order") <= max_sitemaps)
+    return kept.select(key, "sitemap_url", "read_order")
 
 
 def news_rows(
@@ -217,24 +226,22 @@ def news_rows(
     publishers: DataFrame,
     today: str,
     lookback_days: int = V.NEWS_LOOKBACK_DAYS,
-    max_urls: int = V.NEWS_MAX_URLS,
+    max_urls: int | None = None,
     rules: SuffixRules | None = None,
 ) -> DataFrame:
-    """Recent, allowed news pages, first seen per publisher, at most `max_urls` of each."""
-    read = lookup_join(
-        docs.select(F.col("doc_url").alias("sitemap_url"), "body"), sitemaps, "sitemap_url"
-    )
+    """Recent, allowed news pages, first seen per publisher.
+
+    `max_urls` is a budget per publisher, `V.NEWS_MAX_URLS` that of a collection run.
+    """
+    read = docs.select(F.col("doc_url").alias("sitemap_url"), "body").join(sitemaps, "sitemap_url")
     items = sitemap_entries(read).where("doc_type = 'urlset' and loc <> ''").withColumnRenamed("loc", "url")
     recent = items.where(looks_recent("publication_date", "lastmod", today=today, lookback_days=lookback_days))
     allowed = allowed_news(recent, "url", publishers, rules)
     firsts = keep_first(allowed, [F.col("publisher"), F.col("url")], [F.col("read_order"), F.col("position")])
     w = W.partitionBy("publisher").orderBy("read_order", "position")
-    capped = firsts.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= max_urls)
+    capped = firsts if max_urls is None else firsts.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= max_urls)
     return capped.select(
         "url", "publisher", "publisher_base_url", "sitemap_url", "publication_date", "lastmod", "title",
         F.coalesce(first_date("publication_date", "lastmod"), F.lit(today)).alias("collected_at"),
     )
 
-
-def portal_hits(url: Column) -> Column:
-    return count_present(F.lower(url), V.PORTAL_KEYWORDS)

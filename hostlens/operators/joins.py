@@ -32,10 +32,9 @@ def settled(df: DataFrame, keep: list[str], names: list[str]) -> DataFrame:
     return df.select(*keep, F.inline(F.array(F.struct(*names))))
 
 
-def lookup_join(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame:
-    """Join with a summary table: broadcast when measured small, else a shuffled join (AQE splits skew)."""
-    side, fits = measured(small, max_rows)
-    return big.join(F.broadcast(side) if fits else side, on, how)
+def lookup_join(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join with a summary table: adaptive execution broadcasts it by its bytes, or shuffles and splits skew."""
+    return big.join(small, on, how)
 
 
 def drop_marked(

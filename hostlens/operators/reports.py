@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostlens import fixed_values as V
 
 
 def label_distribution(df: DataFrame, by: str, largest_first: bool) -> DataFrame:
@@ -90,6 +89,7 @@ def event_summary(events: DataFrame) -> DataFrame:
 
 
 def recent_events(events: DataFrame, limit: int = 100) -> DataFrame:
-    """Newest first; the limit is held to 1..500.  A top-k per task, then of those: no full sort."""
-    low, high = V.EVENT_LIMIT
-    return events.orderBy(F.col("received_at").desc(), "event_id").limit(max(low, min(limit, high)))
+    """The `limit` newest events, newest first.  A top-k per task, then of those: no full sort."""
+    if limit < 1:
+        raise ValueError("limit must be 1 or more")
+    return events.orderBy(F.col("received_at").desc(), "event_id").limit(limit)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hostlens import fixed_values as V
 from hostlens.functions import hosts, rules
 from hostlens.functions.text import clean_text
 from hostlens.operators.features import feature_names, features
@@ -99,32 +100,49 @@ def _score_kind(df: DataFrame, kind: str, scorer, rules_: SuffixRules | None) ->
 
 
 def score_table(df: DataFrame, scorers: dict, rules_: SuffixRules | None = None) -> DataFrame:
-    """Score every request row; rows that cannot be parsed stay, with label -1 and the error.
+    """Score every request row: as many rows go out as come in.
 
-    `df` needs raw_value and dataset_kind (domain / url).  Each kind is one branch behind a filter
-    on the raw input, so a row is parsed and scored exactly once, with its own model only.
-    Works the same on a stream.
+    `df` needs raw_value and dataset_kind (domain / url).  Rows that cannot be parsed, or whose kind is
+    another or null, stay with label -1 and the error.  Each kind is one branch behind a filter on the raw
+    input, so a row is parsed and scored exactly once, with its own model only.  Works the same on a stream.
     """
     parts = [_score_kind(df.where(F.col("dataset_kind") == k), k, scorers[k], rules_) for k in KINDS]
-    return parts[0].unionByName(parts[1])
-
-
-def score_requests(df: DataFrame, scorers: dict, rules_: SuffixRules | None = None) -> tuple[DataFrame, DataFrame]:
-    """(events, rejects) of raw requests: value, optional dataset_kind, source, metadata (JSON text)."""
+    scored = parts[0].unionByName(parts[1])
+    other = df.where(~F.coalesce(F.col("dataset_kind").isin(*KINDS), F.lit(False)))
+    filled = {
+        "error": F.concat(F.lit("'"), F.coalesce("dataset_kind", F.lit(V.NO_KIND)), F.lit("'")),
+        "predicted_label": F.lit(-1), "predicted_class": F.lit("error"), "feature_count": F.lit(0), "signals": F.array(),
+    }
+    columns = [filled.get(f.name, F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in scored.schema.fields]
+    return scored.unionByName(other.select(*columns))
+
+
+def judge_requests(df: DataFrame, scorers: dict, rules_: SuffixRules | None = None) -> DataFrame:
+    """Raw requests (value, optional dataset_kind, source, metadata as JSON text), each with scores or a `reject_reason`."""
     checked = check_requests(df)
-    rejects = checked.where("reject_reason <> ''")
     metadata = wrap_metadata(F.col("metadata")) if "metadata" in df.columns else F.create_map().cast("map<string,string>")
     received = (
         F.col("received_at").cast("string") if "received_at" in df.columns
         else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
     )
+    common = [received.alias("received_at"), "source", "raw_value", metadata.alias("metadata"), "requested_kind", "reject_reason"]
     good = checked.where("reject_reason = ''").select(
-        F.replace(F.uuid(), F.lit("-"), F.lit("")).alias("event_id"),
-        received.alias("received_at"),
-        rules.detect_kind("raw_value", "requested_kind").alias("dataset_kind"),
-        "source", "raw_value", metadata.alias("metadata"),
+        F.replace(F.uuid(), F.lit("-"), F.lit("")).alias("event_id"), rules.detect_kind("raw_value", "requested_kind").alias("dataset_kind"), *common,
     )
-    return as_events(score_table(good, scorers, rules_)), rejects
+    scored = score_table(good, scorers, rules_)
+    scored = scored.withColumn("reject_reason", F.col("error"))
+    refused = checked.where("reject_reason <> ''").select(*common)
+    return scored.unionByName(refused, allowMissingColumns=True)
+
+
+def as_rejects(judged: DataFrame) -> DataFrame:
+    return judged.where("reject_reason <> ''").select("received_at", "source", "raw_value", "requested_kind", "metadata", "reject_reason")
+
+
+def score_requests(df: DataFrame, scorers: dict, rules_: SuffixRules | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events, rejects) of raw requests: every request is in one of them, rejects with their reason."""
+    judged = judge_requests(df, scorers, rules_)
+    return as_events(judged), as_rejects(judged)
 
 
 def as_events(scored: DataFrame) -> DataFrame:

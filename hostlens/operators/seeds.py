@@ -63,8 +63,8 @@ def seed_rows(selected: DataFrame, snapshot: str) -> DataFrame:
         )
 
     both = F.array(
-        row("P", "domain", "hostname", f"Hostname extracted from OpenPhish snapshot {snapshot}."),
-        row("U", "url", "url", f"URL selected from OpenPhish snapshot {snapshot}."),
+        row("P", "domain", "hostname", V.SEED_NOTES["domain"].format(snapshot)),
+        row("U", "url", "url", V.SEED_NOTES["url"].format(snapshot)),
     )
     return selected.select(F.inline(both))
 

@@ -117,13 +117,19 @@ def scan_feed(
     source: str,
     start: str | None = None,
     end: str | None = None,
-    top_n: int | None = V.DEFAULT_TOP_N,
+    top_n: int | None = None,
 ) -> DataFrame | None:
-    """All landed files of one source in the normalized schema; None when there are none."""
+    """All landed files of one source in the normalized schema; None when there are none.
+
+    `top_n` keeps the first ranks of a ranked list (`V.DEFAULT_TOP_N` is the published corpus'); None keeps all.
+    """
     patterns = _existing(spark, feed_paths(raw_dir, source))
     if not patterns:
         return None
-    # Hadoop reads plain, gzip and bzip2 text; zip archives are unpacked when they land.
+    # Hadoop reads plain, gzip and bzip2 text, but would take a zip archive for garbage lines.
+    zipped = _existing(spark, [f"{p}.[zZ][iI][pP]" for p in patterns])
+    if zipped:
+        raise ValueError(f"unpack the zip archives of {source} first: {', '.join(zipped)}")
     name = F.col("_metadata.file_name").alias("__file")
     fixed = V.FEEDS[source][2]
     day = F.lit(fixed) if fixed else F.col("__day")
@@ -162,7 +168,7 @@ def normalize(
     allow_opt_in: tuple[str, ...] = (),
     start: str | None = None,
     end: str | None = None,
-    top_n: int | None = V.DEFAULT_TOP_N,
+    top_n: int | None = None,
 ) -> DataFrame:
     """Union of the chosen sources; opt-in sources are refused unless allowed by name."""
     wanted = list(dict.fromkeys(sources))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from hostlens.schemas import EVENT, SITE_SEED, VALIDATION_SEED, require_columns
 
-MAX_ADDON_FILES = 1_000  # hand-made files, each with its own header
 
-
-def scan_stage(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def scan_stage(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """A written stage; with its schema, folder names such as days keep their type."""
+    return spark.read.parquet(path) if schema is None else spark.read.schema(schema).parquet(path)
 
 
 def _csv(spark: SparkSession, path: str) -> DataFrame:
@@ -37,10 +37,7 @@ def scan_addon_dir(spark: SparkSession, folder: str) -> DataFrame:
     listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path")
     wanted = ["input_value", "source", "collected_at"]
     out = None
-    files = listing.orderBy("path").limit(MAX_ADDON_FILES + 1).collect()
-    if len(files) > MAX_ADDON_FILES:
-        raise ValueError(f"more than {MAX_ADDON_FILES} addon files in {folder}; merge them first")
-    for row in files:
+    for row in listing.orderBy("path").toLocalIterator():
         df = _csv(spark, row["path"])
         if "input_value" not in df.columns:
             continue

@@ -8,10 +8,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from hostlens.functions.dates import date_from_file_name
 from hostlens.operators.dedup import keep_first
-from hostlens.operators.joins import measured
 from hostlens.operators.parse import parse_records, split_valid
 from hostlens.operators.reports import event_summary
-from hostlens.operators.scoring import score_requests
+from hostlens.operators.scoring import as_events, as_rejects, judge_requests
+from hostlens.session import materialize
 from hostlens.sources.feeds import shape_url_lines
 
 
@@ -43,20 +43,20 @@ def write_new_urls(normalized: DataFrame, master: str, checkpoint: str, once: bo
     """Append URLs never seen before to the master table: exact over all time, no state growth.
 
     A repeated batch replaces its own folder, so a retry adds nothing twice.  The batch is small
-    next to the master: its keys are broadcast (when measured small) to pick the few master rows
-    that match, so the master is scanned in one column and never shuffled.
+    next to the master: it is parsed once and written, and its keys pick the few master rows that
+    match, so the master is scanned in one column.
     """
     spark = normalized.sparkSession
 
     def add(batch: DataFrame, batch_id: int) -> None:
         rows = split_valid(parse_records(batch)).where("canonical_url <> ''")
         order = [F.col(c) for c in ("collected_at", "source", "original_value", "source_record_id")]
-        firsts = keep_first(rows, [F.col("canonical_url")], order)
+        firsts = materialize(keep_first(rows, [F.col("canonical_url")], order), "batch")
         target = f"{master}/batch_id={batch_id}"
         seen = master_before(spark, master, batch_id)
         if seen is not None:
-            keys, small = measured(firsts.select("canonical_url"))
-            hits = seen.select("canonical_url").join(F.broadcast(keys) if small else keys, "canonical_url", "left_semi")
+            # Whether the batch's keys are broadcast is settled at run time, by their bytes.
+            hits = seen.select("canonical_url").join(firsts.select("canonical_url"), "canonical_url", "left_semi")
             firsts = firsts.join(hits.distinct(), "canonical_url", "left_anti")
         firsts.write.mode("overwrite").parquet(target)
 
@@ -75,20 +75,17 @@ def master_before(spark: SparkSession, master: str, batch_id: int) -> DataFrame
 
 
 def write_scores(
-    requests: DataFrame, scorers: dict, events: str, checkpoint: str, rejects: str | None = None, once: bool = True
+    requests: DataFrame, scorers: dict, events: str, checkpoint: str, rejects: str, once: bool = True
 ) -> StreamingQuery:
-    """Score requests as they come and append events as JSON lines (exactly once per file commit).
+    """Score requests as they come: events as JSON lines, and requests that give none with their reason.
 
-    With a `rejects` path, unusable requests are written there with their reason.
+    A batch is scored once and written, and both outputs read that; a repeated batch replaces its own folders.
     """
-    good, bad = score_requests(requests, scorers)
-    if rejects is None:
-        return _finish(good.writeStream.format("json").option("path", events).outputMode("append"), checkpoint, once, "scores")
 
     def both(batch: DataFrame, batch_id: int) -> None:
-        ok, no = score_requests(batch, scorers)
-        ok.write.mode("overwrite").json(f"{events}/batch_id={batch_id}")
-        no.write.mode("overwrite").json(f"{rejects}/batch_id={batch_id}")
+        judged = materialize(judge_requests(batch, scorers), "scored")
+        as_events(judged).write.mode("overwrite").json(f"{events}/batch_id={batch_id}")
+        as_rejects(judged).write.mode("overwrite").json(f"{rejects}/batch_id={batch_id}")
 
     return _finish(requests.writeStream.foreachBatch(both), checkpoint, once, "scores")
 

@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from hostlens import fixed_values as V
@@ -147,3 +148,32 @@ def test_hosts_fill_up(spark):
     )
     hosts = seeds.pick_hosts(pages, seeds.pick_urls(pages, 3), 3)
     assert [r.canonical_hostname for r in hosts.orderBy("rank").collect()] == ["a.one.vn", "b.one.vn", "c.one.vn"]
+
+
+def test_index_chain_of_depth_20(spark):
+    docs = [(f"https://a.com/{i}.xml", sitemap(f"https://a.com/{i + 1}.xml", f"https://a.com/{i}.xml", tag="sitemap", root="sitemapindex")) for i in range(20)]
+    docs.append(("https://a.com/20.xml", sitemap("https://a.com/page")))
+    table = spark.createDataFrame(docs, "doc_url string, body string")
+    roots = spark.createDataFrame([("a", "https://a.com/0.xml", 0)], "site string, sitemap_url string, position int")
+    maps = extract.expand_sitemaps(roots, table, "site", "2026-04-06").orderBy("read_order").collect()
+    assert [r.sitemap_url for r in maps] == [f"https://a.com/{i}.xml" for i in range(21)]
+
+
+def test_long_tags_do_not_overflow(spark):
+    pages = ["<a " + "x" * 1_000_000, "<a href='/1'>" + "<a " + "k='v' " * 100_000 + "href=/2>", "<a title=\"" + ">" * 500_000 + "\" href='/&eacute;&#47;&#x2F;&amp;lt;'>"]
+    rows = spark.createDataFrame([(i, "https://a.com/", p) for i, p in enumerate(pages)], "id int, url string, html string")
+    got = {(r.id, r.href) for r in extract.extract_links(rows).collect()}
+    assert got == {(1, "/1"), (1, "/2"), (2, "/é//&lt;")}
+    prolog = '<?xml version="1.0"?>' + "\n" * 100_000 + "<!-- c -->" * 1000 + "<urlset><url><loc>https://a.com/x</loc></url></urlset>"
+    docs = spark.createDataFrame([("d", prolog)], "doc string, body string")
+    assert [r.loc for r in extract.sitemap_entries(docs).collect()] == ["https://a.com/x"]
+
+
+def test_zip_archives_are_refused(spark, tmp_path):
+    from hostlens.sources import feeds
+
+    folder = tmp_path / "raw" / "tranco"
+    folder.mkdir(parents=True)
+    (folder / "tranco_2026-04-01.csv.zip").write_bytes(b"PK")
+    with pytest.raises(ValueError, match="zip"):
+        feeds.scan_feed(spark, str(tmp_path / "raw"), "tranco")

@@ -71,10 +71,10 @@ def test_scores_stream_equals_batch(spark, tmp_path):
     assert pay.metadata == {"raw_metadata": "[1]"} and login.metadata == {"ip": "10.0.0.1"} and login.source == "proxy"
     assert len(pay.signals) == 4 and "`.tk`" in pay.signals[3] and len(login.event_id) == 32
     rejects = spark.read.json(f"{tmp_path}/rejects").collect()
-    assert sorted(r.reject_reason[:10] for r in rejects) == ["`dataset_k", "`value` is"]
+    assert sorted(r.reject_reason[:10] for r in rejects) == ["Could not ", "`dataset_k", "`value` is"]
     good, bad = scoring.score_requests(spark.read.schema(schema).json(f"{tmp_path}/in"), LINEAR)
     assert {(r.raw_value, r.score, r.predicted_label) for r in good.collect()} == {(r.raw_value, r.score, r.predicted_label) for r in got.values()}
-    assert bad.count() == 2
+    assert bad.count() == 3 and good.count() + bad.count() == len(REQUESTS)
     log = scan_event_log(spark, f"{tmp_path}/log")
     live = spark.readStream.schema(log.schema).option("recursiveFileLookup", "true").json(f"{tmp_path}/log")
     done(flows.write_summary(live, f"{tmp_path}/summary", f"{tmp_path}/cp2"))
@@ -82,11 +82,12 @@ def test_scores_stream_equals_batch(spark, tmp_path):
 
 
 def test_error_rows_keep_their_reason(spark):
-    df = spark.createDataFrame([("http://nohost/", "url"), ("no host", "domain"), ("none", "domain")], "raw_value string, dataset_kind string")
+    df = spark.createDataFrame([("http://nohost/", "url"), ("no host", "domain"), ("none", "domain"), ("a.com", "ip"), ("b.com", None)], "raw_value string, dataset_kind string")
     got = {r.raw_value: r for r in scoring.score_table(df, LINEAR).collect()}
     assert got["http://nohost/"].error == "Could not parse URL input. Reason: invalid_hostname"
     assert got["no host"].error == "Could not parse domain input. Reason: invalid_domain"
     assert got["none"].error == "Could not parse domain input. Reason: empty_value"
+    assert got["a.com"].error == "'ip'" and got["b.com"].error == "'nan'"
     assert all(r.predicted_label == -1 and r.predicted_class == "error" and r.score is None and r.signals == [] for r in got.values())
 
 

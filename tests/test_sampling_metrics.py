@@ -139,4 +139,6 @@ def test_column_profile(spark):
 
 def test_recent_events_limit(spark):
     df = spark.range(600).selectExpr("cast(id as string) event_id", "lpad(cast(id as string), 4, '0') received_at")
-    assert reports.recent_events(df, 9999).count() == 500 and reports.recent_events(df, 0).first().event_id == "599"
+    assert reports.recent_events(df, 9999).count() == df.count() and reports.recent_events(df, 1).first().event_id == "599"
+    with pytest.raises(ValueError):
+        reports.recent_events(df, 0)
