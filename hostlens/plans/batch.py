@@ -19,29 +19,36 @@ def build_corpus(spark: SparkSession, raw_dir: str, out: str, sources=V.DEFAULT_
     """
     normalized = feeds.normalize(spark, raw_dir, sources, allow_opt_in, **window)
     sinks.write_stage(normalized, f"{out}/normalized")
-    parsed = materialize(corpus.parse_normalized(tables.scan_stage(spark, f"{out}/normalized")), "parsed")
-    sinks.write_stage(corpus.clean(parsed), f"{out}/clean")
+    parsed = materialize(corpus.parse_normalized(tables.scan_stage(spark, f"{out}/normalized", normalized.schema)), "parsed")
+    clean = corpus.clean(parsed)
+    sinks.write_stage(clean, f"{out}/clean", order=("source", "original_value"))
     sinks.write_stats(corpus.clean_stats(parsed), f"{out}/clean_stats")
     sinks.write_stats(invalid_reasons(parsed), f"{out}/invalid_reasons")
-    master = tables.scan_stage(spark, f"{out}/clean")
+    master = tables.scan_stage(spark, f"{out}/clean", clean.schema)
     addon = corpus.addon_rows(tables.scan_addon_dir(spark, addon_dir)) if addon_dir else None
     for name, df in (("domain", corpus.domain_dataset(master, addon)), ("url", corpus.url_dataset(master, unique=True))):
-        sinks.write_stage(df, f"{out}/{name}_dataset")
-        written = tables.scan_stage(spark, f"{out}/{name}_dataset")
+        sinks.write_stage(df, f"{out}/{name}_dataset", order=("sample_text",))
+        written = tables.scan_stage(spark, f"{out}/{name}_dataset", df.schema)
         sinks.write_stats(corpus.class_distribution(written), f"{out}/{name}_stats")
         sinks.write_stats(corpus.value_counts(written, "source"), f"{out}/{name}_sources")
 
 
+def usable_rows(dataset: DataFrame, floor: str | None = None) -> DataFrame:
+    """Rows from the first day wanted, of days that hold both classes."""
+    rows = dataset if floor is None else corpus.from_date(dataset, floor)
+    return sampling.drop_single_class_dates(rows)
+
+
 def training_rows(dataset: DataFrame, kind: str, strategy: str = "per_date_under", floor: str | None = None) -> DataFrame:
     """Both-class days, balanced (domain only), tagged by split."""
-    rows = dataset if floor is None else corpus.from_date(dataset, floor)
-    rows = sampling.drop_single_class_dates(rows)
+    rows = usable_rows(dataset, floor)
     if kind == "domain":
         rows = sampling.balance(rows, strategy)
     return sampling.temporal_split(rows)
 
 
 def train(dataset: DataFrame, kind: str, out: str, variant: str = "default", by: str = "pr_auc", strategy: str = "per_date_under", sizes: models.Sizes = models.Sizes(), names=V.MODEL_ORDER, write_splits: bool = False) -> models.Comparison:
+    sampling.check_labels(dataset)
     rows = materialize(training_rows(dataset, kind, strategy), "split_rows")
     if write_splits:
         sinks.write_splits(rows, f"{out}/{kind}_splits")
@@ -50,7 +57,7 @@ def train(dataset: DataFrame, kind: str, out: str, variant: str = "default", by:
     sinks.write_table_csv(result.test, f"{out}/test_metrics")
     sinks.write_table_csv(result.comparison, f"{out}/model_comparison")
     sinks.write_stats(result.splits, f"{out}/splits")
-    sinks.write_stats(sampling.balance_summary(dataset, rows, strategy if kind == "domain" else "none"), f"{out}/balance")
+    sinks.write_stats(sampling.balance_summary(usable_rows(dataset), rows, strategy if kind == "domain" else "none"), f"{out}/balance")
     result.best.save(f"{out}/model")
     return result
 

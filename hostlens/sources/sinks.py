@@ -6,17 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_stage(df: DataFrame, path: str, partition_by: str | None = "collected_at") -> None:
-    """Parquet overwrite.
+def write_stage(df: DataFrame, path: str, partition_by: str | None = "collected_at", order: tuple[str, ...] = ()) -> None:
+    """Parquet overwrite, with rows in `order` within each file.
 
     With a partition column the rows are rebalanced on it first: AQE then merges small partitions
     and splits a day that holds much of the data, giving few, even files instead of one per task
     and day.
     """
     if partition_by is None:
-        df.write.mode("overwrite").parquet(path)
+        ordered = df.sortWithinPartitions(*order) if order else df
+        ordered.write.mode("overwrite").parquet(path)
         return
     even = df.hint("rebalance", partition_by)
+    even = even.sortWithinPartitions(partition_by, *order) if order else even
     # Static overwrite: the whole stage is replaced, also days that are gone.
     (even.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(partition_by).parquet(path))
 

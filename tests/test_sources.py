@@ -108,6 +108,10 @@ def test_sinks(spark, tmp_path):
     assert sorted(os.listdir(tmp_path / "stage"))[-2:] == ["collected_at=2026-01-01", "collected_at=2026-01-02"]
     sinks.write_stage(df.where("v = 'a'"), f"{tmp_path}/stage")
     assert tables.scan_stage(spark, f"{tmp_path}/stage").count() == 1
+    again = tables.scan_stage(spark, f"{tmp_path}/stage", df.schema)
+    assert again.schema["collected_at"].dataType.typeName() == "string" and again.first().collected_at == "2026-01-01"
+    sinks.write_stage(df.coalesce(1), f"{tmp_path}/sorted", None, ("v",))
+    assert [r.v for r in tables.scan_stage(spark, f"{tmp_path}/sorted").collect()] == ["a", "b"]
     sinks.write_splits(df, f"{tmp_path}/splits")
     assert spark.read.parquet(f"{tmp_path}/splits").where("split = 'train'").count() == 1
     sinks.write_table_csv(df.withColumn("tags", F.array(F.lit("x"), F.lit("y"))), f"{tmp_path}/csv")
