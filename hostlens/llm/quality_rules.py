@@ -72,11 +72,14 @@ def counted(docs: DataFrame, *carried: str | Column) -> DataFrame:
         "n_repeat_words": _repeated(words),
     }).drop("_words", "_lines", "_text")
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
-    return base.withColumns({
+    base = base.withColumns({
         "symbol_share": share("n_symbols", "word_chars"), "dup_line_share": share("n_dup_lines", "n_lines"),
         "repeat_share": share("n_repeat_words", "n_words"), "word_length": share("word_chars", "n_words"),
         "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
     })
+    # Behind a one-row generator: a filter on a count would else be rewritten in terms of the text, once per use.
+    fixed = [*COUNTS, "n_lines", *GRID, "base_failed"]
+    return base.select(*[c for c in base.columns if c not in fixed], F.inline(F.array(F.struct(*fixed))))
 
 
 def binomial_tail(n: Column, k: Column, p: float) -> Column:
