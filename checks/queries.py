@@ -677,7 +677,6 @@ def extract_links_hard(t: Tables) -> DataFrame:
     return extract.extract_links(pages).select("page_id", "position", "href", "link")
 
 
-_SITE = "regexp_extract(link, '://([^/?#]+)', 1)"
 # A site seed per host; found pages are the parsed links of its pages.
 _FOUND = S.LINKS + """,
 found_in AS (SELECT page_id, position, link, regexp_extract(url, '://([^/?#]+)', 1) AS seed_id, 'url' AS record_type FROM links),""" + S.parsed("found_in", "link", "found") + """,

@@ -303,7 +303,3 @@ URL_FEATURES = {
 
 def feature_list(table: dict[str, str], names=None) -> str:
     return ", ".join(f"round(CAST({e} AS DOUBLE), 6) AS {n}" for n, e in table.items() if names is None or n in names)
-
-
-def raw_features(table: dict[str, str]) -> str:
-    return ", ".join(f"CAST({e} AS DOUBLE) AS f_{n}" for n, e in table.items())

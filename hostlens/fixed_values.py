@@ -74,14 +74,6 @@ ADDON_DATE = "2025-04-07"
 
 # --- news sitemaps ----------------------------------------------------------
 
-NEWS_PUBLISHERS = {
-    "apnews": "https://apnews.com",
-    "bbc": "https://www.bbc.com",
-    "npr": "https://www.npr.org",
-    "reuters": "https://www.reuters.com",
-    "vnexpress": "https://vnexpress.net",
-}
-DEFAULT_NEWS_PUBLISHERS = ("apnews", "npr", "reuters")
 NEWS_SITEMAP_PATHS = (
     "/news-sitemap.xml", "/news_sitemap.xml", "/news.xml", "/sitemap-news.xml", "/sitemap_news.xml",
     "/sitemap.xml", "/sitemap_index.xml",
@@ -110,7 +102,6 @@ PORTAL_KEYWORDS = (
     "login", "mail", "portal", "sinhvien", "sso", "student", "support", "tra-cuu",
 )
 SITE_MAX_URLS = 18
-SITE_MAX_SITEMAPS = 6
 
 # --- seed categories (tested in this order) ---------------------------------
 

@@ -17,11 +17,6 @@ def keep_first(df: DataFrame, keys: list, order: list) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
-def keep_first_at(df: DataFrame, keys: list[str], position: str) -> DataFrame:
-    """First seen in feed order."""
-    return keep_first(df, keys, [F.col(position).asc()])
-
-
 def last_wins(df: DataFrame, key: str, seq: str) -> DataFrame:
     """Last record per key, listed at the position where the key first came up.
 
