@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from hostlens.llm.common import batches
 
 SAMPLE = 1500
-SAMPLE_LINES = 2000
+SAMPLE_LINES = 500
 THRESHOLD = 0.3
 _STEPS = 250
 _RIDGE = 1e-3

@@ -395,10 +395,10 @@ def _meet(group: pa.Table) -> pa.Table:
     return pa.table({"batch": pa.array(own, pa.int64()), "marks": pa.array(packed, pa.binary())})
 
 
-RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
+RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept "
 
 
-def _removed(joined: DataFrame, buckets: int) -> DataFrame:
+def _removed(joined: DataFrame, buckets: int, as_text: bool) -> DataFrame:
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for row in batch.to_pylist():
@@ -416,17 +416,19 @@ def _removed(joined: DataFrame, buckets: int) -> DataFrame:
                 for i, f, n, text in zip(row["id"], first.tolist(), sizes.tolist(), _texts(row)):
                     own = gone[f : f + n]
                     kept = text if not own.any() else np.frombuffer(text, np.uint8)[~own].tobytes()
-                    out.append((i, n, n - len(kept), len(_runs(own)[0]), kept))
+                    out.append((i, n, n - len(kept), len(_runs(own)[0]), kept.decode("utf-8", "ignore") if as_text else kept))
                 columns = list(zip(*out)) or [()] * 5
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return joined.mapInArrow(run, RESULT)
+    return joined.mapInArrow(run, RESULT + ("string" if as_text else "binary"))
 
 
-def strip(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+def strip(docs: DataFrame, id_column: str = "doc_id", as_text: bool = False) -> DataFrame:
     """``id, n_bytes, n_removed, n_spans, kept`` of every document: ``kept`` are the bytes left, as one string.
 
+    With ``as_text`` they are text, less the bytes of characters that were cut.
+
     Texts are UTF-8 bytes, null ones empty; strings never cross documents and are judged on the input, so every copy of a
     repeated string goes, the first as well.  Texts shorter than ``LENGTH`` stay whole.  Repeated rows and null ids are
     documents of their own.  Other columns are ignored.
@@ -445,7 +447,7 @@ def strip(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     across = marks.where("bucket is not null").groupBy("bucket").applyInArrow(_meet, "batch long, marks binary")
     found = marks.where("marks is not null").select("batch", "marks").unionAll(across)
     per_batch = found.groupBy("batch").agg(F.collect_list("marks").alias("marks"))
-    return _removed(batched.join(met, "batch", "left").join(per_batch, "batch", "left"), buckets)
+    return _removed(batched.join(met, "batch", "left").join(per_batch, "batch", "left"), buckets, as_text)
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -454,8 +456,8 @@ def clean(docs: DataFrame) -> DataFrame:
     Every row stays, if empty; other columns stay as they are, whatever their names.
     """
     nested = materialize(keyed(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text").cast("string").alias("text")), "suffix-documents")
-    left = strip(nested, "row").select(F.col("id").alias("row"), F.decode("kept", "UTF-8").alias("rest"), "n_removed")
-    text = F.when(F.col("n_removed") > 0, F.replace("rest", F.lit("�"), F.lit(""))).otherwise(F.col("doc.text"))
+    left = strip(nested, "row", as_text=True).select(F.col("id").alias("row"), F.col("kept").alias("rest"), "n_removed")
+    text = F.when(F.col("n_removed") > 0, F.col("rest")).otherwise(F.col("doc.text"))
     fixed = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
     both = nested.select("row", "doc").join(left, "row")
     return both.select(*[fixed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

@@ -121,6 +121,14 @@ def test_clean_keeps_columns(nasty, nasty_rows, empty):
     assert suffix_dedup.clean(empty).collect() == []
 
 
+def test_clean_drops_split_characters(spark):
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(500))
+    docs = spark.createDataFrame([(1, "é" + passage + "€"), (2, "ê" + passage + "₭"), (3, "�" + passage)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in suffix_dedup.clean(docs).collect()}
+    assert got == {1: "é", 2: "ê", 3: "�"}  # the first two bytes of € and ₭ go with the passage, the third is no character
+
+
 @pytest.mark.parametrize("shard", [600, 4000, 1 << 30])
 def test_merged_shards(shard):
     rng = random.Random(3)
