@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from hostlens import fixed_values as V
+from hostlens.functions import hosts, urls
 from hostlens.functions.dates import first_date, looks_recent
-from hostlens.functions.text import WHITESPACE, contains_any
+from hostlens.functions.text import WHITESPACE, after_first, contains_any
 from hostlens.functions.urls import resolve_reference
 from hostlens.operators.dedup import keep_first
 from hostlens.operators.joins import settled
-from hostlens.operators.parse import parse_records
+from hostlens.operators.parse import host_parts
 from hostlens.session import materialize
 from hostlens.sources.suffix_rules import SuffixRules
 
@@ -157,25 +158,35 @@ def select_child_sitemaps(
     return keep_first(kept, [*doc, "loc"], [F.col("rank")])
 
 
+def _site_parts(df: DataFrame, url: str, rules: SuffixRules | None) -> DataFrame:
+    """Scheme, host, path and site of a URL by its split alone: neither labels nor port have to be valid."""
+    keep = df.columns
+    work = df.withColumn("__tidy", urls.tidy(F.col(url)))
+    work = work.withColumn("__scheme", urls.scheme_of(F.col("__tidy")))
+    pieces = urls.split_rest(after_first(F.col("__tidy"), ":"))
+    work = work.withColumns({"__path": pieces["path"], "__netloc": pieces["netloc"]})
+    work = work.withColumn("__host", F.coalesce(hosts.canonical_host(urls.host_and_port(F.col("__netloc"))[0]), F.lit("")))
+    work = host_parts(settled(work, keep, ["__scheme", "__host", "__path"]), "__host", rules)
+    site = F.coalesce(F.nullif(F.col("registered_domain"), F.lit("")), F.col("__host"))
+    return work.select(*keep, "__scheme", "__host", "__path", site.alias("__site"))
+
+
 def allowed_news(df: DataFrame, url: str, publishers: DataFrame, rules: SuffixRules | None = None) -> DataFrame:
     """News pages of the publishers' own domains, without section, account and file addresses.
 
-    `publishers`: publisher, publisher_base_url.  The cheap text tests run before the parse.
+    `publishers`: publisher, publisher_base_url.  The cheap text tests run before the split.
     """
     lowered = settled(df.withColumn("__low", F.lower(F.col(url))), df.columns, ["__low"])
     low = F.col("__low")
-    kept = lowered.where(low.rlike(r"^https?:") & ~contains_any(low, V.NEWS_BLOCKED_TOKENS)).drop("__low")
-    parsed = parse_records(kept.withColumn("record_type", F.lit("url")), url, rules=rules)
-    path = F.lower("path")
+    kept = lowered.where(low.rlike(r"^\s*https?:") & ~contains_any(low, V.NEWS_BLOCKED_TOKENS)).drop("__low")
+    parsed = _site_parts(kept, url, rules)
+    path = F.lower("__path")
     tail = "(" + "|".join(e.replace(".", r"\.") for e in V.NEWS_BLOCKED_ENDINGS) + r")\z"
-    pages = parsed.where(
-        "hostname <> '' or invalid_reason = 'invalid_url'"
-    ).where((F.col("path") != "/") & ~path.rlike(tail))
-    homes = parse_records(
-        publishers.withColumn("record_type", F.lit("url")), "publisher_base_url", rules=rules
-    ).select("publisher", "publisher_base_url", "registered_domain")
-    on = ["publisher", "registered_domain"] if "publisher" in df.columns else ["registered_domain"]
-    joined = pages.join(homes, on)
+    pages = parsed.where(F.col("__scheme").isin("http", "https") & (F.col("__host") != "") & ~F.col("__path").isin("", "/") & ~path.rlike(tail))
+    homes = _site_parts(publishers.select("publisher", "publisher_base_url"), "publisher_base_url", rules)
+    homes = homes.where("__host <> ''").select("publisher", "publisher_base_url", "__site")
+    on = ["publisher", "__site"] if "publisher" in df.columns else ["__site"]
+    joined = pages.join(homes, on).withColumn("registered_domain", F.col("__site"))
     return joined.select(*df.columns, *[c for c in ("publisher", "publisher_base_url", "registered_domain") if c not in df.columns])
 
 

@@ -177,3 +177,11 @@ def test_zip_archives_are_refused(spark, tmp_path):
     (folder / "tranco_2026-04-01.csv.zip").write_bytes(b"PK")
     with pytest.raises(ValueError, match="zip"):
         feeds.scan_feed(spark, str(tmp_path / "raw"), "tranco")
+
+
+def test_news_pages_need_no_valid_labels_or_port(spark):
+    press = spark.createDataFrame([("npr", "https://www.npr.org")], "publisher string, publisher_base_url string")
+    kept = ["https://a_b.npr.org/n/1", "https://npr.org:99999/n/2", "https://npr.org/n/3?x=1"]
+    pages = spark.createDataFrame([(u,) for u in [*kept, "https://npr.org/", "https://other.org/n/4", "ftp://npr.org/n/5", "https:///n/6"]], "url string")
+    got = extract.allowed_news(pages, "url", press).collect()
+    assert sorted(r.url for r in got) == sorted(kept) and {(r.publisher, r.registered_domain) for r in got} == {("npr", "npr.org")}
