@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 from hostlens.llm.common import batches, materialize
 from hostlens.llm.components import components
 
-_BATCH_BYTES = 4 << 20
+_BATCH_BYTES = 2 << 20
 #: Tokens with hashes below it are counted over the corpus: a quarter of all.
 _COUNTED = np.uint64(1 << 62)
 _TOKENS_PER_BUCKET = 1_000_000
 #: Tokens of the sets in a block of a family.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 #: Candidate classes up to which their keys (24 bytes each) are broadcast; beyond, texts are shuffled to them.
 BROADCAST_CLASSES = 1_000_000
 _MOST = np.iinfo(np.uint16).max
