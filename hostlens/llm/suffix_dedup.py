@@ -455,8 +455,8 @@ def clean(docs: DataFrame) -> DataFrame:
 
     Every row stays, if empty; other columns stay as they are, whatever their names.
     """
-    nested = materialize(keyed(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text").cast("string").alias("text")), "suffix-documents")
-    left = strip(nested, "row", as_text=True).select(F.col("id").alias("row"), F.col("kept").alias("rest"), "n_removed")
+    nested = materialize(keyed(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), "suffix-documents")
+    left = strip(nested.select("row", F.col("doc.text").alias("text")), "row", as_text=True).select(F.col("id").alias("row"), F.col("kept").alias("rest"), "n_removed")
     text = F.when(F.col("n_removed") > 0, F.col("rest")).otherwise(F.col("doc.text"))
     fixed = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
     both = nested.select("row", "doc").join(left, "row")
