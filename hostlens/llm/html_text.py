@@ -1,10 +1,11 @@
 """Main text of web pages by the distribution of line blocks.
 
 Markup is stripped to lines, one per block element.  A line's weight is its text outside links; lines of page furniture
-(menus, notices, adverts, forms, comments ...) weigh nothing, nor do lines outside the article where a page marks one.
-Weights are summed over sliding windows of ``WINDOW`` lines.  Text begins where the sums surge above a share of the
-highest, reaches back to the foot of that surge, and ends where they dive to nothing; lines with weight between are kept.
-Pages are read row by row without a shuffle.
+(menus, notices, comments ...) weigh nothing; adverts, forms and furniture inside a marked article are passed over, so that
+they do not part a text.  Weights are summed over sliding windows of ``WINDOW`` lines.  Text begins where the sums surge
+above a share of the highest, reaches back to the foot of that surge and the headings on it, and ends where
+they dive to nothing; all lines between that are no furniture are kept.  Where lines are marked as an article, their links weigh as text and lines outside weigh nothing; surges and dives choose among them in
+the same way.  Pages are read row by row without a shuffle.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from hostlens.llm.common import batches
 
 WINDOW = 3
-#: A surge reaches this share of the highest sum where the page marks no article.
+#: A surge reaches this share of the highest sum.
 SURGE = 0.2
 _BATCH_BYTES = 4 << 20
 
@@ -34,12 +35,13 @@ _BLOCKS = frozenset(
 _NESTED = _BLOCKS - frozenset("p li dd dt hr option tr td th html body head label".split())
 _RAW = frozenset("script style noscript template textarea title svg math iframe object canvas audio video noframes noembed xmp datalist".split())
 _FURNITURE = frozenset("nav aside footer form button select fieldset dialog menu label legend search head".split())
+#: Furniture that stands in the midst of a text.
+_INSERTS = frozenset("form button select fieldset dialog label legend".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar tablist".split())
 _TITLES = frozenset("header masthead banner".split())
-_ASIDES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promoted comment comments commentlist discussion disqus "
-    "respond replies".split()
-)
+_ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promoted".split())
+_ASIDES = _ADVERTS | frozenset("comment comments commentlist discussion disqus respond replies".split())
 _PARTS = _ASIDES | frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs footer sidebar sidebars aside widget widgets cookie cookies consent gdpr notice notices popup modal "
     "newsletter subscribe subscription signup login share sharing social related recommended pagination pager toolbar toc skip".split()
@@ -51,29 +53,29 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?![\w-])\s*(?:=\s
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _is_part(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is page furniture; ``inside`` an article its title block is not."""
+def _part(tag: str, attributes: str, inside: bool) -> int:
+    """2 for an element of page furniture, 1 for one in the midst of a text, else 0; ``inside`` an article its title block is 0."""
     if tag in _FURNITURE or (tag == "header" and not inside):
-        return True
+        return 1 if tag in _INSERTS else 2
     if not attributes or tag in ("body", "html"):
-        return False
+        return 0
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return 1
         if name == "role" and value.lower() in _ROLES:
-            return True
+            return 2
         if name in ("class", "id"):
             words = {w.lower() for w in _NAME.findall(value)}
             if words & (_ASIDES if tag in ("article", "main") else _PARTS) or (not inside and words & _TITLES):
-                return True
-    return False
+                return 1 if words & _ADVERTS else 2
+    return 0
 
 
-def lines(page: str) -> Iterator[tuple[str, bool, bool, int]]:
-    """Text of each block, whether it is furniture, whether it is in an article, and its characters inside links."""
-    stack: list[tuple[str, bool, bool]] = []
-    part = article = False
+def lines(page: str) -> Iterator[tuple[str, int, bool, int, bool]]:
+    """Text of each block, its kind of furniture, whether it is in an article, its characters inside links, whether it is a heading."""
+    stack: list[tuple[str, int, bool]] = []
+    part, article = 0, False
     link = 0
     held: list[str] = []
     linked = at = 0
@@ -81,7 +83,7 @@ def lines(page: str) -> Iterator[tuple[str, bool, bool, int]]:
     def flush():
         nonlocal held, linked
         text = " ".join(html.unescape("".join(held)).split())
-        row = (text, part, article, min(linked, len(text)))
+        row = (text, part, article, min(linked, len(text)), bool(stack) and stack[-1][0] in _HEADINGS)
         held, linked = [], 0
         return row if text else None
 
@@ -119,7 +121,7 @@ def lines(page: str) -> Iterator[tuple[str, bool, bool, int]]:
                 if not close:
                     stack.append((tag, part, article))
                     article = article or tag in ("article", "main") or ("role" in attributes and "\"main\"" in attributes)
-                    part = part or _is_part(tag, attributes, article)
+                    part = max(part, _part(tag, attributes, article))
                 else:
                     for i in range(len(stack) - 1, -1, -1):
                         if stack[i][0] == tag:
@@ -134,37 +136,49 @@ def lines(page: str) -> Iterator[tuple[str, bool, bool, int]]:
         yield row
 
 
-def between(weights: np.ndarray, surge: float) -> np.ndarray:
+def sums_of(weights: np.ndarray) -> np.ndarray:
+    """Sum of each window, by its first line."""
+    return np.convolve(weights, np.ones(WINDOW, np.int64))[WINDOW - 1 :]
+
+
+def between(weights: np.ndarray, headings: np.ndarray) -> np.ndarray:
     """Lines from the foot of each surge to the dive after it."""
     kept = np.zeros(len(weights), bool)
     if not weights.any():
         return kept
-    sums = np.convolve(weights, np.ones(WINDOW, np.int64))  # of each window, by its last line
-    sums = sums[WINDOW - 1 :] if len(weights) >= WINDOW else sums
-    sums = np.r_[sums, np.zeros(max(0, len(weights) - len(sums)), np.int64)][: len(weights)]  # by its first line
-    high = sums > surge * sums.max()
+    sums = sums_of(weights)
+    high = sums > SURGE * int(sums.max())
     i = 0
     while i < len(weights):
         if not high[i]:
             i += 1
             continue
         start = i
-        while start and weights[start - 1]:
+        while start and (weights[start - 1] or headings[start - 1]):
             start -= 1
+        while not (weights[start] or headings[start]):
+            start += 1
         end = i
         while end < len(weights) and sums[end]:
             end += 1
         kept[start:end] = True
         i = end + 1
-    return kept & (weights > 0)
+    return kept
 
 
 def main_text(page: str) -> str:
-    found = list(lines(page))
-    marked = any(article and not part for _, part, article, _ in found)
-    weights = np.array([0 if part or (marked and not article) else len(text) if marked else len(text) - linked for text, part, article, linked in found], np.int64)
-    kept = between(weights, 0.0 if marked else SURGE)
-    return "\n".join(text for (text, *_), k in zip(found, kept) if k)
+    found = [x for x in lines(page) if not (x[1] and (x[1] == 1 or x[2]))]
+    if not found:
+        return ""
+    part, marked = (np.array([bool(x[i]) for x in found]) for i in (1, 2))
+    whole, linked = np.array([len(x[0]) for x in found], np.int64), np.array([x[3] for x in found], np.int64)
+    weights = np.where(part, 0, whole - linked)
+    usable = ~part
+    if marked.any():
+        usable = marked
+        weights = np.where(marked, whole, 0)
+    kept = between(weights, usable & np.array([x[4] for x in found])) & usable
+    return "\n".join(x[0] for x, k in zip(found, kept) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:

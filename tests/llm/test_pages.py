@@ -23,6 +23,22 @@ def test_article_and_unmarked_body():
     assert html_text.main_text(PAGE % plain).count("\n") == 4
 
 
+PROSE = [f"Paragraph {i} of the running text, " + "which goes on for some while and " * 8 + "ends." for i in range(6)]
+
+
+def body(*texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+def test_surges_choose_among_marked_lines():
+    # A second marked element behind a dive, without a surge of its own.
+    page = PAGE % f"<article>{body(*PROSE)}</article>{'<div>Other</div>' * 3}<article><p>Tiny card</p></article>"
+    assert html_text.main_text(page).split("\n") == PROSE
+    # Furniture inside the article does not part it.
+    page = PAGE % f"<article>{body(*PROSE)}<aside>{body('a', 'b', 'c', 'd')}</aside><p>Short end.</p></article>"
+    assert html_text.main_text(page).split("\n") == [*PROSE, "Short end."]
+
+
 @pytest.mark.parametrize("page, text", [("", ""), ("a < b & c", "a < b & c"), ("<p>x</p><script>1<2", "x"), ("<!-- <p>no</p> -->yes", "yes"), ("<p>open <a ", "open"), ("<nav>only</nav>", "")])
 def test_fragments(page, text):
     assert html_text.main_text(page) == text
