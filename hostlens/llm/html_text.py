@@ -4,8 +4,9 @@ Markup is stripped to lines, one per block element.  A line's weight is its text
 (menus, notices, comments ...) weigh nothing; adverts, forms and furniture inside a marked article are passed over, so that
 they do not part a text.  Weights are summed over sliding windows of ``WINDOW`` lines.  Text begins where the sums surge
 above a share of the highest, reaches back to the foot of that surge and the headings on it, and ends where
-they dive to nothing; all lines between that are no furniture are kept.  Where lines are marked as an article, their links weigh as text and lines outside weigh nothing; surges and dives choose among them in
-the same way.  Pages are read row by row without a shuffle.
+they dive to nothing; all lines between that are no furniture are kept.  Where lines marked as an article hold the highest
+sums of text outside links, their links weigh as text and lines outside weigh nothing; surges and dives choose among them in
+the same way.  Marks on lesser lines (teaser cards) are not followed.  Pages are read row by row without a shuffle.
 """
 
 from __future__ import annotations
@@ -173,8 +174,10 @@ def main_text(page: str) -> str:
     part, marked = (np.array([bool(x[i]) for x in found]) for i in (1, 2))
     whole, linked = np.array([len(x[0]) for x in found], np.int64), np.array([x[3] for x in found], np.int64)
     weights = np.where(part, 0, whole - linked)
+    inside, outside = (int(sums_of(np.where(side, weights, 0)).max()) for side in (marked, ~marked))
+    # Or an article of links, beside which nothing surges.
     usable = ~part
-    if marked.any():
+    if marked.any() and (inside >= outside or outside <= SURGE * sums_of(np.where(marked, whole, 0)).max()):
         usable = marked
         weights = np.where(marked, whole, 0)
     kept = between(weights, usable & np.array([x[4] for x in found])) & usable

@@ -39,6 +39,14 @@ def test_surges_choose_among_marked_lines():
     assert html_text.main_text(page).split("\n") == [*PROSE, "Short end."]
 
 
+def test_teaser_cards_do_not_hide_the_text():
+    cards = "".join(f'<article class="more-stories"><h3><a href="/{i}">Story {i}</a></h3><p>Teaser {i}.</p></article>' for i in range(3))
+    links = "".join(f'<div><a href="/l{i}">More {i}</a></div>' for i in range(4))
+    assert html_text.main_text(PAGE % f'<div class="content">{body(*PROSE)}</div>{links}{cards}').split("\n") == PROSE
+    only = "".join(f'<p><a href="/{i}">Entry {i} of a long list of links</a></p>' for i in range(9))
+    assert html_text.main_text(PAGE % f"<article>{only}</article><div>Hi</div>").count("\n") == 8
+
+
 @pytest.mark.parametrize("page, text", [("", ""), ("a < b & c", "a < b & c"), ("<p>x</p><script>1<2", "x"), ("<!-- <p>no</p> -->yes", "yes"), ("<p>open <a ", "open"), ("<nav>only</nav>", "")])
 def test_fragments(page, text):
     assert html_text.main_text(page) == text
