@@ -3,7 +3,7 @@
 Markup is stripped to lines, one per block element.  A line's weight is its text outside links; lines of page furniture
 (menus, notices, comments ...) weigh nothing; adverts, forms and furniture inside a marked article are passed over, so that
 they do not part a text.  Weights are summed over sliding windows of ``WINDOW`` lines.  Text begins where the sums surge
-above a share of the highest, reaches back to the foot of that surge and the headings on it, and ends where
+above a share of those of a usual paragraph, reaches back to the foot of that surge and the headings on it, and ends where
 they dive to nothing; all lines between that are no furniture are kept.  Where lines marked as an article hold the highest
 sums of text outside links, their links weigh as text and lines outside weigh nothing; surges and dives choose among them in
 the same way.  Marks on lesser lines (teaser cards) are not followed.  Pages are read row by row without a shuffle.
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from hostlens.llm.common import batches
 
 WINDOW = 3
-#: A surge reaches this share of the highest sum.
+#: A surge reaches this share of the sum of ``WINDOW`` usual paragraphs, or of the highest sum if that is less.
 SURGE = 0.2
+#: Characters of a line that counts as a paragraph, and the most that a usual one counts for.
+PARAGRAPH = (80, 400)
 _BATCH_BYTES = 4 << 20
 
 _BLOCKS = frozenset(
@@ -148,7 +150,8 @@ def between(weights: np.ndarray, headings: np.ndarray) -> np.ndarray:
     if not weights.any():
         return kept
     sums = sums_of(weights)
-    high = sums > SURGE * int(sums.max())
+    usual = np.sort(weights[weights >= min(PARAGRAPH[0], weights.max())])
+    high = sums > SURGE * min(int(sums.max()), WINDOW * min(int(usual[(len(usual) - 1) // 2]), PARAGRAPH[1]))
     i = 0
     while i < len(weights):
         if not high[i]:

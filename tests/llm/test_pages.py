@@ -47,6 +47,17 @@ def test_teaser_cards_do_not_hide_the_text():
     assert html_text.main_text(PAGE % f"<article>{only}</article><div>Hi</div>").count("\n") == 8
 
 
+def test_parts_of_unmarked_text():
+    links = "".join(f'<div><a href="/l{i}">Elsewhere {i}</a></div>' for i in range(3))
+    code = "<pre>" + "x = 1; " * 3000 + "</pre>"
+    assert [t for t in html_text.main_text(PAGE % f"<div>{code}{links}{body(*PROSE)}</div>").split("\n")[1:]] == PROSE
+    form = "<form>" + body("Name", "Mail", "Send") + "</form>"
+    advert = "<div class=advert>" + body("Buy", "this", "now") + "</div>"
+    assert html_text.main_text(PAGE % f"<div>{body(*PROSE)}{form}<p>Short part.</p>{advert}<p>End.</p></div>").split("\n") == [*PROSE, "Short part.", "End."]
+    heading = '<h2><a href="#own">Own link</a></h2>'
+    assert html_text.main_text(PAGE % f"<div>{heading}{body(PROSE[0])}{heading}{body(PROSE[1])}</div>").split("\n") == ["Own link", PROSE[0], "Own link", PROSE[1]]
+
+
 @pytest.mark.parametrize("page, text", [("", ""), ("a < b & c", "a < b & c"), ("<p>x</p><script>1<2", "x"), ("<!-- <p>no</p> -->yes", "yes"), ("<p>open <a ", "open"), ("<nav>only</nav>", "")])
 def test_fragments(page, text):
     assert html_text.main_text(page) == text
