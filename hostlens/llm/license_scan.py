@@ -2,7 +2,8 @@
 
 A text is its words, lower-cased, with one space between.  A notice that may differ in up to k characters is split into k + 1
 pieces; within any match at least one piece stands unchanged (pigeonhole), so exact search for pieces finds every candidate
-place.  The regex library then verifies the place with the notice's error bound and gives the span and the edits.  Work is
+place.  The regex library then verifies the place with the notice's error bound and gives the span and the edits.  Words that
+tell a notice from another licence's stand unchanged (they are the exact piece then), errors are for the rest.  Work is
 row-local: one pass over each text and a bounded window per candidate.
 """
 
@@ -25,25 +26,29 @@ CHARACTERS_PER_ERROR = 10
 
 # Phrases whose exact places are always reported.
 BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
-#: Notices searched with errors.
+#: Notices searched with errors; what stands in brackets tells them from another licence and takes none.
 NOTICES = (
-    ("mit", "under the mit license"),
+    ("mit", "under the[ mit ]license"),
+    ("mit", "under the[ m i t ]license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("cc-by-nc", "creative commons attribution noncommercial"),
-    ("cc-by-nc", "licensed under cc by nc"),
+    ("apache-2", "licensed under the[ apache ]license version[ 2 ]0"),
+    ("cc-by-nc", "creative commons attribution[ non]commercial"),
+    ("cc-by-nc", "licensed under cc by[ nc]"),
     ("cc-by-sa", "creative commons attribution sharealike"),
     ("cc-by", "creative commons attribution 4 0 international license"),
     ("gpl", "gnu general public license version"),
     ("lgpl", "gnu lesser general public license"),
     ("agpl", "gnu affero general public license"),
     ("bsd", "redistribution and use in source and binary forms"),
-    ("mpl-2", "subject to the terms of the mozilla public license"),
+    ("mpl-2", "subject to the terms of the[ mozilla ]public license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("cc0", "dedicated to the public domain under cc0"),
-    ("proprietary", "all rights reserved no part of this publication may be reproduced"),
+    ("cc0", "dedicated to the public domain under[ cc0]"),
+    ("cc0", "dedicated to the public domain under[ cc 0]"),
+    ("proprietary", "all rights reserved[ no ]part of this publication may be reproduced"),
 )
+#: Terms of a licence: a match with one that its notice lacks is another licence's.
+TERMS = frozenset((b"nc", b"nd", b"sa"))
 
 _TO_WORDS = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -53,24 +58,40 @@ _TO_WORDS = bytes(
 @dataclass(frozen=True)
 class Notice:
     label: str
-    phrase: bytes
-    errors: int
+    #: Runs of the phrase, and whether they stand unchanged.
+    runs: tuple[tuple[bytes, bool], ...]
+    per_error: int
+
+    @property
+    def phrase(self) -> bytes:
+        return b"".join(run for run, _ in self.runs)
+
+    @property
+    def errors(self) -> int:
+        return len(self.phrase) // self.per_error
 
     def pieces(self) -> list[tuple[int, bytes]]:
-        """Offsets and bytes of errors + 1 pieces of about one length."""
+        """Offsets and bytes of pieces of which every match holds one: the longest exact run, or errors + 1 pieces of about one length."""
+        whole = [(sum(len(x) for x, _ in self.runs[:i]), run) for i, (run, exact) in enumerate(self.runs) if exact]
+        if whole:
+            return [max(whole, key=lambda x: len(x[1]))]
         n, size = self.errors + 1, len(self.phrase)
         cuts = [i * size // n for i in range(n + 1)]
         return [(a, self.phrase[a:b]) for a, b in zip(cuts, cuts[1:])]
 
+    def pattern(self) -> regex.Pattern:
+        """On word edges; the match with the fewest edits."""
+        runs = [regex.escape(run) if exact else rb"(?:%b){e<=%d}" % (regex.escape(run), self.errors) for run, exact in self.runs]
+        return regex.compile(rb"(?<=^| )" + b"".join(runs) + rb"(?= |$)", regex.BESTMATCH)
+
 
 @lru_cache(maxsize=4)
 def _prepared(notices: tuple[tuple[str, str], ...], per_error: int) -> list[tuple[Notice, list[tuple[int, bytes]], regex.Pattern]]:
     out = []
-    for label, phrase in notices:
-        notice = Notice(label, phrase.encode(), len(phrase) // per_error)
-        # On word edges; of overlapping candidates the one with the fewest edits.
-        pattern = regex.compile(rb"(?<=^| )(?:%b){e<=%d}(?= |$)" % (regex.escape(notice.phrase), notice.errors), regex.BESTMATCH)
-        out.append((notice, notice.pieces(), pattern))
+    for label, marked in notices:
+        runs = tuple((run.encode(), i % 2 == 1) for i, run in enumerate(regex.split(r"[\[\]]", marked)) if run)
+        notice = Notice(label, runs, per_error)
+        out.append((notice, notice.pieces(), notice.pattern()))
     return out
 
 
@@ -108,6 +129,8 @@ def fuzzy_places(text: bytes, notices: tuple[tuple[str, str], ...], per_error: i
             for found in pattern.finditer(text, low, high):
                 start = found.start() + (text[found.start() : found.start() + 1] == b" ")
                 edits = sum(found.fuzzy_counts)
+                if edits > slack or not TERMS.isdisjoint(set(found.group().split()) - set(notice.phrase.split())):
+                    continue  # another licence's
                 out.append((notice.label, text.count(b" ", 0, start), len(found.group().split()), edits, 1 - edits / size, found.group().strip()))
     return out
 

@@ -195,6 +195,21 @@ def test_fuzzy_notices_against_edit_distance():
             assert similarity == 1 - edits / len(phrase)
 
 
+def labelled(text):
+    return [(label, found.decode()) for label, *_, found in license_scan.fuzzy_places(b" ".join(license_scan.words_of(text)), license_scan.NOTICES, 10)]
+
+
+@pytest.mark.parametrize("text", ["licensed under CC BY-SA", "licensed under CC-BY-ND", "licensed under CC BY 4.0", "under the MPL license", "under the BSD license", "under the mitre license",
+    "licensed under the Apache License, Version 1.1", "dedicated to the public domain under PDDL", "Creative Commons Attribution-NC 4.0 International License", "subject to the terms of the Nokia Public License"])
+def test_neighbouring_licences_have_no_label(text):
+    assert labelled(text) == []
+
+
+def test_errors_beside_distinguishing_words():
+    for text, label in (("licenced under CC BY-NC", "cc-by-nc"), ("under tha MIT licence", "mit"), ("under the M.I.T. license", "mit"), ("Creative Commons Attribution Non-Commercial", "cc-by-nc"), ("Creative Commons Atribution 4.0 International License", "cc-by")):
+        assert [x for x, _ in labelled(text)] == [label]
+
+
 def test_scan_rows(spark, nasty, nasty_rows, empty):
     more = [
         (1, "Released under the MIT License. Under the mit-license! CC BY-NC cc by nc", "mit,cc-by-nc"), (2, "gnu general public licence version 3", ""), (3, "nothing", ""),
