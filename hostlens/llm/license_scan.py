@@ -4,11 +4,14 @@ A text is its words, lower-cased, with one space between.  A notice that may dif
 pieces; within any match at least one piece stands unchanged (pigeonhole), so exact search for pieces finds every candidate
 place.  The regex library then verifies the place with the notice's error bound and gives the span and the edits.  Words that
 tell a notice from another licence's stand unchanged (they are the exact piece then), errors are for the rest.  Work is
-row-local: one pass over each text and a bounded window per candidate.
+row-local: one pass over each text and a bounded window per candidate.  Of overlapping matches the one of fewest edits stays,
+then the first; a window is searched again in what other matches leave of it.
 """
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -117,24 +120,53 @@ def fuzzy_places(text: bytes, notices: tuple[tuple[str, str], ...], per_error: i
     out = []
     for notice, pieces, pattern in _prepared(notices, per_error):
         size, slack = len(notice.phrase), notice.errors
-        spots = sorted(at - offset for offset, part in pieces for at in _places(text, part))
-        windows: list[list[int]] = []
-        for spot in spots:
-            low, high = max(0, spot - slack - 1), spot + size + slack + 1
-            if windows and low <= windows[-1][1]:
-                windows[-1][1] = max(windows[-1][1], high)
-            else:
-                windows.append([low, high])
-        for low, high in windows:
-            for found in pattern.finditer(text, low, high):
-                start = found.start() + (text[found.start() : found.start() + 1] == b" ")
-                edits = sum(found.fuzzy_counts)
-                if edits > slack or not TERMS.isdisjoint(set(found.group().split()) - set(notice.phrase.split())):
-                    continue  # another licence's
-                out.append((notice.label, text.count(b" ", 0, start), len(found.group().split()), edits, 1 - edits / size, found.group().strip()))
+        spots = sorted({at - offset for offset, part in pieces for at in _places(text, part)})
+        out += [(notice.label, text.count(b" ", 0, a), text.count(b" ", a, b) + 1, edits, 1 - edits / size, text[a:b]) for a, b, edits in _verified(text, notice, pattern, spots, size, slack)]
     return out
 
 
+def _verified(text: bytes, notice: Notice, pattern: regex.Pattern, spots: list[int], size: int, slack: int) -> list[tuple[int, int, int]]:
+    """Start, end and edits of the matches around spots, fewest edits first where they overlap."""
+    words, found = frozenset(notice.phrase.split()), []
+
+    def search(low: int, high: int) -> None:
+        """Adds the best match of a span between word edges."""
+        while high - low >= size - slack:
+            match = pattern.search(text, low, high)
+            if not match:
+                return
+            a, b = match.span()
+            a, b = a + (text[a : a + 1] == b" "), b - (text[b - 1 : b] == b" ")
+            edits = sum(match.fuzzy_counts)
+            if edits <= slack and TERMS.isdisjoint(set(text[a:b].split()) - words):
+                heapq.heappush(found, (edits, a, b, low, high))
+                return
+            if edits > slack:
+                return
+            search(low, a - 1)  # another licence's: what stands beside it
+            low = b + 1
+
+    for spot in spots:
+        low, high = max(0, spot - slack - 1), max(0, spot + size + slack + 1)
+        low, high = text.rfind(b" ", 0, low) + 1, text.find(b" ", high)
+        search(low, high if high >= 0 else len(text))
+    starts: list[int] = []
+    kept: list[tuple[int, int, int]] = []
+    while found:
+        edits, a, b, low, high = heapq.heappop(found)
+        i = bisect(starts, b)
+        near = kept[i - 1] if i else None
+        if near and near[1] > a:  # overlaps a better match
+            if near[:2] != (a, b):
+                search(low, min(high, near[0] - 1))
+                search(max(low, near[1] + 1), high)
+            continue
+        i = bisect(starts, a)
+        starts.insert(i, a)
+        kept.insert(i, (a, b, edits))
+    return kept
+
+
 RESULT = (
     "doc_id long, n_words long, base array<struct<label:string,word:long>>, "
     "matches array<struct<label:string,word:long,words:long,edits:int,similarity:double,found:string>>"

@@ -210,6 +210,12 @@ def test_errors_beside_distinguishing_words():
         assert [x for x, _ in labelled(text)] == [label]
 
 
+def test_near_matches_close_together():
+    worse, better = "under tha mit license", "under the mit license"
+    for texts in ((worse, "and", better), (better, "and", worse), (worse, better), (worse, worse, better, worse)):
+        assert sorted(x for _, x in labelled(" ".join(texts))) == sorted(x for x in texts if x != "and")
+
+
 def test_scan_rows(spark, nasty, nasty_rows, empty):
     more = [
         (1, "Released under the MIT License. Under the mit-license! CC BY-NC cc by nc", "mit,cc-by-nc"), (2, "gnu general public licence version 3", ""), (3, "nothing", ""),
