@@ -10,8 +10,9 @@ A text is the set of its hashed n-grams.  Two sets of similarity t or more share
 
 Documents with equal sets form one class.  Classes that share a prefix token are dealt to families (components of the
 graph class - first class of each token's list), so every candidate pair lies in one family.  A family of many tokens is cut
-into blocks, and each pair of blocks is a task of bounded size.  Tasks hold sets, filter and verify pairs, skip pairs already
-connected, and return a spanning forest of links, never pairs.  Components of those links are the result.
+into blocks, and each pair of blocks is a task of bounded size.  Tasks hold sets, filter and verify all pairs, and return per class how many documents it is linked
+with, and a spanning forest of links, never pairs.  Components of the forest and the sums of the numbers are the result.
+Where only components are asked for, pairs already connected are skipped.
 
 Token counts are gathered per batch of documents before they are shuffled, so a token in a third of all rows is one entry
 per batch.
@@ -168,15 +169,35 @@ def postings(heads: DataFrame, found: DataFrame, buckets: int, percent: int) ->
     return rows.mapInArrow(run, "token long, cid binary, tk long, n long")
 
 
-def linked(keys: list[bytes], sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[bytes, bytes]]:
-    """A spanning forest of the links between distinct sets; with two sides, of links from one to the other."""
+def _hits(values: np.ndarray, edges: np.ndarray, flags: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each of the sets ``at``, in order, how many of its values are flagged."""
+    low, sizes = edges[at], edges[at + 1] - edges[at]
+    if 4 * sizes.sum() > edges[at[-1] + 1] - low[0]:  # read the whole stretch
+        found = flags[values[low[0] : edges[at[-1] + 1]]]
+        begin = low - low[0]
+    else:
+        begin = np.cumsum(sizes) - sizes
+        found = flags[values[np.arange(sizes.sum()) + np.repeat(low - begin, sizes)]]
+    total = np.zeros(len(found) + 1, np.int32)
+    np.cumsum(found, out=total[1:])
+    return total[begin + sizes] - total[begin]
+
+
+def linked(keys: list[bytes], sets: list[np.ndarray], side: np.ndarray, percent: int, copies: np.ndarray | None = None) -> tuple[list[tuple[bytes, bytes]], np.ndarray]:
+    """A spanning forest of the links between distinct sets, and the copies of the sets that each is linked with.
+
+    With two sides, of links from the first to the other, whose sets come last.  Without ``copies`` nothing is counted, and pairs
+    already connected are skipped.
+    """
     from hostlens.llm.words import mix
 
     sizes = np.array([len(x) for x in sets], np.int64)
+    number = np.zeros(len(sets), np.int64)
     if not len(sets) or not sizes.sum():
-        return []
+        return [], number
     flat = np.concatenate(sets)
     doc = np.repeat(np.arange(len(sets)), sizes)
+    edges = np.r_[0, np.cumsum(sizes)]
     _, which, counts = np.unique(flat, return_inverse=True, return_counts=True)
     count = counts[which]
     room = np.repeat(prefix_size(sizes, percent), sizes)
@@ -186,75 +207,75 @@ def linked(keys: list[bytes], sets: list[np.ndarray], side: np.ndarray, percent:
     for order in (np.lexsort((flat, count, doc)), np.lexsort((mix(flat), band, doc)), np.arange(len(flat))):
         keep = order[place < room]
         keep = keep[count[keep] > 1]
-        prefixes.append((doc[keep], which[keep]))
-    others = []
-    for owner, token in prefixes[1:]:
-        edges = np.searchsorted(owner, np.arange(len(sets) + 1))
-        others.append([frozenset(token[a:b].tolist()) for a, b in zip(edges[:-1], edges[1:])])
-    whole: dict[int, frozenset] = {}
-
-    def tokens(i: int) -> frozenset:
-        if i not in whole:
-            whole[i] = frozenset(sets[i].tolist())
-        return whole[i]
-
-    parent = list(range(len(sets)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    owner, token = prefixes[0]
-    # Documents with the fewest tokens of their own first: they are the likeliest partners.
-    lone = np.bincount(doc, weights=count == 1, minlength=len(sets)) / np.maximum(sizes, 1)
-    order = np.lexsort((owner, lone[owner], token))
-    owner, token = owner[order], token[order]
-    cuts = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True]) if len(token) else np.zeros(1, np.int64)
-    split = bool(side.any()) and not bool(side.all())
-    tested: set[int] = set()
+        prefixes.append((which[keep], np.searchsorted(doc[keep], np.arange(len(sets) + 1))))
+    first, bounds = prefixes[0]
+    holder = np.repeat(np.arange(len(sets)), np.diff(bounds))
+    by_token = np.argsort(first, kind="stable")
+    holders = holder[by_token]
+    lists = np.searchsorted(first[by_token], np.arange(len(counts) + 1))
+    flags = np.zeros(len(counts), bool)
+    group = np.arange(len(sets))
     links = []
-    size = sizes.tolist()
-    sides = side.tolist()
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        members = owner[a:b].tolist()
-        if len({root(i) for i in members}) < 2:
+    split = int(np.argmax(side)) if side.any() and not side.all() else 0
+
+    def holding(values: np.ndarray, edges: np.ndarray, own: np.ndarray, at: np.ndarray) -> np.ndarray:
+        flags[own] = True
+        hits = _hits(values, edges, flags, at)
+        flags[own] = False
+        return hits
+
+    for x in range(split or len(sets)):
+        low = max(x + 1, split)
+        own = first[bounds[x] : bounds[x + 1]]
+        if low == len(sets) or not len(own):
+            continue
+        if (lists[own + 1] - lists[own]).sum() > len(first) - bounds[low]:
+            at = np.arange(low, len(sets))
+            at = at[holding(first, bounds, own, at) > 0]
+        else:
+            at = np.unique(np.concatenate([holders[lists[t] : lists[t + 1]] for t in own.tolist()]))
+            at = at[at >= low]
+        at = at[100 * np.minimum(sizes[at], sizes[x]) >= percent * np.maximum(sizes[at], sizes[x])]
+        if copies is None:
+            at = at[group[at] != group[x]]
+        for values, where in prefixes[1:]:
+            if len(at):
+                at = at[holding(values, where, values[where[x] : where[x + 1]], at) > 0]
+        if not len(at):
             continue
-        for j in range(1, len(members)):
-            y = members[j]
-            for x in members[:j]:
-                if split and sides[x] == sides[y] or root(x) == root(y):
-                    continue
-                if 100 * min(size[x], size[y]) < percent * max(size[x], size[y]):
-                    continue
-                pair = min(x, y) * len(sets) + max(x, y)
-                if pair in tested:
-                    continue
-                tested.add(pair)
-                if any(o[x].isdisjoint(o[y]) for o in others):
-                    continue
-                both = len(tokens(x) & tokens(y))
-                if 100 * both >= percent * (size[x] + size[y] - both):
-                    parent[root(x)] = root(y)
-                    links.append((keys[x], keys[y]))
-    return links
-
-
-def _verify(percent: int):
-    def run(group: pa.Table) -> pa.Table:
-        found: dict[bytes, tuple[bytes, bool]] = {}
-        for cid, data, side in zip(*(group.column(c).to_pylist() for c in ("cid", "tokens", "side"))):
-            found[cid] = (data, side)
-        keys = sorted(found)
-        links = linked(keys, [np.frombuffer(found[k][0], "<u8") for k in keys], np.array([found[k][1] for k in keys], bool), percent)
-        return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
+        both = holding(which, edges, which[edges[x] : edges[x + 1]], at).astype(np.int64)
+        at = at[100 * both >= percent * (sizes[x] + sizes[at] - both)]
+        if copies is not None:
+            number[x] += copies[at].sum()
+            number[at] += copies[x]
+        fresh, one = np.unique(group[at], return_index=True)
+        for g, y in zip(fresh.tolist(), at[one].tolist()):
+            if g != group[x]:
+                links.append((keys[x], keys[y]))
+                group[group == g] = group[x]
+    return links, number
+
+
+def _verify(percent: int, counted: bool):
+    def run(table: pa.Table) -> pa.Table:
+        found: dict[bytes, tuple[bool, bytes, int]] = {}
+        for cid, data, side, copies in zip(*(table.column(c).to_pylist() for c in ("cid", "tokens", "side", "copies"))):
+            found[cid] = (side, data, copies)
+        keys = sorted(found, key=lambda k: (found[k][0], k))
+        sets, side = [np.frombuffer(found[k][1], "<u8") for k in keys], np.array([found[k][0] for k in keys], bool)
+        links, number = linked(keys, sets, side, percent, np.array([found[k][2] for k in keys], np.int64) if counted else None)
+        some = np.flatnonzero(number).tolist()
+        return pa.table({
+            "a": pa.array([x for x, _ in links] + [keys[i] for i in some], pa.binary()), "b": pa.array([y for _, y in links] + [None] * len(some), pa.binary()),
+            "n": pa.array([0] * len(links) + number[some].tolist(), pa.int64()),
+        })
 
     return run
 
 
-def links(docs: DataFrame, heads: DataFrame, n: int, percent: int) -> DataFrame:
-    """``a, b``: links between classes that connect every component of similar documents."""
+def links(docs: DataFrame, heads: DataFrame, n: int, percent: int, counted: bool = True) -> DataFrame:
+    """``a, b, n``: links between classes that connect every component of similar documents; without ``b``, how many documents
+    of other classes a task found ``a`` linked with."""
     total = heads.agg(F.sum(F.length("tokens"))).head()[0] or 0
     buckets = max(1, -(-int(total) // (8 * _TOKENS_PER_BUCKET)))
     posted = materialize(postings(heads, frequencies(heads, buckets), buckets, percent), "join-postings")
@@ -262,9 +283,10 @@ def links(docs: DataFrame, heads: DataFrame, n: int, percent: int) -> DataFrame:
     stars = posted.join(lists, "token").where("cid <> leader").select(F.col("cid").alias("a"), F.col("leader").alias("b")).distinct()
     family = components(stars)
     classes = posted.groupBy("cid").agg(F.min("tk").alias("tk"), F.max("n").alias("n"))
+    classes = classes.join(heads.select(F.explode("cid").alias("cid")).groupBy("cid").agg(F.count("*").alias("copies")), "cid")
     members = materialize(classes.join(family.withColumnRenamed("v", "cid"), "cid").withColumnRenamed("c", "family"), "join-members")
     sizes = members.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
-    wanted = members.join(sizes, "family").select("tk", "cid", "family", "blocks", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"))
+    wanted = members.join(sizes, "family").select("tk", "cid", "copies", "family", "blocks", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"))
     if members.count() <= BROADCAST_CLASSES:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col("text").cast("string").alias("text"), text_key().alias("tk")).join(wanted, "tk")
@@ -278,34 +300,42 @@ def links(docs: DataFrame, heads: DataFrame, n: int, percent: int) -> DataFrame:
             batch = batch.take(pa.array(fresh))
             sets, keys, _ = _heads([t or "" for t in batch.column("text").to_pylist()], n, percent)
             right = [i for i, c in enumerate(batch.column("cid").to_pylist()) if c == keys[i]]
-            out = batch.select(["cid", "family", "blocks", "block"]).take(pa.array(right, pa.int64()))
+            out = batch.select(["cid", "copies", "family", "blocks", "block"]).take(pa.array(right, pa.int64()))
             yield out.append_column("tokens", pa.array([sets[i].tobytes() for i in right], pa.binary()))
 
-    sets = texts.select("text", "cid", "family", "blocks", "block").mapInArrow(run, "cid binary, family binary, blocks int, block int, tokens binary")
+    sets = texts.select("text", "cid", "copies", "family", "blocks", "block").mapInArrow(run, "cid binary, copies long, family binary, blocks int, block int, tokens binary")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), (F.col("block") > j).alias("side")))
-    dealt = sets.select("cid", "family", "tokens", F.inline(pairs))
-    return dealt.groupBy("family", "i", "j").applyInArrow(_verify(percent), "a binary, b binary")
+    dealt = sets.select("cid", "copies", "family", "tokens", F.inline(pairs))
+    return dealt.groupBy("family", "i", "j").applyInArrow(_verify(percent, counted), "a binary, b binary, n long")
 
 
-def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, tk, cid`` of every document.
+def similar(docs: DataFrame, n: int = 5, percent: int = 80, counted: bool = True) -> DataFrame:
+    """``doc_id, n_shingles, component_id, n_links, tk, cid`` of every document.
 
     Words are runs of characters other than ASCII white space, with A-Z lowered.  Sets of similarity ``percent`` / 100 or more
     are linked; ``component_id`` is the smallest ``doc_id`` that links reach.  Null, empty and blank texts have no
     n-grams, are linked with nothing and keep their own id.  Rows with equal ids are documents of their own; null
-    ids are reached, but name a component only if it has no other.  ``tk`` is the key of the text, ``cid`` the digest of the set.
+    ids are reached, but name a component only if it has no other.  ``n_links`` is the number of other documents
+    that a document is linked with itself, documents of the same set included; null if not ``counted``.  ``tk`` is the key of the
+    text, ``cid`` the digest of the set.
     """
     heads = materialize(digest(docs, n, percent), "join-heads")
-    joined = materialize(components(links(docs, heads, n, percent)), "join-components")
+    found = materialize(links(docs, heads, n, percent, counted), "join-links")
+    joined = materialize(components(found.where("b is not null").select("a", "b")), "join-components")
     rows = heads.select(F.inline(F.arrays_zip("doc_id", "tk", F.col("n").alias("n_shingles"), "cid")))
     rows = materialize(rows, "join-rows")
-    classes = rows.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("least"))
+    classes = rows.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     named = classes.join(joined.withColumnRenamed("v", "cid"), "cid", "left").withColumn("c", F.coalesce("c", "cid"))
     lowest = named.groupBy("c").agg(F.min("least").alias("component_id"))
-    ids = named.join(lowest, "c").select("cid", "component_id")
+    ids = named.join(lowest, "c").select("cid", "component_id", "copies")
+    if counted:
+        others = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n"))
+        ids = ids.join(others, "cid", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("n", F.lit(0)))
+    else:
+        ids = ids.withColumn("n_links", F.lit(None).cast("long"))
     whole = rows.where("n_shingles > 0").join(ids, "cid")
-    alone = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
-    columns = ["doc_id", "n_shingles", "component_id", "tk", "cid"]
+    alone = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).withColumn("n_links", F.lit(0 if counted else None).cast("long"))
+    columns = ["doc_id", "n_shingles", "component_id", "n_links", "tk", "cid"]
     return whole.select(columns).unionAll(alone.select(columns))
 
 
@@ -314,7 +344,7 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     Texts without n-grams all stay.  Columns stay as they are, whatever their names.
     """
-    found = similar(docs, n, percent)
+    found = similar(docs, n, percent, counted=False)
     linked_rows = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "tk")).alias("first"))
     keepers = linked_rows.select(F.col("first.doc_id").alias("id"), F.col("first.tk").alias("tk"))
     nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("id"), text_key().alias("tk"), F.col("text").rlike(r"[^\x20\x09-\x0D]").alias("worded"))

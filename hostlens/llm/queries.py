@@ -99,7 +99,7 @@ def op10_crf_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op2_multi_order_join(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard_join.similar(table(spark, folder, "documents"), 4, 85).select("doc_id", "n_shingles", "component_id")
+    return jaccard_join.similar(table(spark, folder, "documents"), 4, 85).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 @query

@@ -63,6 +63,25 @@ def test_chains_and_blocks(spark, monkeypatch):
     assert sorted(repr(tuple(r)) for r in got) == want
 
 
+def numbers(rows, n, percent):
+    sets = [shingles(r[1], n) for r in rows]
+    return [(r[0], sum(j != i and bool(s and t) and 100 * len(s & t) >= percent * len(s | t) for j, t in enumerate(sets))) for i, (r, s) in enumerate(zip(rows, sets))]
+
+
+@pytest.mark.parametrize("block", [jaccard_join.BLOCK_TOKENS, 700])
+def test_numbers_of_links(spark, nasty, nasty_rows, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", block)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(f"x{rng.randrange(400)}" if rng.random() < 0.02 else w for w in base)) for i in range(60)]  # many links, some copies
+    rows += [(200 + i, f"pair {i // 2} of " + " ".join(f"v{i // 2}_{j}" for j in range(40)) + f" end{i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for df, want in ((docs, numbers(rows, 4, 85)), (nasty, numbers(nasty_rows, 4, 85))):
+        got = jaccard_join.similar(df, 4, 85).select("doc_id", "n_links").collect()
+        assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, want))
+    assert max(n for _, n in numbers(rows, 4, 85)) > 2
+
+
 def test_keep_one(nasty, nasty_rows, empty):
     kept = jaccard_join.keep_one(nasty)
     assert kept.columns == nasty.columns
