@@ -27,15 +27,16 @@ from hostlens.llm.common import keyed, materialize
 SLICES = 4
 #: Queries that are broadcast at once.
 QUERY_BLOCK = 4096
-#: Components beyond it, in units of 1 / scale, could overflow a score.
+#: Vectors with a component beyond it, in units of 1 / scale, are kept apart and scored by long or unbounded integers.
 LARGEST = 1 << 24
 _TILE = 1024
 
 
 def scaled(vectors: DataFrame, scale: int = 1024) -> DataFrame:
-    """``row, vec_id, size, v``: components floor(scale * x) as packed 32-bit integers.
+    """``row, vec_id, size, v``: components floor(scale * x) as packed 32-bit integers, or as doubles (which hold them exactly) where one
+    reaches ``LARGEST``.
 
-    Left out: vectors that are null or hold a null, non-finite or (``LARGEST``) oversized component.
+    Left out: vectors that are null or hold a null or non-finite component.
     """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,9 +45,13 @@ def scaled(vectors: DataFrame, scale: int = 1024) -> DataFrame:
             for row, vec_id, x in zip(batch.column("row").to_pylist(), batch.column("vec_id").to_pylist(), batch.column("embedding")):
                 if not x.is_valid or x.values.null_count:
                     continue
-                v = np.floor(scale * x.values.to_numpy(zero_copy_only=False).astype(np.float64))
-                if np.isfinite(v).all() and (np.abs(v) < LARGEST).all():
-                    kept.append((row, vec_id, len(v), v.astype("<i4").tobytes()))
+                given = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                if not np.isfinite(given).all():
+                    continue
+                v = np.floor(scale * given)
+                if not np.isfinite(v).all():
+                    raise ValueError(f"vec_id {vec_id}: a component is too large to be scored")
+                kept.append((row, vec_id, len(v), v.astype("<i4" if (np.abs(v) < LARGEST).all() else "<f8").tobytes()))
             cols = list(zip(*kept)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["row", "vec_id", "size", "v"])
 
@@ -59,7 +64,37 @@ def _parts(size: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:])]
 
 
-def _tiles(source: Iterator[pa.RecordBatch], queries: dict[int, tuple[np.ndarray, np.ndarray]]):
+def _unpacked(packed: list[bytes], size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places and components of the vectors of usual components, and of the others."""
+    wide = np.array([len(v) > 4 * size for v in packed], bool)
+    out = []
+    for at, kind in ((np.flatnonzero(~wide), "<i4"), (np.flatnonzero(wide), "<f8")):
+        if len(at):
+            out.append((at, np.frombuffer(b"".join([packed[i] for i in at]), kind).reshape(len(at), size).astype(np.float64)))
+    return out
+
+
+def _lists(left: np.ndarray, right: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+    """Exact slice scores; of components too large for that, the whole scores as one slice's."""
+    size = left.shape[1]
+    bound = float(np.abs(left).max()) * float(np.abs(right).max()) * size if size else 0.0
+    if bound < 2**62:
+        if bound >= 2**53:  # sums of doubles are exact below
+            left, right = left.astype(np.int64), right.astype(np.int64)
+        return [left[:, s] @ right[:, s].T for s in _parts(size)]
+    whole = [[[int(x) for x in v] for v in m] for m in (left, right)]
+    total = np.zeros(own.shape, np.int64)
+    for i, x in enumerate(whole[0]):
+        for j, y in enumerate(whole[1]):
+            if not own[i, j]:
+                score = sum(map(int.__mul__, x, y))
+                if not -(2**63) <= score < 2**63:
+                    raise OverflowError(f"a score of two vectors does not fit a long: {score}")
+                total[i, j] = score
+    return [total, *[np.zeros_like(total)] * (SLICES - 1)]
+
+
+def _tiles(source: Iterator[pa.RecordBatch], queries: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]):
     """For tiles of rows and queries of one size: places of the queries, ids and row keys, slice scores, own rows."""
     for batch in source:
         sizes = batch.column("size").to_numpy()
@@ -67,18 +102,14 @@ def _tiles(source: Iterator[pa.RecordBatch], queries: dict[int, tuple[np.ndarray
         for size in np.unique(sizes):
             if int(size) not in queries:
                 continue
-            place, own, q = queries[int(size)]
             mine = np.flatnonzero(sizes == size)
             for a in range(0, len(mine), _TILE):
-                at = mine[a : a + _TILE]
-                x = np.frombuffer(b"".join([v[i] for i in at]), "<i4").reshape(len(at), size).astype(np.float64)
-                for b in range(0, len(place), _TILE):
-                    # Sums stay below 2^53 for up to 32 dimensions of the largest components; else long integers are used.
-                    left, right = x, q[b : b + _TILE]
-                    if size and np.abs(left).max() * np.abs(right).max() * size >= 2**53:
-                        left, right = left.astype(np.int64), right.astype(np.int64)
-                    lists = [left[:, s] @ right[:, s].T for s in _parts(size)]
-                    yield place[b : b + _TILE], ids[at], lists, row[at][:, None] == own[b : b + _TILE][None, :]
+                for found, x in _unpacked([v[i] for i in mine[a : a + _TILE]], int(size)):
+                    at = mine[a + found]
+                    for place, own, q in queries[int(size)]:
+                        for b in range(0, len(place), _TILE):
+                            same = row[at][:, None] == own[b : b + _TILE][None, :]
+                            yield place[b : b + _TILE], ids[at], _lists(x, q[b : b + _TILE], same), same
 
 
 class _Best:
@@ -100,7 +131,7 @@ class _Best:
         if not self.found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         query, ids, score = (np.concatenate(x) for x in zip(*self.found))
-        order = np.lexsort((ids, -score, query))
+        order = np.lexsort((ids, ~score, query))
         query, ids, score = query[order], ids[order], score[order]
         start = np.maximum.accumulate(np.where(np.r_[True, query[1:] != query[:-1]], np.arange(len(query)), 0)) if len(query) else query
         keep = np.arange(len(query)) - start < self.k
@@ -125,10 +156,11 @@ def _pick(best: _Best, places: np.ndarray, ids: np.ndarray, total: np.ndarray, m
 def search_block(rows: DataFrame, block: list, k: int) -> DataFrame:
     """``place, vec_id, score`` of the rows that may be among the best k of each query of a block, the best k included."""
     spark = rows.sparkSession
-    by_size: dict[int, tuple[np.ndarray, ...]] = {}
+    by_size: dict[int, list[tuple[np.ndarray, ...]]] = {}
     for size in {r["size"] for r in block}:
-        own = [(i, r["row"], np.frombuffer(r["v"], "<i4")) for i, r in enumerate(block) if r["size"] == size]
-        by_size[size] = (np.array([x[0] for x in own]), np.array([x[1] for x in own]), np.array([x[2] for x in own], np.float64).reshape(len(own), size))
+        own = [i for i, r in enumerate(block) if r["size"] == size]
+        places, rows_of = np.array(own), np.array([block[i]["row"] for i in own])
+        by_size[size] = [(places[at], rows_of[at], q) for at, q in _unpacked([bytes(block[i]["v"]) for i in own], size)]
     queries = spark.sparkContext.broadcast(by_size)
     n = len(block)
 

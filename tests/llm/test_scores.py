@@ -163,6 +163,21 @@ def test_search_in_blocks(spark, monkeypatch):
     assert topk.search(docs.limit(0), F.col("vec_id") % 100 == 0).collect() == []
 
 
+def test_large_components(spark):
+    rng = random.Random(8)
+    rows = [(i * 50, [rng.uniform(-1, 1) * rng.choice([1, 20_000, 1e6, 3e5]) for _ in range(6)]) for i in range(40)]
+    rows += [(5000, [0.0] * 5 + [5e6]), (5001, [1.0, -2.0, 0.5, 0.0, 7.0, 0.25]), (5100, [5e6] + [0.0] * 5)]
+    got = [tuple(r) for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, 60).collect()]
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    want = []
+    for q in (i for i in whole if i % 100 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)
+        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(scores, 1)]
+    assert sorted(got) == sorted(want)
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.search(spark.createDataFrame([(0, [3e9]), (1, [4e9])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+
+
 # --- notices ------------------------------------------------------------------
 
 
