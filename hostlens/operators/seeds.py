@@ -12,6 +12,9 @@ from hostlens.operators.dedup import keep_first, last_wins
 from hostlens.operators.joins import lookup_join, measured
 from hostlens.schemas import ADDON_ROW, align
 
+#: Seeds whose counts are summed in one task.
+SEEDS_PER_RANGE = 1024
+
 # --- phishing seed ----------------------------------------------------------
 
 
@@ -128,8 +131,14 @@ def addon_table(picked: DataFrame, seeds: DataFrame, kind: str, prefix: str) ->
     )
     kept = last_wins(rows, "input_value", "seq").withColumn("seed_order", F.col("seq.seed_order"))
     per_seed = kept.groupBy("seed_order").agg(F.count("*").alias("n"))
-    before = W.partitionBy(F.lit(0)).orderBy("seed_order").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_seed.select("seed_order", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    per_seed = per_seed.withColumn("range", F.floor(F.col("seed_order") / SEEDS_PER_RANGE))
+    # Only the sums of ranges pass one task.
+    earlier = W.partitionBy(F.lit(0)).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = per_seed.groupBy("range").agg(F.sum("n").alias("total"))
+    ranges = ranges.select("range", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("start"))
+    before = W.partitionBy("range").orderBy("seed_order").rowsBetween(W.unboundedPreceding, -1)
+    within = per_seed.select("range", "seed_order", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("inside"))
+    offsets = lookup_join(within, ranges, "range").select("seed_order", (F.col("start") + F.col("inside")).alias("offset"))
     place = F.row_number().over(W.partitionBy("seed_order").orderBy("seq"))
     numbered = lookup_join(kept, offsets, "seed_order").withColumn(
         "sample_id", F.concat(F.lit(prefix), F.format_string("%04d", F.col("offset") + place))

@@ -141,6 +141,15 @@ def test_addon_selection(spark):
     assert roll == {"S1": (2, 2), "S2": (1, 1), "S3": (0, 0)}
 
 
+def test_addon_ids_over_ranges_of_seeds(spark, monkeypatch):
+    monkeypatch.setattr(seeds, "SEEDS_PER_RANGE", 4)
+    rows = [(o, k, f"https://s{o}.vn/{k}", f"S{o:02d}") for o in range(1, 26) if o % 6 for k in range(1, 2 + o % 3)]
+    df = spark.createDataFrame(rows, "seed_order int, rank int, canonical_url string, seed_id string").repartition(3)
+    rest = ("category", "source_name", "homepage_url", "discovery_method", "canonical_hostname", "registered_domain", "note")
+    out = seeds.addon_table(df.select("*", *[F.lit("x").alias(c) for c in rest]), df, "url", "VU")
+    assert {(r.sample_id, r.input_value) for r in out.collect()} == {(f"VU{i:04d}", url) for i, (_, _, url, _) in enumerate(rows, 1)}
+
+
 def test_hosts_fill_up(spark):
     pages = spark.createDataFrame(
         [("S", f"https://a.one.vn/login{i}", "a.one.vn", i) for i in range(3)] + [("S", "https://b.one.vn/", "b.one.vn", 7), ("S", "https://c.one.vn/", "c.one.vn", 8)],
