@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hostlens.llm import bpe, crf_quality, html_text, jaccard_join, license_scan, packing, quality_rules, suffix_dedup, topk, warc
+from hostlens.llm import bpe, codebooks, crf_quality, html_text, jaccard_join, license_scan, orchard, packing, quality_rules, suffix_dedup, topk, warc
 from hostlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,6 +124,94 @@ def op6_fuzzy_notices(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.summary(license_scan.scan(table(spark, folder, "documents")))
 
 
+@query
+def op12_orchard_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return orchard.cluster(table(spark, folder, "embeddings"))
+
+
+def _floor_mean(total: str, n: str) -> str:
+    """Exact floor(total / n) of whole numbers."""
+    return f"(({total}) - ((({total}) % {n}) + {n}) % {n}) // {n}"
+
+
+def _clusters_sql(k: int, rounds: int) -> str:
+    """One relation per round: distances of all pairs, the nearest centroid, the means."""
+    parts = [
+        f"""WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS HUGEINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), m0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS INTEGER) AS cluster, v AS c FROM v QUALIFY cluster < {k}
+)"""
+    ]
+    for i in range(rounds + 1):
+        parts.append(
+            f"""d{i} AS MATERIALIZED (
+  SELECT r, vec_id, v, cluster, CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS HUGEINT) AS distance FROM v, m{i}
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, cluster) = 1
+)"""
+        )
+        if i < rounds:
+            parts.append(
+                f"""s{i} AS (SELECT cluster, j, sum(v[j]) AS t, count(*) AS n FROM d{i}, range(1, 65) AS g(j) GROUP BY 1, 2),
+m{i + 1} AS MATERIALIZED (
+  SELECT cluster, coalesce(any_value(a.c), any_value(m{i}.c)) AS c FROM m{i} LEFT JOIN (
+    SELECT cluster, list({_floor_mean('t', 'n')} ORDER BY j) AS c FROM s{i} GROUP BY 1
+  ) a USING (cluster) GROUP BY 1
+)"""
+            )
+    last = rounds
+    return ",\n".join(parts) + f"""
+SELECT vec_id, cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m{last}.c, ',')) AS centroid_sha256 FROM d{last} JOIN m{last} USING (cluster)"""
+
+
+ORACLES["op12_orchard_clusters"] = _clusters_sql(8, 10)
+
+
+@query
+def op13_resident_codebooks(spark: SparkSession, folder: str) -> DataFrame:
+    return codebooks.compress(table(spark, folder, "embeddings"))
+
+
+def _codes_sql(positions: int, entries: int, rounds: int) -> str:
+    """One relation per round: distances of all parts and entries, the nearest entry, the means."""
+    parts = [
+        f"""WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS HUGEINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), x AS MATERIALIZED (
+  SELECT r, vec_id, p, v[1 + p * (len(v) // {positions}):(p + 1) * (len(v) // {positions})] AS x FROM v, range(0, {positions}) AS g(p)
+), b0 AS MATERIALIZED (
+  SELECT p, CAST(row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS INTEGER) AS e, x AS c FROM x QUALIFY e < {entries}
+)"""
+    ]
+    for i in range(rounds + 1):
+        parts.append(
+            f"""d{i} AS MATERIALIZED (
+  SELECT r, p, x, e, CAST(list_sum(list_transform(list_zip(x, c), lambda q: (q[1] - q[2]) * (q[1] - q[2]))) AS HUGEINT) AS distance FROM x JOIN b{i} USING (p)
+  QUALIFY row_number() OVER (PARTITION BY r, p ORDER BY distance, e) = 1
+)"""
+        )
+        if i < rounds:
+            parts.append(
+                f"""s{i} AS (SELECT p, e, j, sum(x[j]) AS t, count(*) AS n FROM (SELECT p, e, x, unnest(range(1, len(x) + 1)) AS j FROM d{i}) GROUP BY 1, 2, 3),
+b{i + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(any_value(a.c), any_value(b{i}.c)) AS c FROM b{i} LEFT JOIN (
+    SELECT p, e, list({_floor_mean('t', 'n')} ORDER BY j) AS c FROM s{i} GROUP BY 1, 2
+  ) a USING (p, e) GROUP BY 1, 2
+)"""
+            )
+    last = rounds
+    return ",\n".join(parts) + f""",
+w AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(distance) AS error FROM d{last} GROUP BY 1)
+SELECT vec_id, code, CAST(error AS BIGINT) AS error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b{last}) AS codebooks_sha256 FROM v JOIN w USING (r)"""
+
+
+ORACLES["op13_resident_codebooks"] = _codes_sql(8, 16, 6)
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces that the whole pipeline packs."""
