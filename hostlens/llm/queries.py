@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hostlens.llm import bpe, codebooks, crf_quality, html_text, jaccard_join, license_scan, orchard, packing, quality_rules, suffix_dedup, topk, warc
+from hostlens.llm import bpe, codebooks, crf_quality, html_text, jaccard_join, kneser_ney, license_scan, orchard, packing, quality_rules, suffix_dedup, topk, warc
 from hostlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,6 +124,13 @@ def op6_fuzzy_notices(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.summary(license_scan.scan(table(spark, folder, "documents")))
 
 
+@query
+def op11_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
+    found = kneser_ney.evaluate(table(spark, folder, "documents"), ~held_out)
+    return found.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op12_orchard_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return orchard.cluster(table(spark, folder, "embeddings"))
