@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,15 +58,64 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_owner: ContextVar[Stages | None] = ContextVar("owner", default=None)
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a stage once to the shared folder and continue from the written table.
 
     Cuts lineage in a way that survives the loss of executors, and spares every later branch
-    the recomputation of an expensive stage (parsing, scoring).
+    the recomputation of an expensive stage (parsing, scoring).  Inside a ``Stages`` block the
+    stage is removed at its end.
     """
     path = fresh_path(df.sparkSession, name)
+    owner = _owner.get()
+    if owner is not None:  # noted first: a write that fails leaves files as well
+        owner.paths.append((df.sparkSession, path))
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[written] = path
+    return written
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*stages: DataFrame) -> None:
+    """Remove written stages that nothing reads any more; frames that are no stages are left alone."""
+    for stage in stages:
+        if stage in _paths:
+            remove_path(stage.sparkSession, _paths.pop(stage))
+
+
+class Stages:
+    """Owner of the stages that are written inside its block: they are removed at its end, also after an error.
+
+    What leaves the block must not read them: ``result`` writes it for whoever owns the block (or nobody).
+    """
+
+    def __init__(self) -> None:
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def __enter__(self) -> Stages:
+        self._outer = _owner.set(self)
+        return self
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        outer = self._outer.old_value if self._outer.old_value is not self._outer.MISSING else None
+        inner = _owner.set(outer)
+        try:
+            return materialize(df, name)
+        finally:
+            _owner.reset(inner)
+
+    def __exit__(self, *_problem) -> None:
+        _owner.reset(self._outer)
+        for spark, path in self.paths:
+            remove_path(spark, path)
 
 
 def spread(df: DataFrame) -> DataFrame:
