@@ -9,9 +9,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hostlens.session import materialize
+from hostlens.session import Stages, discard, materialize
 
-__all__ = ["batches", "blocks_for", "keyed", "materialize", "offsets", "table", "utf8"]
+__all__ = ["Stages", "batches", "blocks_for", "discard", "keyed", "materialize", "offsets", "table", "utf8"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlens.llm.common import batches, materialize
+from hostlens.llm.common import Stages, batches, discard, materialize
 from hostlens.llm.components import components
 
 _BATCH_BYTES = 2 << 20
@@ -319,18 +319,20 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, counted: bool = True
     that a document is linked with itself, documents of the same set included; null if not ``counted``.  ``tk`` is the key of the
     text, ``cid`` the digest of the set.
     """
-    heads = materialize(digest(docs, n, percent), "join-heads")
-    found = materialize(links(docs, heads, n, percent, counted), "join-links")
-    joined = materialize(components(found.where("b is not null").select("a", "b")), "join-components")
-    rows = heads.select(F.inline(F.arrays_zip("doc_id", "tk", F.col("n").alias("n_shingles"), "cid")))
-    rows = materialize(rows, "join-rows")
+    with Stages() as own:
+        heads = materialize(digest(docs, n, percent), "join-heads")
+        with Stages() as inner:
+            found = inner.result(links(docs, heads, n, percent, counted), "join-links")
+        rows = own.result(heads.select(F.inline(F.arrays_zip("doc_id", "tk", F.col("n").alias("n_shingles"), "cid"))), "join-rows")
+        discard(heads)
+        joined = own.result(components(found.where("b is not null").select("a", "b")), "join-components")
+        found = own.result(found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n")), "join-numbers")
     classes = rows.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     named = classes.join(joined.withColumnRenamed("v", "cid"), "cid", "left").withColumn("c", F.coalesce("c", "cid"))
     lowest = named.groupBy("c").agg(F.min("least").alias("component_id"))
     ids = named.join(lowest, "c").select("cid", "component_id", "copies")
     if counted:
-        others = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n"))
-        ids = ids.join(others, "cid", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("n", F.lit(0)))
+        ids = ids.join(found, "cid", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("n", F.lit(0)))
     else:
         ids = ids.withColumn("n_links", F.lit(None).cast("long"))
     whole = rows.where("n_shingles > 0").join(ids, "cid")
@@ -344,9 +346,10 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     Texts without n-grams all stay.  Columns stay as they are, whatever their names.
     """
-    found = similar(docs, n, percent, counted=False)
-    linked_rows = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "tk")).alias("first"))
-    keepers = linked_rows.select(F.col("first.doc_id").alias("id"), F.col("first.tk").alias("tk"))
+    with Stages() as own:
+        found = similar(docs, n, percent, counted=False)
+        linked_rows = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "tk")).alias("first"))
+        keepers = own.result(linked_rows.select(F.col("first.doc_id").alias("id"), F.col("first.tk").alias("tk")), "join-keepers")
     nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("id"), text_key().alias("tk"), F.col("text").rlike(r"[^\x20\x09-\x0D]").alias("worded"))
     same = nested["id"].eqNullSafe(keepers["id"]) & (nested["tk"] == keepers["tk"])
     once = nested.where("worded").join(keepers, same, "left_semi").dropDuplicates(["id", "tk"])

@@ -145,9 +145,17 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float =
 
 
 def keep(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their columns as they are (whatever their names)."""
-    stratum = F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum")
-    counts = counted(docs, F.col("doc_id").cast("long").alias("doc_id"), stratum)
+    """The rows of ``docs`` that the rules keep, with their columns as they are (whatever their names).
+
+    Texts are counted once; the verdict comes back to a row by its id, language and the hash of its text, of which it is a function: so
+    repeated rows, null ids and null languages are kept or dropped as ``judge`` says.  Null, empty and blank texts fail, long ones
+    are counted whole, and without rows or labels nothing but the base rules decides.
+    """
+    keys = {"doc_id": F.col("doc_id").cast("long"), "stratum": F.coalesce(F.col("lang").cast("string"), F.lit("")), "text_key": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))}
+    named = [c.alias(n) for n, c in keys.items()]
+    counts = materialize(counted(docs, *named), "rule-counts")
     cutoffs = materialize(thresholds(counts, labels, risk, error), "rule-cutoffs")
-    carried = counted(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), stratum)
-    return apply(carried, cutoffs).where("kept").select("_doc.*")
+    passed = apply(counts, cutoffs).where("kept").select(*[F.col(n).alias(f"_{n}") for n in keys])
+    nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *named)
+    same = nested["doc_id"].eqNullSafe(passed["_doc_id"]) & (nested["stratum"] == passed["_stratum"]) & (nested["text_key"] == passed["_text_key"])
+    return nested.join(passed, same, "left_semi").select("_doc.*")

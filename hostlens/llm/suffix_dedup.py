@@ -26,12 +26,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostlens.llm.common import batches, keyed, materialize
+from hostlens.llm.common import Stages, batches, keyed, materialize
 from hostlens.llm.words import mix
 
 LENGTH = 400
@@ -395,44 +396,58 @@ def _meet(group: pa.Table) -> pa.Table:
     return pa.table({"batch": pa.array(own, pa.int64()), "marks": pa.array(packed, pa.binary())})
 
 
-RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept "
+RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
+SPANS = "id long, spans binary"
 
 
-def _removed(joined: DataFrame, buckets: int, as_text: bool) -> DataFrame:
+def _gone(row: dict, buckets: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Of each document of a batch: its id, its size, and which bytes go."""
+    state, _ = _states(row, buckets)
+    whole = (state == _REPEATED) | (state == _SAMPLE)
+    spans = np.stack([_ints(row[c])[whole] for c in ("doc", "start", "count")], 1)
+    spans = np.concatenate([spans, *[_ints(m).reshape(-1, 3) for m in row["marks"] or ()]])
+    sizes = _ints(row["sizes"])
+    first = np.cumsum(sizes) - sizes
+    edges = np.zeros(int(sizes.sum()) + 1, np.int32)
+    np.add.at(edges, first[spans[:, 0]] + spans[:, 1], 1)
+    np.add.at(edges, first[spans[:, 0]] + spans[:, 1] + spans[:, 2] + LENGTH - 1, -1)
+    gone = np.cumsum(edges[:-1]) > 0
+    for i, f, n in zip(row["id"], first.tolist(), sizes.tolist()):
+        yield i, n, gone[f : f + n]
+
+
+def _removed(joined: DataFrame, buckets: int) -> DataFrame:
+    """What is left of every document."""
+
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for row in batch.to_pylist():
-                state, _ = _states(row, buckets)
-                whole = (state == _REPEATED) | (state == _SAMPLE)
-                spans = np.stack([_ints(row[c])[whole] for c in ("doc", "start", "count")], 1)
-                spans = np.concatenate([spans, *[_ints(m).reshape(-1, 3) for m in row["marks"] or ()]])
-                sizes = _ints(row["sizes"])
-                first = np.cumsum(sizes) - sizes
-                edges = np.zeros(int(sizes.sum()) + 1, np.int32)
-                np.add.at(edges, first[spans[:, 0]] + spans[:, 1], 1)
-                np.add.at(edges, first[spans[:, 0]] + spans[:, 1] + spans[:, 2] + LENGTH - 1, -1)
-                gone = np.cumsum(edges[:-1]) > 0
                 out = []
-                for i, f, n, text in zip(row["id"], first.tolist(), sizes.tolist(), _texts(row)):
-                    own = gone[f : f + n]
+                for (i, n, own), text in zip(_gone(row, buckets), _texts(row)):
                     kept = text if not own.any() else np.frombuffer(text, np.uint8)[~own].tobytes()
-                    out.append((i, n, n - len(kept), len(_runs(own)[0]), kept.decode("utf-8", "ignore") if as_text else kept))
+                    out.append((i, n, n - len(kept), len(_runs(own)[0]), kept))
                 columns = list(zip(*out)) or [()] * 5
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return joined.mapInArrow(run, RESULT + ("string" if as_text else "binary"))
+    return joined.mapInArrow(run, RESULT)
 
 
-def strip(docs: DataFrame, id_column: str = "doc_id", as_text: bool = False) -> DataFrame:
-    """``id, n_bytes, n_removed, n_spans, kept`` of every document: ``kept`` are the bytes left, as one string.
+def _spans(joined: DataFrame, buckets: int) -> DataFrame:
+    """Starts and sizes of the removed runs of the documents that have any."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for row in batch.to_pylist():
+                out = [(i, np.stack(_runs(own), 1).astype("<i8").tobytes()) for i, _, own in _gone(row, buckets) if own.any()]
+                columns = list(zip(*out)) or [()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], ["id", "spans"])
 
-    With ``as_text`` they are text, less the bytes of characters that were cut.
+    return joined.mapInArrow(run, SPANS)
 
-    Texts are UTF-8 bytes, null ones empty; strings never cross documents and are judged on the input, so every copy of a
-    repeated string goes, the first as well.  Texts shorter than ``LENGTH`` stay whole.  Repeated rows and null ids are
-    documents of their own.  Other columns are ignored.
-    """
+
+def _judged(docs: DataFrame, id_column: str) -> tuple[DataFrame, int]:
+    """Batches of documents with all that was found of them, and the number of buckets of their entries."""
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
     batched = materialize(_segmented(rows), "suffix-batches")
     total = int(batched.agg(F.sum(F.length("key"))).head()[0] or 0) // 8
@@ -447,17 +462,47 @@ def strip(docs: DataFrame, id_column: str = "doc_id", as_text: bool = False) ->
     across = marks.where("bucket is not null").groupBy("bucket").applyInArrow(_meet, "batch long, marks binary")
     found = marks.where("marks is not null").select("batch", "marks").unionAll(across)
     per_batch = found.groupBy("batch").agg(F.collect_list("marks").alias("marks"))
-    return _removed(batched.join(met, "batch", "left").join(per_batch, "batch", "left"), buckets, as_text)
+    return batched.join(met, "batch", "left").join(per_batch, "batch", "left"), buckets
+
+
+def strip(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """``id, n_bytes, n_removed, n_spans, kept`` of every document: ``kept`` are the bytes left, as one string.
+
+    Texts are UTF-8 bytes, null ones empty; strings never cross documents and are judged on the input, so every copy of a
+    repeated string goes, the first as well.  Texts shorter than ``LENGTH`` stay whole.  Repeated rows and null ids are
+    documents of their own.  Other columns are ignored.
+    """
+    return _removed(*_judged(docs, id_column))
+
+
+def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    out = []
+    for text, packed in zip(texts, spans):
+        if packed is None or text is None:
+            out.append(text)
+            continue
+        data, at, kept = text.encode("utf-8", "surrogatepass"), 0, []
+        for start, size in _ints(packed).reshape(-1, 2).tolist():
+            kept.append(data[at:start])
+            at = start + size
+        out.append(b"".join([*kept, data[at:]]).decode("utf-8", "ignore"))
+    return pd.Series(out, dtype=object)
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated strings cut from ``text`` (bytes of split characters are dropped) and ``n_chars`` set anew.
 
-    Every row stays, if empty; other columns stay as they are, whatever their names.
+    Every row stays, if empty; other columns stay as they are, whatever their names.  Null and empty texts stay as they are, repeated
+    rows are texts of their own, and so equal texts of ``LENGTH`` bytes or more end up empty.  Only the rows and
+    the cut spans stay written.
     """
     nested = materialize(keyed(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), "suffix-documents")
-    left = strip(nested.select("row", F.col("doc.text").alias("text")), "row", as_text=True).select(F.col("id").alias("row"), F.col("kept").alias("rest"), "n_removed")
-    text = F.when(F.col("n_removed") > 0, F.col("rest")).otherwise(F.col("doc.text"))
-    fixed = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
-    both = nested.select("row", "doc").join(left, "row")
+    with Stages() as own:
+        found = own.result(_spans(*_judged(nested.select("row", F.col("doc.text").alias("text")), "row")), "suffix-spans")
+    both = nested.join(found.withColumnRenamed("id", "row"), "row", "left")
+    hit = F.col("spans").isNotNull()
+    cut = F.pandas_udf(_cut, "string")(F.when(hit, F.col("doc.text").cast("string")), "spans")
+    text = F.when(hit, cut).otherwise(F.col("doc.text"))
+    both = both.select("doc", text.alias("text"))
+    fixed = {"text": F.col("text")} | ({"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {})
     return both.select(*[fixed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
