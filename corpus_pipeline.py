@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from hostlens.llm import crf_quality, jaccard_join, packing, quality_rules, suffix_dedup
-from hostlens.llm.common import materialize, table
+from hostlens.llm.common import Stages, discard, table
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order: a stage's own tables go once its result stands, and the result before it as well."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with Stages() as own:
+            kept = own.result(stage(spark, docs, sf_dir), name)
+        discard(docs)
+        docs = kept
     return docs
