@@ -37,9 +37,9 @@ from hostlens.session import fresh_path
 #: Words of an n-gram.
 ORDER = 2
 #: Text bytes of a batch, and those hashed at once.
-_BATCH_BYTES = 8 << 20
+_BATCH_BYTES = 4 << 20
 _PART_BYTES = 1 << 20
-_ENTRIES_PER_SHARD = 2_000_000
+_ENTRIES_PER_SHARD = 1_000_000
 _START, _END = mix(np.array([11, 13], np.uint64))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
