@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import zipfile
 from collections.abc import Callable
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,6 +127,48 @@ def normalize_union(t: Tables) -> DataFrame:
     )
 
 
+def _land_zips(rows: DataFrame, folder: str) -> None:
+    """Archives of the lines `line` by `source`, `file` and `member`, in order of `at`, each member under its `header`."""
+    root = urlparse(folder).path
+
+    def write(group):
+        first = group.iloc[0]
+        os.makedirs(f"{root}/{first.source}", exist_ok=True)
+        with zipfile.ZipFile(f"{root}/{first.source}/{first.file}", "w", zipfile.ZIP_DEFLATED) as archive:
+            for member, lines in group.sort_values(["member", "at"]).groupby("member"):
+                header = [lines.iloc[0].header] if lines.iloc[0].header else []
+                archive.writestr(f"inner/{member}.csv", "\r\n".join([*header, *lines.line]) + "\n")
+        return group.iloc[:1][["file"]]
+
+    rows.groupBy("source", "file").applyInPandas(write, "file string").count()
+
+
+@query(
+    _with(
+        S.PAGES,
+        """SELECT host AS original_value, 0 AS label, 'tranco' AS source, '2024-01-' || CAST(10 + (first_page // 2000) % 15 AS VARCHAR) AS collected_at, 'domain' AS record_type,
+        '' AS source_record_id, first_page AS source_rank, '' AS source_target FROM page_hosts
+        UNION ALL SELECT url, CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END, 'mendeley_phishing_url', '2024-04-02', 'url', '', NULL, '10.17632/vfszbj9b36.1' FROM labelled_pages WHERE page_id % 3 < 2""",
+    )
+)
+def zipped_feeds(t: Tables) -> DataFrame:
+    """Zip archives that Spark writes from the pages, of 2,000 lines each, read back as two feeds."""
+    folder = fresh_path(t.spark, "landed")
+    number = (F.col("first_page") / 2000).cast("int")
+    day = F.concat(F.lit("2024-01-"), (10 + number % 15).cast("string"))
+    ranked = t.hosts.select(
+        F.lit("tranco").alias("source"), F.format_string("tranco_%s_%d.zip", day, number).alias("file"), (F.col("first_page") % 2).alias("member"),
+        F.col("first_page").alias("at"), F.lit("").alias("header"), F.concat_ws(",", "first_page", "host").alias("line"),
+    )
+    kind = F.when(F.col("page_id") % 3 == 0, " Phishing ").when(F.col("page_id") % 3 == 1, "LEGITIMATE").otherwise("spam")
+    labelled = t.pages.select(
+        F.lit("mendeley_phishing_url").alias("source"), F.format_string("mendeley_phishing_url_2024-05-01_%d.zip", (F.col("page_id") / 2000).cast("int")).alias("file"),
+        (F.col("page_id") % 3).alias("member"), F.col("page_id").alias("at"), F.lit("id,url,type").alias("header"), F.concat("page_id", F.lit(',"'), "url", F.lit('",'), kind).alias("line"),
+    )
+    _land_zips(ranked.unionByName(labelled), folder)
+    return feeds.normalize(t.spark, folder, ["tranco", "mendeley_phishing_url"])
+
+
 _CLEAN_COLS = "original_value, label, source, collected_at, record_type, hostname, canonical_url"
 
 

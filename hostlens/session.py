@@ -79,9 +79,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return written
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
+def _file_system(spark: SparkSession, path: str):
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    store, place = _file_system(spark, path)
+    return store.exists(place)
+
+
+def file_names(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """``path`` of a folder's files, as a table: no file is opened."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    store, place = _file_system(spark, path)
+    store.delete(place, True)
 
 
 def discard(*stages: DataFrame) -> None:

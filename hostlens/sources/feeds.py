@@ -16,7 +16,8 @@ from hostlens.functions.dates import date_from_file_name
 from hostlens.functions.text import clean_text
 from hostlens.operators.corpus import iso_day
 from hostlens.schemas import NEWS_ROW, NORMALIZED, PHISH_ENTRY, align
-from hostlens.session import spread
+from hostlens.session import file_names, path_exists, spread
+from hostlens.sources import archives
 
 
 def _shape(df: DataFrame, **columns: Column) -> DataFrame:
@@ -83,32 +84,16 @@ def _labelled(df: DataFrame, url: str, number: Column, day: Column, source: str)
 # --- readers ----------------------------------------------------------------
 
 
-def feed_paths(raw_dir: str, source: str) -> list[str]:
-    dirs = [source, *V.EXTRA_FEED_DIRS.get(source, ())]
-    return [f"{raw_dir.rstrip('/')}/{d}/{source}_*" for d in dirs]
+def landed(spark: SparkSession, raw_dir: str, source: str, start: str | None = None, end: str | None = None) -> list[str]:
+    """Paths of a source's landed files whose name has a day of the window, undated ones left out.
 
-
-def _existing(spark: SparkSession, patterns: list[str]) -> list[str]:
-    """Patterns that match at least one landed file (a file listing, no data is read)."""
-    def matches(pattern: str) -> bool:
-        try:
-            return not spark.read.format("binaryFile").load(pattern).select("path").limit(1).isEmpty()
-        except Exception as problem:  # a missing folder is an empty feed
-            if "PATH_NOT_FOUND" in str(problem):
-                return False
-            raise
-
-    return [p for p in patterns if matches(p)]
-
-
-def _dated(df: DataFrame, start: str | None, end: str | None) -> DataFrame:
-    """File day from the file name; undated files and files outside the window are left out."""
-    out = df.withColumn("__day", date_from_file_name(F.col("__file"))).where(F.col("__day").isNotNull())
-    if start:
-        out = out.where(F.col("__day") >= start)
-    if end:
-        out = out.where(F.col("__day") <= end)
-    return out
+    Files are chosen by their names alone: those of other days are never opened, however many have piled up.
+    """
+    day = F.regexp_extract(F.element_at(F.split("path", "/"), -1), V.DATE_IN_FILE_NAME, 1)
+    wanted = (day != "") & (day >= F.lit(start or "")) & (day <= F.lit(end or "9999-99-99"))
+    folders = [f"{raw_dir.rstrip('/')}/{f}" for f in (source, *V.EXTRA_FEED_DIRS.get(source, ()))]
+    found = [file_names(spark, f, f"{source}_*").where(wanted) for f in folders if path_exists(spark, f)]
+    return sorted(r["path"] for r in reduce(DataFrame.unionAll, found).collect()) if found else []  # names of the window's files
 
 
 def scan_feed(
@@ -119,41 +104,47 @@ def scan_feed(
     end: str | None = None,
     top_n: int | None = None,
 ) -> DataFrame | None:
-    """All landed files of one source in the normalized schema; None when there are none.
+    """All landed files of one source in the normalized schema, zip archives included; None when there are none.
 
     `top_n` keeps the first ranks of a ranked list (`V.DEFAULT_TOP_N` is the published corpus'); None keeps all.
     """
-    patterns = _existing(spark, feed_paths(raw_dir, source))
-    if not patterns:
+    paths = landed(spark, raw_dir, source, start, end)
+    if not paths:
         return None
-    # Hadoop reads plain, gzip and bzip2 text, but would take a zip archive for garbage lines.
-    zipped = _existing(spark, [f"{p}.[zZ][iI][pP]" for p in patterns])
-    if zipped:
-        raise ValueError(f"unpack the zip archives of {source} first: {', '.join(zipped)}")
-    name = F.col("_metadata.file_name").alias("__file")
+    zipped = [p for p in paths if archives.is_zip(p)]
+    plain = [p for p in paths if not archives.is_zip(p)]
     fixed = V.FEEDS[source][2]
-    day = F.lit(fixed) if fixed else F.col("__day")
-
-    def dated(df: DataFrame) -> DataFrame:
-        # One compressed or multi-line file is one split; it is spread before any parsing.
-        return spread(_dated(df.select("*", name), start, end))
+    day = F.lit(fixed) if fixed else date_from_file_name(F.col("__file"))
+    archived_name = F.element_at(F.split("path", "/"), -1).alias("__file")
+
+    def rows(read, unzip=None) -> DataFrame:
+        """One compressed, archived or multi-line file is one split; it is spread before any parsing."""
+        parts = [spread(read(plain).select("*", F.col("_metadata.file_name").alias("__file")))] if plain else []
+        if zipped:
+            if unzip is None:
+                raise ValueError(f"{source} has no lines to read from archives: {', '.join(zipped)}")
+            parts.append(spread(unzip(zipped).select("*", archived_name).drop("path", "member")))
+        # Plain files bring more columns, which the shapes do not read.
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
     if source == "openphish":
-        return shape_url_lines(dated(spark.read.text(patterns)), "value", day, source)
+        lines = rows(spark.read.text, lambda files: archives.lines(spark, files).drop("line"))
+        return shape_url_lines(lines, "value", day, source)
     if source == "phishtank":
-        return shape_phish_entries(dated(spark.read.schema(PHISH_ENTRY).json(patterns, multiLine=True)), day, source)
+        return shape_phish_entries(rows(lambda files: spark.read.schema(PHISH_ENTRY).json(files, multiLine=True)), day, source)
     if source == "news_sitemaps":
-        return shape_news(dated(spark.read.schema(NEWS_ROW).json(patterns, multiLine=True)), day, source)
+        return shape_news(rows(lambda files: spark.read.schema(NEWS_ROW).json(files, multiLine=True)), day, source)
     if source == "tranco":
-        rows = spark.read.schema("source_rank long, original_value string").csv(patterns)
-        return shape_ranked_domains(dated(rows), day, top_n, source)
-    # The reader is given only the two columns used; the csv scan skips the others.
-    rows = dated(spark.read.option("header", True).csv(patterns))
-    if source == "mendeley_phishing_url":
-        return shape_text_labels(rows, "url", "type", day, source)
-    if source == "mendeley_legitphish":
-        return shape_number_labels(rows, "URL", "ClassLabel", day, source)
-    raise ValueError(f"unknown source: {source}")
+        ranked = "source_rank long, original_value string"
+        table = rows(spark.read.schema(ranked).csv, lambda files: archives.csv_rows(spark, files, ranked))
+        return shape_ranked_domains(table, day, top_n, source)
+    shapes = {"mendeley_phishing_url": (shape_text_labels, "url", "type"), "mendeley_legitphish": (shape_number_labels, "URL", "ClassLabel")}
+    if source not in shapes:
+        raise ValueError(f"unknown source: {source}")
+    shape, url, label = shapes[source]
+    # Only the two columns used are read; the csv scan skips the others.
+    table = rows(spark.read.option("header", True).csv, lambda files: archives.csv_rows(spark, files, columns=(url, label)))
+    return shape(table, url, label, day, source)
 
 
 def union_sources(frames: list[DataFrame]) -> DataFrame:

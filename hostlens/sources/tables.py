@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from hostlens.schemas import EVENT, SITE_SEED, VALIDATION_SEED, require_columns
+from hostlens.session import file_names, path_exists
+from hostlens.sources import archives
 
 
 def scan_stage(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
@@ -32,19 +34,19 @@ def scan_site_seeds(spark: SparkSession, path: str) -> DataFrame:
 def scan_addon_dir(spark: SparkSession, folder: str) -> DataFrame:
     """Every CSV of the folder, columns taken by name; files without `input_value` give no rows.
 
-    Headers may differ per file, so lines are read with their own header by file.
+    The headers of all files are one job over their first lines, and files of one header are one read: the plan
+    grows with the number of different headers, not of files.
     """
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path")
     wanted = ["input_value", "source", "collected_at"]
-    out = None
-    for row in listing.orderBy("path").toLocalIterator():
-        df = _csv(spark, row["path"])
-        if "input_value" not in df.columns:
+    out = spark.createDataFrame([], ", ".join(f"{c} string" for c in wanted))
+    files = sorted(r["path"] for r in file_names(spark, folder, "*.csv").collect()) if path_exists(spark, folder) else []
+    for names, members in archives.headers(spark, files).items() if files else ():
+        own = archives.unique_names(names)
+        if "input_value" not in own:
             continue
-        part = df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c) for c in wanted])
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], ", ".join(f"{c} string" for c in wanted))
+        schema = StructType([StructField(n, StringType()) for n in own])
+        df = spark.read.schema(schema).csv([p for p, _ in members], header=True, multiLine=True, escape='"', enforceSchema=True)
+        out = out.unionByName(df.select(*[(F.col(c) if c in own else F.lit(None)).cast("string").alias(c) for c in wanted]))
     return out
 
 
