@@ -1011,7 +1011,7 @@ def stream_event_summary(t: Tables) -> DataFrame:
 def stream_new_urls(t: Tables) -> DataFrame:
     out = fresh_path(t.spark, "new-urls")
     _wait(flows.write_new_urls(page_records(labelled_pages(t.stream("pages"))), f"{out}/table", f"{out}/checkpoint"))
-    return t.spark.read.parquet(f"{out}/table").select("canonical_url", "original_value", "source", "collected_at")
+    return flows.master_urls(t.spark, f"{out}/table").select("canonical_url", "original_value", "source", "collected_at")
 
 
 _EVENT_COLS = [c for c in _SCORE_COLS if c != "event_id"]

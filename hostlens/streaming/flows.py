@@ -11,8 +11,9 @@ from hostlens.operators.dedup import keep_first
 from hostlens.operators.parse import parse_records, split_valid
 from hostlens.operators.reports import event_summary
 from hostlens.operators.scoring import as_events, as_rejects, judge_requests
-from hostlens.session import materialize
+from hostlens.session import Stages, materialize
 from hostlens.sources.feeds import shape_url_lines
+from hostlens.streaming.master import Master
 
 
 def stream_snapshots(spark: SparkSession, folder: str, files_per_batch: int = 100, pattern: str = "*.txt") -> DataFrame:
@@ -39,39 +40,24 @@ def _finish(writer, checkpoint: str, once: bool, name: str) -> StreamingQuery:
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
 
 
-def write_new_urls(normalized: DataFrame, master: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Append URLs never seen before to the master table: exact over all time, no state growth.
+def write_new_urls(normalized: DataFrame, master: str, checkpoint: str, once: bool = True, buckets: int = 64, merge_at: int = 8) -> StreamingQuery:
+    """Append URLs never seen before to the master table (`master_urls` reads it): exact over all time.
 
-    A repeated batch replaces its own folder, so a retry adds nothing twice.  The batch is small
-    next to the master: it is parsed once and written, and its keys pick the few master rows that
-    match, so the master is scanned in one column.
+    A batch is parsed once, and reads the keys of the buckets it touches; a repeated batch adds nothing twice.
     """
-    spark = normalized.sparkSession
+    table = Master(normalized.sparkSession, master, "canonical_url", buckets, merge_at)
 
     def add(batch: DataFrame, batch_id: int) -> None:
         rows = split_valid(parse_records(batch)).where("canonical_url <> ''")
         order = [F.col(c) for c in ("collected_at", "source", "original_value", "source_record_id")]
-        firsts = materialize(keep_first(rows, [F.col("canonical_url")], order), "batch")
-        target = f"{master}/batch_id={batch_id}"
-        seen = master_before(spark, master, batch_id)
-        if seen is not None:
-            # Whether the batch's keys are broadcast is settled at run time, by their bytes.
-            hits = seen.select("canonical_url").join(firsts.select("canonical_url"), "canonical_url", "left_semi")
-            firsts = firsts.join(hits.distinct(), "canonical_url", "left_anti")
-        firsts.write.mode("overwrite").parquet(target)
+        table.add(keep_first(rows, [F.col("canonical_url")], order), batch_id)
 
     return _finish(normalized.writeStream.foreachBatch(add), checkpoint, once, "new_urls")
 
 
-def master_before(spark: SparkSession, master: str, batch_id: int) -> DataFrame | None:
-    """The master as of the batches before this one."""
-    try:
-        table = spark.read.parquet(master)
-    except Exception as problem:
-        if "PATH_NOT_FOUND" in str(problem) or "UNABLE_TO_INFER_SCHEMA" in str(problem):
-            return None
-        raise
-    return table.where(F.col("batch_id") < batch_id)
+def master_urls(spark: SparkSession, master: str) -> DataFrame:
+    """The master table of `write_new_urls` as of its last batch."""
+    return Master(spark, master, "canonical_url").scan()
 
 
 def write_scores(
@@ -83,9 +69,10 @@ def write_scores(
     """
 
     def both(batch: DataFrame, batch_id: int) -> None:
-        judged = materialize(judge_requests(batch, scorers), "scored")
-        as_events(judged).write.mode("overwrite").json(f"{events}/batch_id={batch_id}")
-        as_rejects(judged).write.mode("overwrite").json(f"{rejects}/batch_id={batch_id}")
+        with Stages():
+            judged = materialize(judge_requests(batch, scorers), "scored")
+            as_events(judged).write.mode("overwrite").json(f"{events}/batch_id={batch_id}")
+            as_rejects(judged).write.mode("overwrite").json(f"{rejects}/batch_id={batch_id}")
 
     return _finish(requests.writeStream.foreachBatch(both), checkpoint, once, "scores")
 

@@ -34,7 +34,7 @@ def test_new_urls_over_batches_equal_the_batch_result(spark, tmp_path):
     for name, lines in files.items():
         put(f"{land}/{name}", "\n".join(lines) + "\n")
         done(flows.write_new_urls(flows.stream_snapshots(spark, land), master, cp))
-    rows = spark.read.parquet(master).orderBy("canonical_url").collect()
+    rows = flows.master_urls(spark, master).orderBy("canonical_url").collect()
     assert [(r.canonical_url, r.collected_at) for r in rows] == [
         ("http://a.com/1", "2026-04-01"), ("http://b.com/2", "2026-04-02"), ("http://c.com/3", "2026-04-03"),
     ]
