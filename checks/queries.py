@@ -18,6 +18,7 @@ from hostlens.functions.dates import first_date, looks_recent
 from hostlens.functions.urls import query_pairs
 from hostlens.operators import corpus, dedup, evaluation, extract, features, metrics, models, reports, sampling, scoring, seeds
 from hostlens.operators.parse import invalid_reasons, parse_records
+from hostlens.plans import batch
 from hostlens.session import fresh_path, materialize
 from hostlens.sources import feeds
 from hostlens.streaming import flows
@@ -237,6 +238,19 @@ def stage_stats(t: Tables) -> DataFrame:
     return corpus.clean_stats(t.parsed_stage)
 
 
+@query(ORACLES["stage_stats"])
+def observed_stats(t: Tables) -> DataFrame:
+    """The same counters, observed while the stages are written."""
+    return batch.observed_clean(t.parsed, fresh_path(t.spark, "corpus"))
+
+
+@query(ORACLES["invalid_reason_counts"])
+def observed_reasons(t: Tables) -> DataFrame:
+    out = fresh_path(t.spark, "corpus")
+    batch.observed_clean(t.parsed, out)
+    return t.spark.read.schema("invalid_reason string, rows long").json(f"{out}/invalid_reasons")
+
+
 @query(
     """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice FROM (
     SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn
@@ -532,6 +546,30 @@ def orders_profile(t: Tables) -> DataFrame:
     return _r(reports.column_profile(t.raw("orders").select(*[c for c, _ in _ORDER_COLS])), "null_ratio")
 
 
+_LINE_COLS = (
+    ("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_quantity", "double"), ("l_extendedprice", "double"), ("l_returnflag", "string"),
+    ("l_shipdate", "date"),
+)
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS null_count, count({c}) AS non_null_count, count(DISTINCT {c}) AS exact, true AS within FROM lineitem"""
+        for c, _ in _LINE_COLS
+    )
+)
+def sketched_profile(t: Tables) -> DataFrame:
+    """Columns profiled year by year; the merged estimates lie within three standard errors (and one value) of the exact numbers."""
+    lines = t.raw("lineitem").select(*[c for c, _ in _LINE_COLS])
+    dated = lines.withColumn("collected_at", F.date_format("l_shipdate", "yyyy"))
+    stored = fresh_path(t.spark, "profile")
+    batch.update_profile(dated.where("collected_at < '1999'"), stored)
+    merged = batch.update_profile(dated, stored)
+    exact = reports.column_profile(lines).select("column_name", F.col("unique_non_null_values").alias("exact"))
+    error = F.abs(F.col("unique_non_null_values") - F.col("exact"))
+    return merged.join(exact, "column_name").select("column_name", "null_count", "non_null_count", "exact", (error <= 1 + 0.025 * F.col("exact")).alias("within"))
+
+
 _SUMMARY = """SELECT count(*) AS total_events, count(*) FILTER (predicted_label = 1) AS phishing_events, count(*) FILTER (predicted_label <> 1) AS benign_events,
     count(*) FILTER (risk_level = 'high') AS high_risk_events, count(*) FILTER (dataset_kind = 'domain') AS domain_events,
     count(*) FILTER (dataset_kind = 'url') AS url_events, max(received_at) AS latest_event_at FROM log"""

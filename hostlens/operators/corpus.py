@@ -52,6 +52,7 @@ def host_conflicts(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("canonical_hostname").isNotNull()).groupBy("canonical_hostname").agg(
         F.count("*").alias("n"),
         ((F.max(F.col("label") == 1)) & (F.max(F.col("label") == 0))).alias("marked"),
+        F.count_if(F.col("label") == 0).alias("benign"),
     )
 
 
@@ -68,16 +69,20 @@ def remove_overlap(rows: DataFrame, stats: DataFrame | None = None, hot_rows: in
     )
 
 
-def clean(parsed: DataFrame, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
-    """Clean master corpus from parsed rows (`parse_normalized`, materialised at scale).
+def valid_rows(parsed: DataFrame) -> DataFrame:
+    return split_valid(parsed).where(F.col("record_type").isin("domain", "url"))
+
+
+def clean(parsed: DataFrame, hot_rows: int = HOT_KEY_ROWS, hosts: DataFrame | None = None) -> DataFrame:
+    """Clean master corpus from parsed rows (`parse_normalized`, materialised at scale); `hosts` are their `host_conflicts`, if at hand.
 
     Keep-first runs per (identity, label) *before* the overlap test, which then sees far fewer
     rows.  The result is the same as testing first: rows of one identity share their host, so
     after the test at most one label is left per identity.
     """
-    valid = split_valid(parsed).where(F.col("record_type").isin("domain", "url"))
+    valid = valid_rows(parsed)
     firsts = keep_first(valid, [F.col("record_type"), identity(), F.col("label")], feed_order())
-    return align(remove_overlap(firsts, host_conflicts(valid), hot_rows), CLEAN)
+    return align(remove_overlap(firsts, host_conflicts(valid) if hosts is None else hosts, hot_rows), CLEAN)
 
 
 def clean_stats(parsed: DataFrame, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
@@ -89,7 +94,7 @@ def clean_stats(parsed: DataFrame, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
         F.lit(0).cast("long").alias("output_rows"),
         *[F.lit(0).cast("long").alias(c) for c in ("benign_rows", "phishing_rows", "domain_rows", "url_rows")],
     )
-    valid = split_valid(parsed).where(F.col("record_type").isin("domain", "url"))
+    valid = valid_rows(parsed)
     counted = valid.groupBy("record_type", identity().alias("canonical_url"), "canonical_hostname", "label").agg(
         F.count("*").alias("rows")
     )
@@ -104,11 +109,11 @@ def clean_stats(parsed: DataFrame, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
         F.count_if(F.col("record_type") == "url").alias("url_rows"),
     )
     sums = total.unionByName(kept).agg(*[F.sum(c).alias(c) for c in total.columns])
-    valid_rows = F.col("input_rows") - F.col("invalid_rows_removed")
+    parsed_rows = F.col("input_rows") - F.col("invalid_rows_removed")
     return sums.select(
         "input_rows",
         "invalid_rows_removed",
-        (valid_rows - F.col("kept_rows")).alias("overlap_rows_removed"),
+        (parsed_rows - F.col("kept_rows")).alias("overlap_rows_removed"),
         (F.col("kept_rows") - F.col("output_rows")).alias("deduplicated_rows_removed"),
         "output_rows",
         "benign_rows",

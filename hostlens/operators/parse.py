@@ -151,6 +151,11 @@ def parse_records(
     )
 
 
+INVALID_REASONS = (
+    "empty_value", "unknown_record_type", "unsupported_scheme", "invalid_url_parse", "missing_hostname", "invalid_domain", "invalid_hostname", "invalid_url",
+)
+
+
 def _reason() -> Column:
     """First reason that applies, or empty text."""
     v, is_url, host = F.col("__v"), F.col("__is_url"), F.col("__host")

@@ -6,31 +6,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostlens import fixed_values as V
-from hostlens.operators import corpus, evaluation, metrics, models, reports, sampling, scoring, seeds
-from hostlens.operators.parse import invalid_reasons, parse_records
-from hostlens.session import materialize
+from hostlens.operators import corpus, counters, evaluation, metrics, models, reports, sampling, scoring, seeds
+from hostlens.operators.parse import parse_records
+from hostlens.schemas import CLEAN
+from hostlens.session import materialize, path_exists
 from hostlens.sources import feeds, sinks, tables
 
 
+def observed_clean(parsed: DataFrame, path: str) -> DataFrame:
+    """Write parsed rows and the clean master below `path`; the stage statistics come from the writes themselves.
+
+    `parsed` is computed once, for its write; the table of hosts behind the overlap test is written as well, as it is small and
+    says how many rows the test drops.
+    """
+    spark = parsed.sparkSession
+    of_parsed = sinks.write_stage(parsed, f"{path}/parsed", None, counters=counters.of_parsed())
+    rows = tables.scan_stage(spark, f"{path}/parsed", parsed.schema)
+    hosts = corpus.host_conflicts(corpus.valid_rows(rows))
+    of_hosts = sinks.write_stage(hosts, f"{path}/hosts", None, counters=counters.of_hosts())
+    clean = corpus.clean(rows, hosts=tables.scan_stage(spark, f"{path}/hosts", hosts.schema))
+    of_clean = sinks.write_stage(clean, f"{path}/clean", order=("source", "original_value"), counters=counters.of_clean())
+    sinks.write_stats(counters.as_rows(spark, of_parsed, "invalid_reason"), f"{path}/invalid_reasons")
+    stats = counters.clean_stats(spark, of_parsed, of_hosts, of_clean)
+    sinks.write_stats(stats, f"{path}/clean_stats")
+    return stats
+
+
 def build_corpus(spark: SparkSession, raw_dir: str, out: str, sources=V.DEFAULT_FEEDS, allow_opt_in=(), addon_dir: str | None = None, **window) -> None:
     """Raw feeds to clean master and both datasets, with their statistics.
 
-    The parsed stage is written once and read by every later step.
+    Every stage is written once, and its counters are observed in that write.
     """
     normalized = feeds.normalize(spark, raw_dir, sources, allow_opt_in, **window)
     sinks.write_stage(normalized, f"{out}/normalized")
-    parsed = materialize(corpus.parse_normalized(tables.scan_stage(spark, f"{out}/normalized", normalized.schema)), "parsed")
-    clean = corpus.clean(parsed)
-    sinks.write_stage(clean, f"{out}/clean", order=("source", "original_value"))
-    sinks.write_stats(corpus.clean_stats(parsed), f"{out}/clean_stats")
-    sinks.write_stats(invalid_reasons(parsed), f"{out}/invalid_reasons")
-    master = tables.scan_stage(spark, f"{out}/clean", clean.schema)
+    observed_clean(corpus.parse_normalized(tables.scan_stage(spark, f"{out}/normalized", normalized.schema)), out)
+    master = tables.scan_stage(spark, f"{out}/clean", CLEAN)
     addon = corpus.addon_rows(tables.scan_addon_dir(spark, addon_dir)) if addon_dir else None
+    # Sources are known before: the feeds chosen, and those that the curated files name.
+    names = [*sources, *([r["source"] for r in addon.select("source").distinct().collect()] if addon else [])]
     for name, df in (("domain", corpus.domain_dataset(master, addon)), ("url", corpus.url_dataset(master, unique=True))):
-        sinks.write_stage(df, f"{out}/{name}_dataset", order=("sample_text",))
-        written = tables.scan_stage(spark, f"{out}/{name}_dataset", df.schema)
-        sinks.write_stats(corpus.class_distribution(written), f"{out}/{name}_stats")
-        sinks.write_stats(corpus.value_counts(written, "source"), f"{out}/{name}_sources")
+        of_dataset = counters.of_labels() | counters.per_value("source", dict.fromkeys(names))
+        found = sinks.write_stage(df, f"{out}/{name}_dataset", order=("sample_text",), counters=of_dataset)
+        sinks.write_stats(spark.createDataFrame([(found["benign"], found["phishing"])], "benign long, phishing long"), f"{out}/{name}_stats")
+        sinks.write_stats(counters.as_rows(spark, found, "source"), f"{out}/{name}_sources")
 
 
 def usable_rows(dataset: DataFrame, floor: str | None = None) -> DataFrame:
@@ -98,4 +116,18 @@ def review_tables(dataset: DataFrame, splits: DataFrame, kind: str, out: str) ->
     sinks.write_table_csv(reports.column_profile(dataset), f"{out}/{kind}_columns")
 
 
-__all__ = ["build_corpus", "training_rows", "train", "validate", "phishing_seed", "review_tables", "metrics"]
+def update_profile(dataset: DataFrame, path: str, by: str = "collected_at") -> DataFrame:
+    """Profile of a dated dataset that grows by days: only days without a stored sketch are read.
+
+    `path` holds one small sketch row per day and column; a day that is computed again replaces its own folder.
+    """
+    spark = dataset.sparkSession
+    done = [r[by] for r in spark.read.schema(f"`{by}` string").parquet(path).distinct().collect()] if path_exists(spark, path) else []
+    # On the dataset's partition column, so that the folders of known days are not even listed for reading.
+    fresh = dataset.where(~F.col(by).cast("string").isin(done)) if done else dataset
+    new = reports.profile_sketches(fresh.withColumn(by, F.col(by).cast("string")), [by])
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    return reports.merged_profile(spark.read.schema(new.schema).parquet(path))
+
+
+__all__ = ["build_corpus", "training_rows", "train", "validate", "phishing_seed", "review_tables", "observed_clean", "update_profile", "metrics"]

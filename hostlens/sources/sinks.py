@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hostlens.operators.counters import observed
 
-def write_stage(df: DataFrame, path: str, partition_by: str | None = "collected_at", order: tuple[str, ...] = ()) -> None:
-    """Parquet overwrite, with rows in `order` within each file.
+
+def write_stage(
+    df: DataFrame, path: str, partition_by: str | None = "collected_at", order: tuple[str, ...] = (), counters: dict[str, Column] | None = None
+) -> dict[str, int]:
+    """Parquet overwrite, with rows in `order` within each file; returns the counters observed on the way.
 
     With a partition column the rows are rebalanced on it first: AQE then merges small partitions
     and splits a day that holds much of the data, giving few, even files instead of one per task
     and day.
     """
-    if partition_by is None:
-        ordered = df.sortWithinPartitions(*order) if order else df
-        ordered.write.mode("overwrite").parquet(path)
-        return
-    even = df.hint("rebalance", partition_by)
-    even = even.sortWithinPartitions(partition_by, *order) if order else even
+    even = df if partition_by is None else df.hint("rebalance", partition_by)
+    keys = [*([partition_by] if partition_by else []), *order]
+    even = even.sortWithinPartitions(*keys) if order else even
+    # Counted behind the shuffle, in the tasks that write: one that is run again counts once.
+    even, watch = observed(even, counters) if counters else (even, None)
     # Static overwrite: the whole stage is replaced, also days that are gone.
-    (even.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(partition_by).parquet(path))
+    writer = even.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    return watch.get if watch else {}
 
 
 def write_splits(df: DataFrame, path: str) -> None:

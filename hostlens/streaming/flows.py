@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hostlens.functions.dates import date_from_file_name
+from hostlens.operators.counters import observed
 from hostlens.operators.dedup import keep_first
 from hostlens.operators.parse import parse_records, split_valid
 from hostlens.operators.reports import event_summary
@@ -60,19 +61,33 @@ def master_urls(spark: SparkSession, master: str) -> DataFrame:
     return Master(spark, master, "canonical_url").scan()
 
 
+def score_counters() -> dict[str, Column]:
+    is_event = F.col("reject_reason") == ""
+    return {
+        "requests": F.count("*"), "events": F.count_if(is_event), "rejects": F.count_if(~is_event),
+        "phishing": F.count_if(is_event & (F.col("predicted_label") == 1)), "high_risk": F.count_if(is_event & (F.col("risk_level") == "high")),
+    }
+
+
 def write_scores(
-    requests: DataFrame, scorers: dict, events: str, checkpoint: str, rejects: str, once: bool = True
+    requests: DataFrame, scorers: dict, events: str, checkpoint: str, rejects: str, once: bool = True, counts: str | None = None
 ) -> StreamingQuery:
     """Score requests as they come: events as JSON lines, and requests that give none with their reason.
 
-    A batch is scored once and written, and both outputs read that; a repeated batch replaces its own folders.
+    A batch is scored once and written, and both outputs read that; a repeated batch replaces its own folders.  With `counts` each
+    batch leaves a row of counters there, observed while it was written.
     """
+    spark = requests.sparkSession
 
     def both(batch: DataFrame, batch_id: int) -> None:
         with Stages():
-            judged = materialize(judge_requests(batch, scorers), "scored")
+            watched, watch = observed(judge_requests(batch, scorers), score_counters())
+            judged = materialize(watched, "scored")
             as_events(judged).write.mode("overwrite").json(f"{events}/batch_id={batch_id}")
             as_rejects(judged).write.mode("overwrite").json(f"{rejects}/batch_id={batch_id}")
+            if counts:
+                row = spark.createDataFrame([tuple(watch.get.values())], ", ".join(f"{c} long" for c in watch.get))
+                row.coalesce(1).write.mode("overwrite").json(f"{counts}/batch_id={batch_id}")
 
     return _finish(requests.writeStream.foreachBatch(both), checkpoint, once, "scores")
 
