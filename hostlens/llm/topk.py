@@ -1,14 +1,15 @@
 """Exact top-k search by inner product, with a three-phase uniform threshold.
 
-The dimensions are cut into ``SLICES``; each part of the table holds one score list per slice and query.
+The dimensions are cut into ``SLICES``; a score is the sum of a query's slice scores.
 
-1. Each part sends, for each query, the exact scores of the best k of its slice lists.  The k-th highest of all is a
-   safe cutoff: at least k rows reach it.
-2. The cutoff is broadcast.  A row that reaches it has a slice score of cutoff / SLICES or more, so only entries at or
-   above that uniform threshold are collected.
-3. The scores of the collected rows are resolved over all slices, and each part sends its best k that reach the cutoff.
+1. Each part of the table scores its first rows in full and sends the best k of each query: its local list.  The k-th highest of all
+   lists is a safe cutoff, as k rows reach it.
+2. The cutoff is broadcast; h slices have to bring h / SLICES of it, but for what the rest may bring beyond its share, which the norms
+   of the rest bound.  All rows are scored over the first ``SHARE`` slices, and a pair that falls short by more is dropped.
+3. The few pairs collected are resolved slice by slice over the others, dropped further as they fall short, and each part sends its best k
+   that reach the cutoff.
 
-A part sends at most k rows per query in either phase, however many rows tie.  Queries are taken in blocks of bounded size,
+A part sends at most k rows per query in either pass, however many rows tie.  Queries are taken in blocks of bounded size,
 each against all rows; only such a block and its cutoffs are broadcast.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,11 @@ from pyspark.sql import functions as F
 
 from hostlens.llm.common import keyed, materialize
 
-SLICES = 4
+SLICES = 8
+#: Slices that are scored for all rows.  Vectors without a direction of their own give way only late, so most of them.
+SHARE = 6
+#: Tiles of a part that the local lists are made of.
+_HEAD_TILES = 1
 #: Queries that are broadcast at once.
 QUERY_BLOCK = 4096
 #: Vectors with a component beyond it, in units of 1 / scale, are kept apart and scored by long or unbounded integers.
@@ -74,28 +80,64 @@ def _unpacked(packed: list[bytes], size: int) -> list[tuple[np.ndarray, np.ndarr
     return out
 
 
-def _lists(left: np.ndarray, right: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
-    """Exact slice scores; of components too large for that, the whole scores as one slice's."""
+def _kind(left: np.ndarray, right: np.ndarray) -> type:
+    """What holds all sums of products exactly."""
     size = left.shape[1]
-    bound = float(np.abs(left).max()) * float(np.abs(right).max()) * size if size else 0.0
-    if bound < 2**62:
-        if bound >= 2**53:  # sums of doubles are exact below
-            left, right = left.astype(np.int64), right.astype(np.int64)
-        return [left[:, s] @ right[:, s].T for s in _parts(size)]
-    whole = [[[int(x) for x in v] for v in m] for m in (left, right)]
+    bound = float(np.abs(left).max()) * float(np.abs(right).max()) * size if left.size and right.size else 0.0
+    return np.float64 if bound < 2**53 else np.int64 if bound < 2**62 else object
+
+
+def _whole(left: np.ndarray, right: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Exact scores of all pairs; those of rows with themselves may be anything."""
+    kind = _kind(left, right)
+    if kind is not object:
+        return left.astype(kind) @ right.astype(kind).T
+    ints = [[[int(x) for x in v] for v in m] for m in (left, right)]
     total = np.zeros(own.shape, np.int64)
-    for i, x in enumerate(whole[0]):
-        for j, y in enumerate(whole[1]):
+    for i, x in enumerate(ints[0]):
+        for j, y in enumerate(ints[1]):
             if not own[i, j]:
                 score = sum(map(int.__mul__, x, y))
                 if not -(2**63) <= score < 2**63:
                     raise OverflowError(f"a score of two vectors does not fit a long: {score}")
                 total[i, j] = score
-    return [total, *[np.zeros_like(total)] * (SLICES - 1)]
+    return total
+
+
+def _rest_norms(x: np.ndarray) -> np.ndarray:
+    """For each number of slices done, the length of what is left of each vector, rounded up."""
+    squares = np.stack([(x[:, s].astype(np.float64) ** 2).sum(axis=1) for s in _parts(x.shape[1])])
+    left = np.cumsum(squares[::-1], axis=0)[::-1]
+    return np.sqrt(np.concatenate([left, np.zeros((1, len(x)))])) * (1 + 1e-9) + 1e-3
+
+
+def collected(left: np.ndarray, right: np.ndarray, low: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Rows and queries of the pairs that reach the cutoffs ``low``, their exact scores, and for how many pairs each slice was scored."""
+    kind = _kind(left, right)
+    if kind is object:
+        total = _whole(left, right, own)
+        rows, queries = np.nonzero((total >= low[None, :]) & ~own)
+        return rows, queries, total[rows, queries], [own.size] * SLICES
+    left, right = left.astype(kind), right.astype(kind)
+    parts, rest = _parts(left.shape[1]), (_rest_norms(left), _rest_norms(right))
+    least = low - 1e-6 * np.abs(low) - 1e-3  # room for the rounding of the bounds, never of the scores
+    edge = parts[SHARE].start
+    total = left[:, :edge] @ right[:, :edge].T
+    alive = (total + rest[0][SHARE][:, None] * rest[1][SHARE][None, :] >= least[None, :]) & ~own
+    scored = [own.size] * SHARE
+    rows, queries = np.nonzero(alive)
+    sums = total[rows, queries]
+    for h in range(SHARE, SLICES):
+        scored.append(len(rows))
+        sums = sums + np.einsum("ij,ij->i", left[rows, parts[h]], right[queries, parts[h]])
+        keep = sums + rest[0][h + 1][rows] * rest[1][h + 1][queries] >= least[queries]
+        rows, queries, sums = rows[keep], queries[keep], sums[keep]
+    keep = sums >= low[queries]
+    return rows[keep], queries[keep], sums[keep], scored
 
 
 def _tiles(source: Iterator[pa.RecordBatch], queries: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]):
-    """For tiles of rows and queries of one size: places of the queries, ids and row keys, slice scores, own rows."""
+    """For tiles of rows and queries of one size: places of the queries, ids, rows, queries, which pair is a row with itself."""
     for batch in source:
         sizes = batch.column("size").to_numpy()
         row, ids, v = batch.column("row").to_numpy(), batch.column("vec_id").to_numpy(zero_copy_only=False), batch.column("v").to_pylist()
@@ -109,7 +151,7 @@ def _tiles(source: Iterator[pa.RecordBatch], queries: dict[int, list[tuple[np.nd
                     for place, own, q in queries[int(size)]:
                         for b in range(0, len(place), _TILE):
                             same = row[at][:, None] == own[b : b + _TILE][None, :]
-                            yield place[b : b + _TILE], ids[at], _lists(x, q[b : b + _TILE], same), same
+                            yield place[b : b + _TILE], ids[at], x, q[b : b + _TILE], same
 
 
 class _Best:
@@ -148,11 +190,6 @@ def _sent(best: _Best) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(query.astype(np.int64)), pa.array(ids.astype(np.int64)), pa.array(score.astype(np.int64))], ["place", "vec_id", "score"])
 
 
-def _pick(best: _Best, places: np.ndarray, ids: np.ndarray, total: np.ndarray, mask: np.ndarray) -> None:
-    rows, queries = np.nonzero(mask)
-    best.add(places[queries], ids[rows], total[rows, queries].astype(np.int64))
-
-
 def search_block(rows: DataFrame, block: list, k: int) -> DataFrame:
     """``place, vec_id, score`` of the rows that may be among the best k of each query of a block, the best k included."""
     spark = rows.sparkSession
@@ -164,17 +201,13 @@ def search_block(rows: DataFrame, block: list, k: int) -> DataFrame:
     queries = spark.sparkContext.broadcast(by_size)
     n = len(block)
 
+    tiles = sum(-(-len(place) // _TILE) for found in by_size.values() for place, _, _ in found)
+
     def first(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(n, k)
-        for places, ids, lists, own in _tiles(source, queries.value):
-            mask = np.zeros(own.shape, bool)
-            for scores in lists:
-                if len(ids) > k:
-                    top = np.argpartition(scores, len(ids) - k, axis=0)[len(ids) - k :]
-                    mask[top, np.arange(len(places))[None, :]] = True
-                else:
-                    mask[:] = True
-            _pick(best, places, ids, sum(lists), mask & ~own)
+        for places, ids, x, q, own in islice(_tiles(source, queries.value), _HEAD_TILES * tiles):
+            rows_, of = np.nonzero(~own)
+            best.add(places[of], ids[rows_], _whole(x, q, own)[rows_, of].astype(np.int64))
         yield _sent(best)
 
     window = Window.partitionBy("place").orderBy(F.desc("score"), "vec_id")
@@ -186,11 +219,9 @@ def search_block(rows: DataFrame, block: list, k: int) -> DataFrame:
 
     def rest(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(n, k)
-        for places, ids, lists, own in _tiles(source, queries.value):
-            low = safe.value[places][None, :]
-            mask = reduce(np.logical_or, [scores >= low / SLICES for scores in lists]) & ~own
-            total = sum(lists)
-            _pick(best, places, ids, total, mask & (total >= low))
+        for places, ids, x, q, own in _tiles(source, queries.value):
+            found, of, score, _ = collected(x, q, safe.value[places], own)
+            best.add(places[of], ids[found], score.astype(np.int64))
         yield _sent(best)
 
     return rows.mapInArrow(rest, SCORES)

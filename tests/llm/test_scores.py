@@ -153,6 +153,27 @@ def test_search(spark):
     assert sorted(got) == sorted(best(rows, 10))
 
 
+def test_few_pairs_are_resolved():
+    rng = np.random.default_rng(4)
+    x = np.floor(1024 * rng.normal(size=(6000, 64)) / 8)
+    q, own = x[::100], np.arange(6000)[:, None] == np.arange(0, 6000, 100)[None, :]
+    total = np.where(own, -np.inf, x @ q.T)
+    cutoff = np.sort(total[:1024], axis=0)[-10]  # of the first tile
+    rows, queries, score, scored = topk.collected(x, q, cutoff, own)
+    assert scored[: topk.SHARE] == [own.size] * topk.SHARE and scored[topk.SHARE] < 0.4 * own.size and scored[-1] < 0.12 * own.size
+    want = np.nonzero(total >= cutoff[None, :])
+    assert set(zip(rows.tolist(), queries.tolist())) == set(zip(*(w.tolist() for w in want)))
+    assert (score == total[rows, queries]).all()
+    # Whole numbers at the bounds of their kinds, and cutoffs that a score meets exactly.
+    for scale in (1, 1 << 18, 1 << 25):
+        v = rng.integers(-8, 9, (200, 10)) * float(scale)
+        exact = v.astype(np.int64).astype(object) @ v.astype(np.int64).astype(object).T
+        low = np.array([float(sorted(exact[:, j].tolist())[-5]) for j in range(20)])
+        rows, queries, score, _ = topk.collected(v, v[:20], low, np.zeros((200, 20), bool))
+        got = {(i, j): int(s) for i, j, s in zip(rows.tolist(), queries.tolist(), score.tolist())}
+        assert got == {(i, j): exact[i, j] for i in range(200) for j in range(20) if exact[i, j] >= low[j]}
+
+
 def test_search_in_blocks(spark, monkeypatch):
     rng = random.Random(3)
     rows = [(i * 50, [rng.uniform(-1, 1) for _ in range(5)]) for i in range(60)]
