@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import sql as S
-from checks.views import Tables, event_log, event_requests, labelled_pages, page_records
+from checks.views import HOST_IN_URL, Tables, event_log, event_requests, labelled_pages, page_records
 from hostlens import fixed_values as V
 from hostlens.functions import rules
 from hostlens.functions.dates import first_date, looks_recent
@@ -905,16 +905,64 @@ def robots_sitemaps(t: Tables) -> DataFrame:
     return extract.robots_sitemaps(docs)
 
 
+def _fallback_sql(rule: str, base: str, paths) -> str:
+    return (
+        f"SELECT host, '{rule}' AS rule, CAST(i - 1 AS INTEGER) AS position, {base} || paths[i] AS sitemap_url FROM (SELECT host, {S.text_list(paths)} AS paths FROM page_hosts), "
+        f"unnest(range(1, {len(paths) + 1})) AS t(i)"
+    )
+
+
 @query(
     _with(
         S.PAGES,
-        "SELECT host, CAST(i - 1 AS INTEGER) AS position, 'https://' || host || paths[i] AS sitemap_url FROM (SELECT host, "
-        + S.text_list(V.NEWS_SITEMAP_PATHS) + " AS paths FROM page_hosts), unnest(range(1, 8)) AS t(i)",
+        _fallback_sql("below", "'https://' || host || '/en/index.html'", V.NEWS_SITEMAP_PATHS) + " UNION ALL " + _fallback_sql("root", "'https://' || host", V.SITE_SITEMAP_PATHS),
     )
 )
 def default_sitemaps(t: Tables) -> DataFrame:
-    sites = t.hosts.select("host", F.concat(F.lit("https://"), "host", F.lit("/index.html")).alias("home"))
-    return extract.default_sitemaps(sites, "home").select("host", "position", "sitemap_url")
+    """Fallbacks of news sites, below the home address, and of seeds, at the root."""
+    sites = t.hosts.select("host", F.concat(F.lit("https://"), "host", F.lit("/en/index.html/")).alias("home"))
+    kinds = (("below", V.NEWS_SITEMAP_PATHS, True), ("root", V.SITE_SITEMAP_PATHS, False))
+    parts = [extract.default_sitemaps(sites, "home", paths, below).select("host", F.lit(rule).alias("rule"), "position", "sitemap_url") for rule, paths, below in kinds]
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    _with(
+        S.LINKS + ", news_in AS (SELECT page_id, position, link, day, 'url' AS record_type FROM links)," + S.parsed("news_in", "link", "news")
+        + ", home_in AS (SELECT host AS publisher, 'https://' || host || '/' AS home, 'url' AS record_type FROM page_hosts)," + S.parsed("home_in", "home", "homes"),
+        f"""SELECT url, publisher, sitemap_url, publication_date, title, collected_at FROM (
+        SELECT link AS url, homes.publisher AS publisher, 'https://' || homes.publisher || '/map-' || page_id || '-news.xml' AS sitemap_url, news.day || 'T07:00:00Z' AS publication_date,
+          'A & B < ' || position AS title, news.day AS collected_at, row_number() OVER (PARTITION BY homes.publisher, link ORDER BY 'https://' || homes.publisher || '/map-' || page_id || '-news.xml' DESC, position) AS rn
+        FROM (SELECT * FROM news WHERE parse_ok) news JOIN (SELECT page_id, regexp_extract(url, '://([^/?#]+)', 1) AS host FROM labelled_pages) p USING (page_id) JOIN homes ON homes.publisher = p.host
+        WHERE news.registered_domain = homes.registered_domain AND news.path <> '/' AND page_id % 5 <> 0 AND news.day >= '2024-01-20' AND NOT {_BLOCKED} AND NOT {_ENDING.replace('path', 'news.path')})
+        WHERE rn = 1""",
+    )
+)
+def news_collection(t: Tables) -> DataFrame:
+    """From robots files and fallbacks over indexes to news pages, on documents with nested and namespaced fields and broken ones."""
+    spark = t.spark
+    home = F.concat(F.lit("https://"), "host", F.lit("/press"))
+    sites = t.hosts.select(F.col("host").alias("publisher"), home.alias("home"), "first_page")
+    robots = sites.where("first_page % 2 = 0").select("publisher", F.concat(F.lit("User-agent: *\nSitemap: https://"), "publisher", F.lit("/robots-map.xml")).alias("body"))
+    roots = extract.root_sitemaps(sites.drop("first_page"), extract.robots_sitemaps(robots), "publisher", "home", False, V.NEWS_SITEMAP_PATHS)
+    pages = t.pages.select("page_id", "day", F.regexp_extract("url", HOST_IN_URL, 1).alias("publisher"))
+    name = F.concat(F.lit("https://"), "publisher", F.lit("/map-"), "page_id", F.lit("-news.xml"))
+    index = pages.groupBy("publisher").agg(F.min("page_id").alias("first_page"), F.array_join(F.transform(F.collect_set(name), lambda n: F.concat(F.lit("<s:sitemap><x><s:loc> "), n, F.lit(" </s:loc></x></s:sitemap>"))), "").alias("items"))
+    place = F.when(F.col("first_page") % 2 == 0, "/robots-map.xml").otherwise("/press/news.xml")
+    index = index.select(
+        F.concat(F.lit("https://"), "publisher", place).alias("doc_url"), F.concat(F.lit('<?xml version="1.0"?><s:sitemapindex xmlns:s="http://s">'), "items", F.lit("</s:sitemapindex>")).alias("body")
+    )
+    entry = F.concat(
+        F.lit("<url><wrap><loc><![CDATA["), "link", F.lit("]]></loc></wrap><n:news><n:title/><x><n:title>A &amp; B &lt; "), "position", F.lit("</n:title></x><n:publication_date>"), "day",
+        F.lit("T07:00:00Z</n:publication_date></n:news></url>"),
+    )
+    listed = t.links.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", entry.alias("e")))), lambda x: x["e"]), "").alias("items"))
+    end = F.when(F.col("page_id") % 5 == 0, "</broken>").otherwise("</urlset>")
+    maps = pages.join(listed, "page_id").select(name.alias("doc_url"), F.concat(F.lit('<urlset xmlns="http://s" xmlns:n="http://n">'), "items", end).alias("body"))
+    docs = materialize(index.unionByName(maps), "documents")
+    press = sites.select("publisher", F.col("home").alias("publisher_base_url"))
+    found = extract.expand_sitemaps(roots, docs, "publisher", "2024-01-27")
+    return extract.news_rows(found, docs, press, "2024-01-27").select("url", "publisher", "sitemap_url", "publication_date", "title", "collected_at")
 
 
 @query(

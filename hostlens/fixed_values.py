@@ -88,6 +88,8 @@ NEWS_BLOCKED_ENDINGS = (
     ".css", ".csv", ".gif", ".jpeg", ".jpg", ".js", ".json", ".mp3", ".mp4", ".pdf", ".png", ".rss",
     ".svg", ".txt", ".xml", ".zip", "/rss",
 )
+# An ampersand of sitemap text that begins no reference.
+BARE_AMPERSAND = r"&(?!amp;|apos;|gt;|lt;|quot;|#\d+;|#x[0-9A-Fa-f]+;)"
 NEWS_LOOKBACK_DAYS = 7
 NEWS_MAX_URLS = 500
 NEWS_MAX_SITEMAPS = 25

@@ -70,47 +70,67 @@ def robots_sitemaps(docs: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
-def default_sitemaps(sites: DataFrame, home: str, paths=V.NEWS_SITEMAP_PATHS) -> DataFrame:
-    """Fallback sitemap addresses of every site: a fixed short list exploded per row."""
-    listed = F.array(*[F.lit(p) for p in paths])
-    root = F.regexp_extract(F.col(home), r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+def default_sitemaps(sites: DataFrame, home: str, paths=V.NEWS_SITEMAP_PATHS, below: bool = True) -> DataFrame:
+    """Fallback sitemap addresses of every site: a fixed short list exploded per row.
+
+    ``below``: under the home address, path included, as for news sites; else at the root of its host, as for seeds.
+    """
+    listed = F.array(*[F.lit(p.lstrip("/") if below else p) for p in paths])
+    base = F.concat(F.regexp_replace(F.col(home), "/+$", ""), F.lit("/"))
     out = sites.select("*", F.posexplode(listed).alias("position", "__path"))
-    return out.withColumn("sitemap_url", F.concat(root, F.col("__path"))).drop("__path")
+    return out.withColumn("sitemap_url", resolve_reference(base, F.col("__path"))).drop("__path")
 
 
-def root_sitemaps(sites: DataFrame, robots: DataFrame, key: str, home: str, always: bool, paths) -> DataFrame:
+def root_sitemaps(sites: DataFrame, robots: DataFrame, key: str, home: str, always: bool, paths, below: bool = True) -> DataFrame:
     """Starting sitemaps per site: robots lines first, then fallbacks (only when robots named
     none, unless `always`), each address once at its first position."""
     named = robots.select(key, "position", "sitemap_url")
-    fallback = default_sitemaps(sites, home, paths)
+    fallback = default_sitemaps(sites, home, paths, below)
     if not always:
         fallback = fallback.join(named.select(key).distinct(), key, "left_anti")
     both = named.withColumn("__late", F.lit(0)).unionByName(
         fallback.select(key, "position", "sitemap_url").withColumn("__late", F.lit(1))
     )
-    order = F.struct("__late", "position")
-    return both.groupBy(key, "sitemap_url").agg(F.min(order).alias("__at")).select(
-        key, "sitemap_url", (F.col("__at.__late") * 1_000_000 + F.col("__at.position")).alias("position")
-    )
+    first = both.groupBy(key, "sitemap_url").agg(F.min(F.struct("__late", "position")).alias("__at"))
+    place = F.row_number().over(W.partitionBy(key).orderBy("__at", "sitemap_url")) - 1
+    return first.select(key, "sitemap_url", place.alias("position"))
+
+
+#: Stands for a "<" of the text while tags are told apart by it.
+_LESS = "\ue000\uf8ff"
 
 
-_ENTRY = (
-    "struct<loc:string,lastmod:string,publication_date:string,title:string,"
-    "news:struct<publication_date:string,title:string>>"
-)
+def _shielded(xml: Column) -> Column:
+    """XML text whose only "<" are those of markup: references and CDATA sections give way to a mark."""
+    def plain(part: Column) -> Column:
+        inner = F.substring_index(part, "]]>", 1)
+        outer = F.substr(part, F.length(inner) + 4)
+        return F.concat(F.replace(F.replace(inner, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit(_LESS)), outer)
+
+    pieces = F.split(xml, r"<!\[CDATA\[")
+    opened = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), plain), ""))
+    whole = F.when(F.contains(xml, F.lit("<![CDATA[")), opened).otherwise(xml)
+    return F.regexp_replace(whole, "(?i)&lt;|&#0*60;|&#x0*3c;", _LESS)
+
+
+def _first_text(fragment: Column, name: str) -> Column:
+    """Text of the first descendant of that local name, at any depth and in any namespace, that has text of its own."""
+    text = F.regexp_extract(fragment, rf"<(?:[^\s<>/:]+:)?{name}(?:\s[^<>]*)?>([^<]+)", 1)
+    return F.btrim(F.replace(text, F.lit(_LESS), F.lit("<")), F.lit(WHITESPACE))
 
 
 def sitemap_entries(docs: DataFrame, body: str = "body") -> DataFrame:
     """Entries of sitemap documents: doc_type (index / urlset), position, loc, dates, title.
 
-    Documents that are no well-formed XML, or have another root, give no rows.
+    Documents that are no well-formed XML, or have another root, give no rows.  An entry's fields are looked for among all
+    its descendants; the parser hands out entries as they are written, since a schema names one depth only.
     """
     text = F.regexp_replace(F.col(body), "^\ufeff+", "")
     text = F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, r"(?s)^[^<]+", "")).otherwise(text)
-    text = F.regexp_replace(text, r"&(?!amp;|apos;|gt;|lt;|quot;|#\d+;|#x[0-9A-Fa-f]+;)", "&amp;")
+    text = _shielded(F.regexp_replace(text, V.BARE_AMPERSAND, "&amp;"))
     prolog = r"(?s)^(?:\s++|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*+>)*+<(?:[\w.\-]+:)?([\w.\-]+)"
     rest = [c for c in docs.columns if c != body]
-    schema = f"struct<url:array<{_ENTRY}>,sitemap:array<{_ENTRY}>,broken:string>"
+    schema = "struct<url:array<string>,sitemap:array<string>,broken:string>"
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken", "ignoreNamespace": "true"}
     read = docs.select(
         *rest,
@@ -119,15 +139,12 @@ def sitemap_entries(docs: DataFrame, body: str = "body") -> DataFrame:
     ).where(F.col("__x.broken").isNull())
     doc_type = F.when(F.col("__root") == "sitemapindex", "index").when(F.col("__root") == "urlset", "urlset")
     entries = F.when(F.col("__root") == "sitemapindex", F.col("__x.sitemap")).otherwise(F.col("__x.url"))
-    rows = read.where(doc_type.isNotNull()).select(*rest, doc_type.alias("doc_type"), F.posexplode(entries).alias("position", "e"))
-
-    def field(*options: str) -> Column:
-        return F.coalesce(*[F.btrim(F.col(f"e.{o}"), F.lit(WHITESPACE)) for o in options], F.lit(""))
-
+    rows = read.where(doc_type.isNotNull()).select(*rest, doc_type.alias("doc_type"), F.posexplode(entries).alias("position", "__e"))
+    entry = F.coalesce(F.col("__e"), F.lit(""))
+    dated = {c: F.when(F.col("doc_type") == "urlset", _first_text(entry, c)).otherwise(F.lit("")) for c in ("publication_date", "title")}
     return rows.select(
-        *rest, "doc_type", "position", field("loc").alias("loc"), field("lastmod").alias("lastmod"),
-        field("publication_date", "news.publication_date").alias("publication_date"),
-        field("title", "news.title").alias("title"),
+        *rest, "doc_type", "position", _first_text(entry, "loc").alias("loc"), _first_text(entry, "lastmod").alias("lastmod"),
+        *[c.alias(n) for n, c in dated.items()],
     )
 
 
@@ -171,6 +188,19 @@ def _site_parts(df: DataFrame, url: str, rules: SuffixRules | None) -> DataFrame
     return work.select(*keep, "__scheme", "__host", "__path", site.alias("__site"))
 
 
+_PLAIN_HOST = r"^https?://([a-z0-9_\-]+(?:\.[a-z0-9_\-]+)*)(?::\d*)?(?:[/?#]|\z)"
+
+
+def _near(df: DataFrame, url: str, homes: DataFrame) -> DataFrame:
+    """Rows whose host ends like a publisher's site, before anything is split: a host of a site shares its last two labels.
+
+    Only plain addresses are judged; any other goes on to the full split.
+    """
+    host = F.regexp_extract(F.lower(F.col(url)), _PLAIN_HOST, 1)
+    tails = homes.select(F.substring_index("__site", ".", -2).alias("__tail")).distinct().unionAll(df.sparkSession.createDataFrame([("",)], "__tail string"))
+    return df.withColumn("__tail", F.substring_index(host, ".", -2)).join(tails, "__tail", "left_semi").drop("__tail")
+
+
 def allowed_news(df: DataFrame, url: str, publishers: DataFrame, rules: SuffixRules | None = None) -> DataFrame:
     """News pages of the publishers' own domains, without section, account and file addresses.
 
@@ -179,12 +209,12 @@ def allowed_news(df: DataFrame, url: str, publishers: DataFrame, rules: SuffixRu
     lowered = settled(df.withColumn("__low", F.lower(F.col(url))), df.columns, ["__low"])
     low = F.col("__low")
     kept = lowered.where(low.rlike(r"^\s*https?:") & ~contains_any(low, V.NEWS_BLOCKED_TOKENS)).drop("__low")
-    parsed = _site_parts(kept, url, rules)
+    homes = _site_parts(publishers.select("publisher", "publisher_base_url"), "publisher_base_url", rules)
+    homes = homes.where("__host <> ''").select("publisher", "publisher_base_url", "__site")
+    parsed = _site_parts(_near(kept, url, homes), url, rules)
     path = F.lower("__path")
     tail = "(" + "|".join(e.replace(".", r"\.") for e in V.NEWS_BLOCKED_ENDINGS) + r")\z"
     pages = parsed.where(F.col("__scheme").isin("http", "https") & (F.col("__host") != "") & ~F.col("__path").isin("", "/") & ~path.rlike(tail))
-    homes = _site_parts(publishers.select("publisher", "publisher_base_url"), "publisher_base_url", rules)
-    homes = homes.where("__host <> ''").select("publisher", "publisher_base_url", "__site")
     on = ["publisher", "__site"] if "publisher" in df.columns else ["__site"]
     joined = pages.join(homes, on).withColumn("registered_domain", F.col("__site"))
     return joined.select(*df.columns, *[c for c in ("publisher", "publisher_base_url", "registered_domain") if c not in df.columns])

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -33,7 +34,7 @@ def test_root_sitemaps(spark):
     for r in only.orderBy("position").collect():
         got[r.site].append(r.sitemap_url)
     assert got["a"] == ["https://a.com/sitemap.xml"] and got["b"] == ["https://b.com" + p for p in V.NEWS_SITEMAP_PATHS]
-    always = extract.root_sitemaps(sites, robots, "site", "home", True, V.SITE_SITEMAP_PATHS).where("site = 'a'")
+    always = extract.root_sitemaps(sites, robots, "site", "home", True, V.SITE_SITEMAP_PATHS, below=False).where("site = 'a'")
     assert [r.sitemap_url for r in always.orderBy("position").collect()] == ["https://a.com" + p for p in V.SITE_SITEMAP_PATHS]
 
 
@@ -57,6 +58,77 @@ def test_sitemap_entries(spark):
     ]
 
 
+def plain_entries(body):
+    """The reading rule in plain words: the first descendant of that local name that has text before any child."""
+    import xml.etree.ElementTree as ET
+
+    local = lambda e: e.tag.rsplit("}", 1)[-1]
+
+    def first(entry, name):
+        return next((e.text.strip() for e in entry.iter() if local(e) == name and e.text), "")
+
+    body = body.lstrip("\ufeff")
+    try:
+        root = ET.fromstring(re.sub(V.BARE_AMPERSAND, "&amp;", body[body.find("<"):] if "<" in body else body))
+    except ET.ParseError:
+        return []
+    kind = {"sitemapindex": ("index", "sitemap"), "urlset": ("urlset", "url")}.get(local(root))
+    if kind is None:
+        return []
+    dated = ("publication_date", "title") if kind[0] == "urlset" else ()
+    return [
+        (kind[0], i, first(e, "loc"), first(e, "lastmod"), *[first(e, n) if n in dated else "" for n in ("publication_date", "title")])
+        for i, e in enumerate(x for x in root if local(x) == kind[1])
+    ]
+
+
+def test_fields_are_found_among_all_descendants(spark):
+    rnd = random.Random(11)
+    texts = ["http://a.com/?x=1&amp;y=&lt;2", " padded ", "", " ", "<![CDATA[A <b> & <loc>no</loc>]]>", "one<![CDATA[ & two]]>", "&#60;i&#62; &#x3C;", "é & bare", "t<!-- note -->ail", "a > b"]
+    names = ["loc", "n:loc", "lastmod", "title", "n:title", "publication_date", "n:publication_date", "n:news", "wrap", "url", "locs", "titles"]
+
+    def element(depth):
+        name = rnd.choice(names)
+        inner = rnd.choice(texts)
+        if depth and rnd.random() < 0.6:
+            inner += "".join(element(depth - 1) for _ in range(rnd.randint(1, 3))) + rnd.choice(texts)
+        mark = rnd.choice(["", " k='v'", ' n:k="1 2"'])
+        return f"<{name}{mark}>{inner}</{name}>" if inner or rnd.random() < 0.5 else f"<{name}{mark}/>"
+
+    docs = []
+    for i in range(150):
+        root, tag = rnd.choice([("urlset", "url"), ("n:urlset", "n:url"), ("sitemapindex", "sitemap"), ("feed", "url")])
+        entries = "".join(f"<{rnd.choice([tag, tag, 'other'])}>" + "".join(element(3) for _ in range(rnd.randint(0, 4))) + "</%s>" for _ in range(rnd.randint(0, 4)))
+        parts = re.split(r"(<(?:%s|other)>)" % tag, entries)
+        body, name = "", None
+        for p in parts:
+            if re.fullmatch(r"<(?:%s|other)>" % tag, p):
+                name = p[1:-1]
+            body += p.replace("%s", name or "")
+        text = f"{rnd.choice(['', chr(0xFEFF), 'junk '])}<?xml version='1.0'?><{root} xmlns='http://s' xmlns:n='http://n'>{body}</{root if rnd.random() < 0.9 else 'x'}>"
+        docs.append((i, text))
+    rows = extract.sitemap_entries(spark.createDataFrame(docs, "doc int, body string")).collect()
+    got = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.doc, r.position)):
+        got[r.doc].append((r.doc_type, r.position, r["loc"], r.lastmod, r.publication_date, r.title))
+    want = {i: plain_entries(b) for i, b in docs}
+    assert {i: e for i, e in want.items() if e} == dict(got)
+    assert sum(len(e) for e in got.values()) > 100 and sum(bool(e[2]) for x in got.values() for e in x) > 40
+
+
+def test_default_sitemaps_keep_the_base_path(spark):
+    from urllib.parse import urljoin
+
+    homes = ["https://a.com", "https://a.com/", "https://a.com/en/news//", "https://a.com/x/index.html", "https://a.com:8080/p?q=1", "http://a.com/p/q#frag/"]
+    df = spark.createDataFrame([(h,) for h in homes], "home string")
+    got = defaultdict(list)
+    for r in extract.default_sitemaps(df, "home").orderBy("position").collect():
+        got[r.home].append(r.sitemap_url)
+    assert got == {h: [urljoin(h.rstrip("/") + "/", p.lstrip("/")) for p in V.NEWS_SITEMAP_PATHS] for h in homes}
+    roots = extract.default_sitemaps(df, "home", V.SITE_SITEMAP_PATHS, below=False)
+    assert {(r.home, r.sitemap_url) for r in roots.collect()} == {(h, urljoin(h, p)) for h in homes for p in V.SITE_SITEMAP_PATHS}
+
+
 def test_expansion_and_news_rows(spark):
     docs = {
         "https://npr.org/root.xml": sitemap("https://npr.org/news1.xml", "https://npr.org/old.xml", "https://npr.org/post.xml", "https://npr.org/root.xml", tag="sitemap", root="sitemapindex"),
