@@ -17,6 +17,7 @@ from hostlens.functions import rules
 from hostlens.functions.dates import first_date, looks_recent
 from hostlens.functions.urls import query_pairs
 from hostlens.operators import corpus, dedup, evaluation, extract, features, metrics, models, reports, sampling, scoring, seeds
+from hostlens.operators.medians import medians
 from hostlens.operators.parse import invalid_reasons, parse_records
 from hostlens.plans import batch
 from hostlens.session import fresh_path, materialize
@@ -570,6 +571,20 @@ def sketched_profile(t: Tables) -> DataFrame:
     return merged.join(exact, "column_name").select("column_name", "null_count", "non_null_count", "exact", (error <= 1 + 0.025 * F.col("exact")).alias("within"))
 
 
+_MEDIAN_OF = {
+    "l_quantity": "l_quantity", "l_extendedprice": "l_extendedprice", "l_discount": "CASE WHEN l_orderkey % 3 > 0 THEN l_discount END",
+    "wide": "CASE WHEN l_linenumber % 2 = 0 THEN -exp(l_quantity) ELSE l_extendedprice END", "never": "CASE WHEN l_orderkey < 0 THEN 1.5 END", "flag": "CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS column_name, round(CAST(median({e}) AS DOUBLE), 6) AS median FROM lineitem" for n, e in _MEDIAN_OF.items()))
+def exact_medians(t: Tables) -> DataFrame:
+    """Medians as the models' filling takes them, with missing values, ties and no value at all."""
+    rows = t.raw("lineitem").select(*[F.expr(e).cast("double").alias(n) for n, e in _MEDIAN_OF.items()])
+    found = medians(rows, list(_MEDIAN_OF))
+    return _r(t.spark.createDataFrame(list(found.items()), "column_name string, median double"), "median")
+
+
 _SUMMARY = """SELECT count(*) AS total_events, count(*) FILTER (predicted_label = 1) AS phishing_events, count(*) FILTER (predicted_label <> 1) AS benign_events,
     count(*) FILTER (risk_level = 'high') AS high_risk_events, count(*) FILTER (dataset_kind = 'domain') AS domain_events,
     count(*) FILTER (dataset_kind = 'url') AS url_events, max(received_at) AS latest_event_at FROM log"""

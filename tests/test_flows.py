@@ -125,7 +125,7 @@ def test_linear_scorer_equals_the_fitted_pipeline(spark, url_rows):
     from hostlens.operators.features import url_features
 
     data, n = models.weighted(url_features(url_rows))
-    fitted = models.build_estimator("linear_svm", "url", n, models.SMALL).fit(data)
+    fitted = models.build_estimator("linear_svm", "url", n, models.medians(data, models.feature_names("url")), models.SMALL).fit(data)
     slow = models.Scorer("linear_svm", "url", "v", [fitted]).normalized(data).select("sample_text", "score", "prediction")
     fast = models.LinearScorer.from_pipeline("linear_svm", "url", "v", fitted).normalized(data).select("sample_text", F.col("score").alias("s2"), F.col("prediction").alias("p2"))
     both = slow.join(fast, "sample_text").agg(F.max(F.abs(F.col("score") - F.col("s2"))).alias("d"), F.count_if(F.col("prediction") != F.col("p2")).alias("n")).first()
