@@ -19,7 +19,7 @@ from hostlens.functions.urls import query_pairs
 from hostlens.operators import corpus, dedup, evaluation, extract, features, metrics, models, reports, sampling, scoring, seeds
 from hostlens.operators.medians import medians
 from hostlens.operators.parse import invalid_reasons, parse_records
-from hostlens.plans import batch
+from hostlens.plans import batch, runs
 from hostlens.session import fresh_path, materialize
 from hostlens.sources import feeds
 from hostlens.streaming import flows
@@ -386,6 +386,46 @@ def both_class_rows(t: Tables) -> DataFrame:
 _TARGET = "SELECT collected_at, least(count(*) FILTER (label = 0), count(*) FILTER (label = 1)) AS target FROM labelled GROUP BY 1"
 
 
+_SIZES = """days AS (SELECT collected_at, row_number() OVER (ORDER BY collected_at) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT collected_at FROM labelled)),
+sizes AS (SELECT *, greatest(1, CAST(round_even(n * 0.7, 0) AS INTEGER)) AS tr, greatest(1, CAST(round_even(n * 0.15, 0) AS INTEGER)) AS va FROM days),
+split_days AS (SELECT collected_at, CASE WHEN rn <= tr - CASE WHEN n - tr - va < 1 THEN 1 ELSE 0 END THEN 'train'
+  WHEN rn <= tr - CASE WHEN n - tr - va < 1 THEN 1 ELSE 0 END + va THEN 'val' ELSE 'test' END AS split FROM sizes)"""
+_DAY_LIST = "(SELECT coalesce(string_agg({0}, ',' ORDER BY {0}), '') FROM {1})"
+
+
+@query(
+    _with(
+        _RARE + f", kept AS (SELECT collected_at, 2 * least(count(*) FILTER (label = 0), count(*) FILTER (label = 1)) AS n FROM rare WHERE collected_at IN {_BOTH} GROUP BY 1), "
+        + _SIZES.replace("FROM labelled", "FROM kept"),
+        "SELECT "
+        + ", ".join(f"(SELECT count(*) FROM rare WHERE label = {i}) AS {n}_before, (SELECT CAST(sum(n) / 2 AS BIGINT) FROM kept) AS {n}_after" for i, n in enumerate(("benign", "phishing")))
+        + ", (SELECT count(*) FROM rare) - (SELECT count(*) FROM rare WHERE collected_at NOT IN (SELECT collected_at FROM kept)) - (SELECT CAST(sum(n) AS BIGINT) FROM kept) AS rows_removed, "
+        + _DAY_LIST.format("collected_at", "(SELECT DISTINCT collected_at FROM rare WHERE collected_at NOT IN (SELECT collected_at FROM kept))") + " AS dropped_dates, "
+        + ", ".join(
+            f"(SELECT CAST(sum(n) AS BIGINT) FROM kept JOIN split_days USING (collected_at) WHERE split = '{s}') AS {s}_rows, "
+            + _DAY_LIST.format("collected_at", f"(SELECT collected_at FROM split_days WHERE split = '{s}')") + f" AS {s}_dates" for s in ("train", "val", "test")
+        )
+        + f", {len(V.DOMAIN_FEATURES)} AS features",
+    )
+)
+def run_summary(t: Tables) -> DataFrame:
+    """The facts of a training run, recorded twice under one id and read back from the run table."""
+    rare = _rare(t).withColumn("sample_text", F.col("event_id").cast("string"))
+    rows = materialize(batch.training_rows(rare, "domain"), "rows")
+    facts = runs.training_facts(rare, rows, "domain", "per_date_under")
+    path = fresh_path(t.spark, "runs")
+    for kind in ("url", "domain"):
+        runs.record(runs._with_facts(facts, {"run_id": "r1", "kind": kind}), path)
+    found = runs.runs(t.spark, path).where("kind = 'domain'")
+    split = {s: F.get("splits", F.lit(i)) for i, s in enumerate(("train", "val", "test"))}
+    removed = F.aggregate("balancing", F.lit(0).cast("long"), lambda a, d: a + d["rows_removed"])
+    return found.select(
+        *[F.col(f"{side}.{c}").alias(f"{c}_{side}") for c in ("benign", "phishing") for side in ("before", "after")],
+        removed.alias("rows_removed"), F.array_join("dropped_dates", ",").alias("dropped_dates"),
+        *[c for s, x in split.items() for c in (x["rows"].alias(f"{s}_rows"), F.array_join(x["dates"], ",").alias(f"{s}_dates"))], F.size("feature_columns").alias("features"),
+    )
+
+
 @query(
     _with(
         S.LABELLED,
@@ -434,12 +474,6 @@ def undersample_lines(t: Tables) -> DataFrame:
     return sampling.undersample_per_date(_lines(t, t.spread("lineitem")), "k").select("k", "label", "collected_at")
 
 
-_SIZES = """days AS (SELECT collected_at, row_number() OVER (ORDER BY collected_at) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT collected_at FROM labelled)),
-sizes AS (SELECT *, greatest(1, CAST(round_even(n * 0.7, 0) AS INTEGER)) AS tr, greatest(1, CAST(round_even(n * 0.15, 0) AS INTEGER)) AS va FROM days),
-split_days AS (SELECT collected_at, CASE WHEN rn <= tr - CASE WHEN n - tr - va < 1 THEN 1 ELSE 0 END THEN 'train'
-  WHEN rn <= tr - CASE WHEN n - tr - va < 1 THEN 1 ELSE 0 END + va THEN 'val' ELSE 'test' END AS split FROM sizes)"""
-
-
 @query(_with(S.LABELLED + "," + _SIZES, "SELECT event_id, label, collected_at, split FROM labelled JOIN split_days USING (collected_at)"))
 def temporal_split(t: Tables) -> DataFrame:
     return sampling.temporal_split(t.labelled).select("event_id", "label", "collected_at", "split")

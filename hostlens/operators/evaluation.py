@@ -48,6 +48,10 @@ def group_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.groupBy(*columns).agg(*_measures())
 
 
+def overall_summary(df: DataFrame) -> DataFrame:
+    return df.agg(*_measures())
+
+
 def all_summaries(df: DataFrame, groups=GROUPS) -> DataFrame:
     """Every single-column summary and the overall one in one pass (grouping sets).
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from hostlens import fixed_values as V
 from hostlens.operators import corpus, counters, evaluation, metrics, models, reports, sampling, scoring, seeds
 from hostlens.operators.parse import parse_records
+from hostlens.plans import runs
 from hostlens.schemas import CLEAN
-from hostlens.session import materialize, path_exists
+from hostlens.session import Stages, materialize, path_exists
 from hostlens.sources import feeds, sinks, tables
 
 
@@ -65,31 +66,39 @@ def training_rows(dataset: DataFrame, kind: str, strategy: str = "per_date_under
     return sampling.temporal_split(rows)
 
 
-def train(dataset: DataFrame, kind: str, out: str, variant: str = "default", by: str = "pr_auc", strategy: str = "per_date_under", sizes: models.Sizes = models.Sizes(), names=V.MODEL_ORDER, write_splits: bool = False) -> models.Comparison:
+def train(
+    dataset: DataFrame, kind: str, out: str, variant: str = "default", by: str = "pr_auc", strategy: str = "per_date_under", sizes: models.Sizes = models.Sizes(),
+    names=V.MODEL_ORDER, write_splits: bool = False, run_id: str | None = None, input_path: str = "",
+) -> models.Comparison:
+    """Train, compare and save; the run's row goes last to `runs` below `out`, under `run_id` (by default kind and variant)."""
     sampling.check_labels(dataset)
-    rows = materialize(training_rows(dataset, kind, strategy), "split_rows")
-    if write_splits:
-        sinks.write_splits(rows, f"{out}/{kind}_splits")
-    result = models.train_compare(rows, kind, variant, by, sizes, names)
-    sinks.write_table_csv(result.validation, f"{out}/validation_metrics")
-    sinks.write_table_csv(result.test, f"{out}/test_metrics")
-    sinks.write_table_csv(result.comparison, f"{out}/model_comparison")
-    sinks.write_stats(result.splits, f"{out}/splits")
-    sinks.write_stats(sampling.balance_summary(usable_rows(dataset), rows, strategy if kind == "domain" else "none"), f"{out}/balance")
-    result.best.save(f"{out}/model")
+    with Stages():
+        rows = materialize(training_rows(dataset, kind, strategy), "split_rows")
+        if write_splits:
+            sinks.write_splits(rows, f"{out}/{kind}_splits")
+        result = models.train_compare(rows, kind, variant, by, sizes, names)
+        facts = runs.training_facts(dataset, rows, kind, strategy if kind == "domain" else "none")
+        tables_ = {"validation_metrics": result.validation, "test_metrics": result.test, "model_comparison": result.comparison}
+        for name, df in tables_.items():
+            sinks.write_table_csv(df, f"{out}/{name}")
+        sinks.write_stats(result.splits, f"{out}/splits")
+        sinks.write_stats(sampling.balance_summary(usable_rows(dataset), rows, strategy if kind == "domain" else "none"), f"{out}/balance")
+        result.best.save(f"{out}/model")
+        artifacts = {n: f"{out}/{n}" for n in (*tables_, "splits", "balance", "model")}
+        runs.record(runs.training_run(facts, run_id or f"{kind}-{variant}", kind, strategy, by, result, input_path, artifacts), f"{out}/runs")
     return result
 
 
-def validate(seed: DataFrame, scorers: dict, out: str, run_ts: str) -> dict[str, DataFrame]:
+def validate(seed: DataFrame, scorers: dict, out: str, run_ts: str, input_path: str = "") -> dict[str, DataFrame]:
     """Score a seed table, then write details, grouped summaries and worst cases."""
     details = materialize(evaluation.confusion_flags(scoring.score_seed(seed, scorers)), "validation")
     mode = evaluation.evaluation_mode(details).first()[0]
     result = {
         "details": details.drop("parsed"),
         **{f"by_{g}": evaluation.group_summary(details, [g]) for g in evaluation.GROUPS},
-        "summary": evaluation.all_summaries(details).where("grouped_by = 'overall'").withColumn("evaluation_mode", F.lit(mode)),
         "top_issues": evaluation.top_issues(details, mode).drop("parsed"),
     }
+    result["summary"] = runs.validation_summary(details, input_path, {n: f"{out}/run_ts={run_ts}/{n}" for n in result})
     for name, df in result.items():
         sinks.write_table_csv(df, f"{out}/run_ts={run_ts}/{name}")
     return result

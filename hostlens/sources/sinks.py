@@ -42,7 +42,8 @@ def write_table_csv(df: DataFrame, path: str) -> None:
     """Seed, addon, metric and summary tables as CSV with a header."""
     flat = df.select(
         *[
-            F.array_join(f.name, " | ").alias(f.name) if f.dataType.typeName() == "array" else F.col(f.name)
+            F.array_join(f.name, " | ").alias(f.name) if f.dataType.typeName() == "array"
+            else F.to_json(f.name).alias(f.name) if f.dataType.typeName() == "map" else F.col(f.name)
             for f in df.schema.fields
         ]
     )
