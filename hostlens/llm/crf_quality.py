@@ -238,13 +238,21 @@ def _scorer(model: Model, text: Callable[[pa.RecordBatch], pa.Array]):
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, score`` of every row; null and empty texts are scored as one empty line."""
+    """``doc_id, score`` of every row; null and empty texts are scored as one empty line.
+
+    Texts are scored whole, however long; repeated rows and null ids are rows of their own, an empty table gives none, and other columns
+    are ignored.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_scorer(model, lambda b: b.column("text")), "doc_id long, text string, score double").drop("text")
 
 
 def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, with their columns as they are (whatever their names)."""
+    """The rows of ``docs`` that score ``threshold`` or more, with their columns as they are (whatever their names).
+
+    Each row is judged by its own whole text, null as an empty line: repeated rows stay or go together, null ids count like others,
+    and an empty table stays empty.
+    """
     nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text").cast("string").alias("text"))
     kind = T.StructType([*nested.schema.fields, T.StructField("score", T.DoubleType())])
     scored = nested.mapInArrow(_scorer(model, lambda b: b.column("text")), kind)

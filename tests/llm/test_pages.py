@@ -39,6 +39,42 @@ def test_surges_choose_among_marked_lines():
     assert html_text.main_text(page).split("\n") == [*PROSE, "Short end."]
 
 
+def test_surges_and_dives_equal_plain_loops():
+    import random
+
+    import numpy as np
+
+    def plain(weights, headings):
+        n = len(weights)
+        if not any(weights):
+            return [False] * n
+        sums = [sum(weights[i : i + html_text.WINDOW]) for i in range(n)]
+        usual = sorted(w for w in weights if w >= min(html_text.PARAGRAPH[0], max(weights)))
+        bar = html_text.SURGE * min(max(sums), html_text.WINDOW * min(usual[(len(usual) - 1) // 2], html_text.PARAGRAPH[1]))
+        kept, done = [False] * n, 0
+        for i in range(n):
+            if i < done or sums[i] <= bar:
+                continue
+            start, end = i, i
+            while start > 0 and (weights[start - 1] > 0 or headings[start - 1]):
+                start -= 1  # the foot of the surge
+            while weights[start] == 0 and not headings[start]:
+                start += 1
+            while end < n and sums[end] > 0:
+                end += 1  # the dive
+            for j in range(start, end):
+                kept[j] = True
+            done = end + 1
+        return kept
+
+    rng = random.Random(9)
+    for _ in range(3000):
+        n = rng.randint(1, 25)
+        weights = [rng.choice([0, 0, 0, 5, 30, 90, 400, 3000]) for _ in range(n)]
+        headings = [rng.random() < 0.15 for _ in range(n)]
+        assert html_text.between(np.array(weights), np.array(headings)).tolist() == plain(weights, headings), (weights, headings)
+
+
 def test_teaser_cards_do_not_hide_the_text():
     cards = "".join(f'<article class="more-stories"><h3><a href="/{i}">Story {i}</a></h3><p>Teaser {i}.</p></article>' for i in range(3))
     links = "".join(f'<div><a href="/l{i}">More {i}</a></div>' for i in range(4))
