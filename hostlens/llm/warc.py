@@ -4,15 +4,17 @@ A payload is written as records of at most ``CHUNK`` bytes: the first names the
 number, as the format provides for.  Archives are gzip text files of Spark's own writer, so any store that Spark
 reaches will do: a record is a row, and what follows each record is the writer's line separator.
 
-Reading takes the version line for the separator and so gets one record at a time, never a whole file or payload.  The
+Reading takes the beginning of the version line for the separator and so gets one record at a time, never a whole file or payload.  The
 result is a table of (record, chunk) rows, each with the digest of the payload up to and including its chunk; payloads whose
-own bytes hold the separator are put together again from the announced length.
+own bytes hold the separator are put together again from the announced length.  Archives of other writers are read as well: any
+record type, header names in any case; an unsegmented record of theirs is cut into chunks once it is read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -29,8 +31,10 @@ BROADCAST_DIGESTS = 500_000
 _BATCH_BYTES = 8 << 20
 
 # The format's version line, record separator and revisit profile.
-VERSION = "WARC/1.1\r\n"
+MARK = "WARC/1."
+VERSION = f"{MARK}1\r\n"
 END = "\r\n\r\n"
+_HEADER_END = re.compile(rb"\r?\n\r?\n")
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -102,38 +106,71 @@ CHUNKS = (
 )
 
 
+def _plain(value: str | None, prefix: str) -> str | None:
+    """An identifier or digest without its brackets and scheme."""
+    return value if value is None else value.strip("<>").removeprefix(prefix)
+
+
 class _Reader:
-    """Chunk rows from the pieces between version lines, in the order of a file."""
+    """Chunk rows from the pieces between version marks, in the order of a file.
+
+    A record may hold version marks itself: its pieces are held until they have the length that its header announced, and joined once.
+    Header names are read in any case, and records of any type and either version; what they leave out is null.
+    """
 
     def __init__(self, with_data: bool):
         self.with_data = with_data
-        self.open = b""
+        self.held: list[bytes] = []
+        self.got = 0
+        self.wanted: int | None = None
+        self.fields: dict[str, str] = {}
         self.first: dict[str, str] = {}
         self.sum = hashlib.sha1()
         self.size = self.chunk = 0
 
+    def _header(self) -> bool:
+        """Reads the header once it is whole; of the pieces then only the block is held."""
+        start = MARK.encode().join(self.held)
+        found = _HEADER_END.search(start)
+        if not found:
+            self.held = [start]
+            return False
+        lines = re.split("\r?\n", start[: found.start()].decode("utf-8", "replace"))[1:]
+        self.fields = {n.strip().lower(): v.strip() for n, _, v in (line.partition(":") for line in lines)}
+        self.wanted = int(self.fields["content-length"])
+        self.held = [start[found.end() :]]
+        self.got = len(self.held[0])
+        return True
+
     def pieces(self, piece: bytes) -> Iterator[tuple]:
-        if not self.open and not piece.strip():
+        if not self.held and not piece.strip():
             return  # before the first record
-        self.open = self.open + VERSION.encode() + piece if self.open else piece
-        head, _, rest = self.open.partition(END.encode())
-        fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n"))
-        length = int(fields["Content-Length"])
-        if len(rest) < length:
-            return  # the payload holds a version line of its own
-        self.open = b""
-        data = rest[:length]
-        if fields["WARC-Type"] != "continuation":
+        known = self.wanted is not None
+        self.held.append(piece)
+        if known:
+            self.got += len(MARK) + len(piece)
+        elif not self._header():
+            return
+        if self.got < self.wanted:
+            return  # the block holds a version mark of its own
+        data = MARK.encode().join(self.held)[: self.wanted]
+        fields, self.held, self.wanted = self.fields, [], None
+        if fields.get("warc-type") != "continuation":
             self.first, self.sum, self.size, self.chunk = fields, hashlib.sha1(), 0, 0
-        self.sum.update(data)
-        self.size += length
-        self.chunk += 1
         own = self.first
         number = lambda name: int(own[name]) if name in own else None
-        yield (
-            own["WARC-Record-ID"][10:-1], self.chunk, own["WARC-Type"], number("Page-ID"), own.get("WARC-Target-URI"), number("Refers-To-Page"),
-            own["WARC-Payload-Digest"][5:], number("Payload-Length"), self.size, _digest(self.sum.digest()), data if self.with_data else None,
-        )
+        # Segmented archives announce the whole payload; others their block.
+        digest = own.get("warc-payload-digest" if "payload-length" in own else "warc-block-digest")
+        announced = number("payload-length" if "payload-length" in own else "content-length")
+        for at in range(0, max(1, len(data)), CHUNK):
+            part = data[at : at + CHUNK]
+            self.sum.update(part)
+            self.size += len(part)
+            self.chunk += 1
+            yield (
+                _plain(own.get("warc-record-id"), "urn:uuid:"), self.chunk, own.get("warc-type"), number("page-id"), _plain(own.get("warc-target-uri"), ""), number("refers-to-page"),
+                _plain(digest, "sha1:"), announced, self.size, _digest(self.sum.digest()), part if self.with_data else None,
+            )
 
 
 def read(spark: SparkSession, path: str, with_data: bool = True) -> DataFrame:
@@ -147,10 +184,10 @@ def read(spark: SparkSession, path: str, with_data: bool = True) -> DataFrame:
             rows = [r for piece in batch.column("piece").to_pylist() for r in reader.pieces(piece)]
             columns = list(zip(*rows)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
-        if reader.open:
+        if reader.held:
             raise ValueError("the archive ends within a record")
 
-    pieces = spark.read.schema("value string").option("lineSep", VERSION).text(path)
+    pieces = spark.read.schema("value string").option("lineSep", MARK).text(path)
     return pieces.select(F.col("value").cast("binary").alias("piece")).mapInArrow(run, CHUNKS)
 
 
@@ -165,7 +202,7 @@ def records(chunks: DataFrame) -> DataFrame:
     return r.select(
         "record_id", "page_id", "url", F.when(revisit, F.col("announced_bytes")).otherwise(F.col("bytes_so_far")).alias("payload_bytes"),
         F.when(revisit, F.col("announced_digest")).otherwise(F.col("digest_so_far")).alias("payload_digest"), F.col("type").alias("record_type"), "refers_to",
-        (revisit | ((F.col("bytes_so_far") == F.col("announced_bytes")) & (F.col("digest_so_far") == F.col("announced_digest")))).alias("whole"),
+        (revisit | ((F.col("bytes_so_far") == F.col("announced_bytes")) & F.coalesce(F.col("digest_so_far") == F.col("announced_digest"), F.lit(True)))).alias("whole"),
     )
 
 

@@ -147,6 +147,50 @@ def test_chunks_carry_digests(spark, pages, tmp_path, monkeypatch):
     assert so_far == payload
 
 
+def test_archives_of_other_writers(spark, tmp_path):
+    import gzip
+
+    body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>WARC/1.0\r\nWARC-Type: none\r\n\r\n</p>"
+    sha1 = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+    big = bytes(range(256)) * 9000
+    blocks = [
+        ("1.0", {"WARC-Type": "warcinfo", "WARC-Record-ID": "<urn:uuid:i>", "Content-Type": "application/warc-fields"}, b"software: x\r\n"),
+        ("1.0", {"warc-type": "response", "warc-record-id": "<urn:uuid:r>", "WARC-TARGET-URI": "<http://a.com/x:y>", "WARC-Block-Digest": "sha1:" + sha1(body), "WARC-Payload-Digest": "sha1:OTHER"}, body),
+        ("1.1", {"WARC-Type": "request", "WARC-Record-ID": "q"}, b""),
+        ("1.1", {"WARC-Type": "resource", "WARC-Record-ID": "<urn:uuid:b>", "WARC-Block-Digest": "sha1:WRONG"}, big),
+        ("1.1", {"WARC-Type": "resource", "WARC-Record-ID": "<urn:uuid:n>"}, b"\n\n"),
+    ]
+    data = b"".join(f"WARC/{v}\r\n{''.join(f'{k}: {x}' + chr(13) + chr(10) for k, x in h.items())}content-length:  {len(b)}\r\n\r\n".encode() + b + b"\r\n\r\n" for v, h, b in blocks)
+    with gzip.open(tmp_path / "other.warc.gz", "wb") as f:
+        f.write(data)
+    chunks = warc.read(spark, str(tmp_path)).collect()
+    joined = {}
+    for r in sorted(chunks, key=lambda r: (r["record_id"], r["chunk"])):
+        assert len(r["data"]) <= warc.CHUNK
+        joined[r["record_id"]] = joined.get(r["record_id"], b"") + bytes(r["data"])
+    assert joined == {"i": b"software: x\r\n", "r": body, "q": b"", "b": big, "n": b"\n\n"}
+    found = {r["record_id"]: r for r in warc.records(warc.read(spark, str(tmp_path), with_data=False)).collect()}
+    assert {k: (r["record_type"], r["whole"], r["page_id"]) for k, r in found.items()} == {
+        "i": ("warcinfo", True, None), "r": ("response", True, None), "q": ("request", True, None), "b": ("resource", False, None), "n": ("resource", True, None),
+    }
+    assert found["r"]["url"] == "http://a.com/x:y" and found["b"]["payload_bytes"] == len(big)
+
+
+def test_version_lines_in_a_payload_take_linear_time():
+    import time
+
+    def seconds(n):
+        payload = (warc.VERSION + "x" * 9).encode() * n
+        whole = warc._header("response", "r", len(payload), {"Payload-Length": len(payload), "WARC-Payload-Digest": "sha1:X"}) + payload + warc.END.encode()
+        reader, start = warc._Reader(True), time.perf_counter()
+        rows = [r for p in whole.split(warc.MARK.encode()) for r in reader.pieces(p)]
+        assert b"".join(r[-1] for r in rows) == payload and not reader.held
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(40_000) < 60 * max(seconds(2_000), 0.002)
+
+
 def test_page_rows(pages):
     rows, df = pages
     got = html_text.extract(df).collect()
