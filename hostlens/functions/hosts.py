@@ -40,9 +40,22 @@ def is_ip(host: Column | str) -> Column:
     return h.rlike(r"[0-9]\z|:") & h.rlike(IP_PATTERN)
 
 
+def host_text(value: Column | str) -> Column:
+    """A host in lower case, without outer white space and dots."""
+    return strip_dots(F.lower(strip(col(value))))
+
+
 def canonical_host(value: Column | str) -> Column:
     """Lower-case ASCII host without outer dots, or null when there is none."""
-    h = strip_dots(F.lower(strip(col(value))))
+    return encoded_host(host_text(value))
+
+
+def encoded_host(text: Column | str) -> Column:
+    """The canonical host of a `host_text`.
+
+    The text stands in every branch: where many rows are parsed it is a column of its own, so that it is computed once.
+    """
+    h = col(text)
     # Empty or over-long labels cannot be encoded for DNS; short hosts skip the label regex.
     bad_label = F.contains(h, F.lit("..")) | ((F.length(h) > 63) & h.rlike("[^.]{64}"))
     ascii_host = F.when(~bad_label, h)

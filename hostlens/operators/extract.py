@@ -182,7 +182,8 @@ def _site_parts(df: DataFrame, url: str, rules: SuffixRules | None) -> DataFrame
     work = work.withColumn("__scheme", urls.scheme_of(F.col("__tidy")))
     pieces = urls.split_rest(after_first(F.col("__tidy"), ":"))
     work = work.withColumns({"__path": pieces["path"], "__netloc": pieces["netloc"]})
-    work = work.withColumn("__host", F.coalesce(hosts.canonical_host(urls.host_and_port(F.col("__netloc"))[0]), F.lit("")))
+    work = work.withColumn("__text", hosts.host_text(urls.host_and_port(F.col("__netloc"))[0]))
+    work = work.withColumn("__host", F.coalesce(hosts.encoded_host("__text"), F.lit("")))
     work = host_parts(settled(work, keep, ["__scheme", "__host", "__path"]), "__host", rules)
     site = F.coalesce(F.nullif(F.col("registered_domain"), F.lit("")), F.col("__host"))
     return work.select(*keep, "__scheme", "__host", "__path", site.alias("__site"))

@@ -112,7 +112,8 @@ def parse_records(
             "__raw_host": F.when(F.col("__is_url"), netloc_host).otherwise(F.col("__v")),
         }
     )
-    work = work.withColumn("__host", hosts.canonical_host("__raw_host"))
+    work = work.withColumn("__text", hosts.host_text("__raw_host"))
+    work = work.withColumn("__host", hosts.encoded_host("__text"))
     work = work.withColumn("__reason", _reason())
     work = settled(work, keep, [f"__{n}" for n in ("is_url", "scheme", "path", "query", "fragment", "port", "host", "reason")])
     work = work.withColumns(

@@ -54,12 +54,11 @@ def parse_for_scoring(df: DataFrame, kind: str, rules_: SuffixRules | None = Non
     A value asked for as a domain that only parses as a URL is taken by its host.  The choice is
     made on the host test alone, so every value is parsed once.
     """
-    as_type = F.lit("url")
-    host_ok = hosts.is_valid_host(hosts.canonical_host("raw_value"))
-    domain_reason = F.when(hosts.canonical_host("raw_value").isNull(), "invalid_domain").otherwise("invalid_hostname")
+    typed = df.withColumn("__as", F.lit("url"))
     if kind == "domain":
-        as_type = F.when(host_ok, "domain").otherwise("url")
-    typed = df.withColumn("__as", as_type)
+        typed = df.withColumn("__own", hosts.host_text("raw_value")).withColumn("__own", hosts.encoded_host("__own"))
+        typed = typed.withColumn("__as", F.when(hosts.is_valid_host("__own"), "domain").otherwise("url"))
+    domain_reason = F.when(F.col("__own").isNull(), "invalid_domain").otherwise("invalid_hostname")
     parsed = parse_records(typed, "raw_value", "__as", rules_)
     if kind == "domain":
         text = F.col("canonical_hostname")
@@ -70,7 +69,7 @@ def parse_for_scoring(df: DataFrame, kind: str, rules_: SuffixRules | None = Non
         message = F.concat(F.lit("Could not parse URL input. Reason: "), F.col("invalid_reason"))
     return parsed.withColumns(
         {"sample_text": text, "error": F.when(F.col("parse_ok"), F.lit("")).otherwise(message)}
-    ).drop("__as")
+    ).drop("__as", "__own")
 
 
 def _score_kind(df: DataFrame, kind: str, scorer, rules_: SuffixRules | None) -> DataFrame:
