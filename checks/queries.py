@@ -19,7 +19,7 @@ from hostlens.functions.urls import query_pairs
 from hostlens.operators import corpus, dedup, evaluation, extract, features, metrics, models, reports, sampling, scoring, seeds
 from hostlens.operators.medians import medians
 from hostlens.operators.parse import invalid_reasons, parse_records
-from hostlens.plans import batch, runs
+from hostlens.plans import addon, batch, runs
 from hostlens.session import fresh_path, materialize
 from hostlens.sources import feeds
 from hostlens.streaming import flows
@@ -878,6 +878,35 @@ def addon_urls(t: Tables) -> DataFrame:
     return rows.select("sample_id", "seed_id", "input_value", "hostname", "registered_domain", "expected_label", "discovery_method")
 
 
+@query(
+    _with(
+        _FOUND.replace("ORDER BY page_id, position) AS rn", "ORDER BY page_id, position) AS rn, page_id") + _PICKED,
+        """SELECT 'VU' || lpad(CAST(row_number() OVER (ORDER BY top_pages.seed_id, rank) AS VARCHAR), 4, '0') AS sample_id, top_pages.seed_id, canonical_url AS input_value,
+        CASE WHEN page_id = first_page THEN 'homepage' ELSE 'sitemap' END AS discovery_method, 'url' AS dataset_kind FROM top_pages JOIN seeds USING (seed_id)
+        UNION ALL SELECT 'VD' || lpad(CAST(row_number() OVER (ORDER BY seed_id) AS VARCHAR), 4, '0'), seed_id, canonical_hostname,
+        CASE WHEN page_id = first_page THEN 'homepage' ELSE 'sitemap' END, 'domain'
+        FROM (SELECT *, row_number() OVER (PARTITION BY seed_id, canonical_hostname ORDER BY position) AS first FROM internal) JOIN seeds USING (seed_id) WHERE first = 1""",
+    )
+)
+def addon_flow(t: Tables) -> DataFrame:
+    """The whole addon flow: a host's first page is its homepage, a sitemap lists the links of the others."""
+    sites = t.hosts.select(
+        F.col("host").alias("seed_id"), F.lit("site").alias("category"), F.col("host").alias("source_name"), F.concat(F.lit("https://"), "host", F.lit("/")).alias("homepage_url"), F.lit("").alias("note")
+    )
+    pages = t.pages.select("page_id", "html", F.regexp_extract("url", HOST_IN_URL, 1).alias("host"), "url").join(t.hosts, "host")
+    root = F.concat(F.substring_index("url", ":", 1), F.lit("://"), "host")
+    # Links are relative: the homepage's own scheme is that of the other pages once it stands in the text.
+    homes = pages.where("page_id = first_page").select(F.concat(F.lit("https://"), "host", F.lit("/")).alias("doc_url"), F.concat(F.lit('<base>'), F.regexp_replace("html", 'href="/', F.concat(F.lit('href="'), root, F.lit("/")))).alias("body"))
+    rest = t.links.join(pages.where("page_id > first_page").select("page_id", "host"), "page_id")
+    entry = F.concat(F.lit("<url><loc><![CDATA["), "link", F.lit("]]></loc></url>"))
+    listed = rest.groupBy("host").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "position", entry.alias("e")))), lambda x: x["e"]), "").alias("items"))
+    maps = listed.select(F.concat(F.lit("https://"), "host", F.lit("/all.xml")).alias("doc_url"), F.concat(F.lit("<urlset>"), "items", F.lit("</urlset>")).alias("body"))
+    robots = sites.select(F.concat("homepage_url", F.lit("robots.txt")).alias("doc_url"), F.concat(F.lit("Sitemap: "), "homepage_url", F.lit("all.xml")).alias("body"))
+    documents = materialize(homes.unionByName(maps).unionByName(robots), "documents")
+    found = addon.addon(t.spark, sites, documents, "2024-01-27", 3)
+    return found["urls"].unionByName(found["domains"]).select("sample_id", "seed_id", "input_value", "discovery_method", "dataset_kind")
+
+
 @query(
     """SELECT c_custkey, n AS seq, price AS o_totalprice FROM (SELECT o_custkey AS c_custkey, min(o_orderkey) AS n, max_by(o_totalprice, o_orderkey) AS price
     FROM orders GROUP BY 1)"""
