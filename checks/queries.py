@@ -1191,6 +1191,24 @@ def stream_score(t: Tables) -> DataFrame:
     return scan_event_log(t.spark, f"{out}/log").select(*_EVENT_COLS)
 
 
+@query(
+    """SELECT event_id, CASE WHEN event_id % 3 < 2 THEN user_id END AS user_id, CASE WHEN event_id % 3 < 2 THEN round(value, 6) END AS number, CASE WHEN event_id % 3 < 2 THEN event_type END AS kind,
+    CASE WHEN event_id % 3 = 2 THEN '[' || event_id || ']' END AS raw_text FROM events"""
+)
+def event_metadata(t: Tables) -> DataFrame:
+    """Nested metadata through a JSON log and back: numbers, lists and objects keep their types; what is no object is kept as text."""
+    nested = F.to_json(F.struct("user_id", F.struct("value", F.array(F.lit(None), F.col("event_type")).alias("kinds")).alias("inner")), {"ignoreNullFields": "false"})
+    raw = F.when(F.col("event_id") % 3 < 2, nested).otherwise(F.concat(F.lit("["), "event_id", F.lit("]")))
+    out = fresh_path(t.spark, "log")
+    t.raw("events").select(F.col("event_id").cast("string").alias("event_id"), scoring.wrap_metadata(raw).alias("metadata")).write.json(out)
+    log = t.spark.read.schema("event_id string, metadata variant").json(out)
+    get = lambda path, kind: F.try_variant_get("metadata", path, kind)
+    return log.select(
+        F.col("event_id").cast("long").alias("event_id"), get("$.user_id", "bigint").alias("user_id"), F.round(get("$.inner.value", "double"), 6).alias("number"),
+        get("$.inner.kinds[1]", "string").alias("kind"), get("$.raw_metadata", "string").alias("raw_text"),
+    )
+
+
 @query(
     _with(
         _SCORING,

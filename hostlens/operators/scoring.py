@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostlens import fixed_values as V
@@ -37,15 +37,15 @@ def check_requests(df: DataFrame, value: str = "value", kind: str = "dataset_kin
     return out.withColumn("reject_reason", reason)
 
 
-def wrap_metadata(raw) -> object:
-    """Metadata text as a string map; anything but a JSON object is kept under `raw_metadata`."""
-    parsed = F.from_json(raw, "map<string,string>")
+def wrap_metadata(raw: Column) -> Column:
+    """Metadata text as a variant, with numbers, lists and nested objects as they are; anything but a JSON object is kept as text under `raw_metadata`."""
+    parsed = F.try_parse_json(raw)
     is_object = F.coalesce(raw.rlike(r"^\s*\{"), F.lit(False)) & parsed.isNotNull()
-    return (
-        F.when(raw.isNull(), F.create_map().cast("map<string,string>"))
-        .when(is_object, parsed)
-        .otherwise(F.create_map(F.lit("raw_metadata"), raw))
-    )
+    return F.when(raw.isNull(), no_metadata()).when(is_object, parsed).otherwise(F.parse_json(F.to_json(F.create_map(F.lit("raw_metadata"), raw))))
+
+
+def no_metadata() -> Column:
+    return F.parse_json(F.lit("{}"))
 
 
 def parse_for_scoring(df: DataFrame, kind: str, rules_: SuffixRules | None = None) -> DataFrame:
@@ -119,7 +119,7 @@ def score_table(df: DataFrame, scorers: dict, rules_: SuffixRules | None = None)
 def judge_requests(df: DataFrame, scorers: dict, rules_: SuffixRules | None = None) -> DataFrame:
     """Raw requests (value, optional dataset_kind, source, metadata as JSON text), each with scores or a `reject_reason`."""
     checked = check_requests(df)
-    metadata = wrap_metadata(F.col("metadata")) if "metadata" in df.columns else F.create_map().cast("map<string,string>")
+    metadata = wrap_metadata(F.col("metadata")) if "metadata" in df.columns else no_metadata()
     received = (
         F.col("received_at").cast("string") if "received_at" in df.columns
         else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")

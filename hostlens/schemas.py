@@ -75,7 +75,7 @@ EVENT = T.StructType(
             "parsed",
             _struct("hostname string, registered_domain string, subdomain string, suffix string, path string, query string"),
         ),
-        T.StructField("metadata", _SIMPLE["map"]),
+        T.StructField("metadata", T.VariantType()),
     ]
 )
 

@@ -49,7 +49,7 @@ def test_new_within_watermark(spark, tmp_path):
 
 
 REQUESTS = [
-    {"value": "https://login.example.com/a?x=1", "source": "proxy", "metadata": '{"ip": "10.0.0.1"}'},
+    {"value": "https://login.example.com/a?x=1", "source": "proxy", "metadata": json.dumps({"ip": "10.0.0.1", "port": 443, "tls": {"ok": True, "names": ["a", None, 1.5]}})},
     {"value": " paypal-secure.tk ", "dataset_kind": "AUTO", "metadata": "[1]"},
     {"value": "https://shop.example.com/x", "dataset_kind": "domain"},
     {"value": "  "},
@@ -67,8 +67,10 @@ def test_scores_stream_equals_batch(spark, tmp_path):
     assert set(got) == {"https://login.example.com/a?x=1", "paypal-secure.tk", "https://shop.example.com/x"}
     shop, pay, login = got["https://shop.example.com/x"], got["paypal-secure.tk"], got["https://login.example.com/a?x=1"]
     assert (shop.dataset_kind, shop.normalized_value, shop.feature_count) == ("domain", "shop.example.com", 15)
-    assert shop.parsed.path == "/x" and shop.source == "ids_sensor" and shop.metadata == {}
-    assert pay.metadata == {"raw_metadata": "[1]"} and login.metadata == {"ip": "10.0.0.1"} and login.source == "proxy"
+    assert shop.parsed.path == "/x" and shop.source == "ids_sensor" and shop.metadata.toPython() == {}
+    assert pay.metadata.toPython() == {"raw_metadata": "[1]"} and login.source == "proxy"
+    nested = json.loads(login.metadata.toJson())  # through the scoring, the JSON log and back
+    assert nested == json.loads(REQUESTS[0]["metadata"]) and type(nested["port"]) is int
     assert len(pay.signals) == 4 and "`.tk`" in pay.signals[3] and len(login.event_id) == 32
     rejects = spark.read.json(f"{tmp_path}/rejects").collect()
     assert sorted(r.reject_reason[:10] for r in rejects) == ["Could not ", "`dataset_k", "`value` is"]

@@ -97,8 +97,8 @@ def test_event_log_skips_broken_lines(spark, tmp_path):
     good = {"event_id": "1", "received_at": "2026-01-01T00:00:00+07:00", "score": 0.5, "signals": ["a"], "parsed": {"hostname": "h"}, "metadata": {"k": "v"}}
     put(f"{tmp_path}/log/e.jsonl", json.dumps(good) + "\n\n{broken\n[]\n" + json.dumps({**good, "event_id": "2"}) + "\n")
     rows = tables.scan_event_log(spark, f"{tmp_path}/log").orderBy("event_id").collect()
-    assert [r.event_id for r in rows] == ["1", "2"] and rows[0].parsed.hostname == "h" and rows[0].metadata == {"k": "v"}
-    sinks.append_events(spark.createDataFrame(rows, EVENT), f"{tmp_path}/log")
+    assert [r.event_id for r in rows] == ["1", "2"] and rows[0].parsed.hostname == "h" and rows[0].metadata.toPython() == {"k": "v"}
+    sinks.append_events(tables.scan_event_log(spark, f"{tmp_path}/log"), f"{tmp_path}/log")
     assert tables.scan_event_log(spark, f"{tmp_path}/log").count() == 4
 
 
