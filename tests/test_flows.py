@@ -123,11 +123,14 @@ def test_train_compare_save_load_score(spark, url_rows, tmp_path):
         models.train_compare(url_rows, "url", by="accuracy")
 
 
-def test_linear_scorer_equals_the_fitted_pipeline(spark, url_rows):
+def test_linear_scorer_equals_the_fitted_pipeline(spark, url_rows, tmp_path):
     from hostlens.operators.features import url_features
+    from hostlens.sources.sinks import write_stage
 
+    write_stage(url_rows, str(tmp_path / "observed"), None, counters={"n": F.count("*")})  # observing must not keep models from travelling
     data, n = models.weighted(url_features(url_rows))
-    fitted = models.build_estimator("linear_svm", "url", n, models.medians(data, models.feature_names("url")), models.SMALL).fit(data)
+    filling = models.medians(data, models.feature_names("url"))
+    fitted = models.portable(models.build_estimator("linear_svm", "url", n, filling, models.SMALL).fit(data), spark)
     slow = models.Scorer("linear_svm", "url", "v", [fitted]).normalized(data).select("sample_text", "score", "prediction")
     fast = models.LinearScorer.from_pipeline("linear_svm", "url", "v", fitted).normalized(data).select("sample_text", F.col("score").alias("s2"), F.col("prediction").alias("p2"))
     both = slow.join(fast, "sample_text").agg(F.max(F.abs(F.col("score") - F.col("s2"))).alias("d"), F.count_if(F.col("prediction") != F.col("p2")).alias("n")).first()
