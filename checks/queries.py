@@ -398,11 +398,11 @@ _DAY_LIST = "(SELECT coalesce(string_agg({0}, ',' ORDER BY {0}), '') FROM {1})"
         _RARE + f", kept AS (SELECT collected_at, 2 * least(count(*) FILTER (label = 0), count(*) FILTER (label = 1)) AS n FROM rare WHERE collected_at IN {_BOTH} GROUP BY 1), "
         + _SIZES.replace("FROM labelled", "FROM kept"),
         "SELECT "
-        + ", ".join(f"(SELECT count(*) FROM rare WHERE label = {i}) AS {n}_before, (SELECT CAST(sum(n) / 2 AS BIGINT) FROM kept) AS {n}_after" for i, n in enumerate(("benign", "phishing")))
-        + ", (SELECT count(*) FROM rare) - (SELECT count(*) FROM rare WHERE collected_at NOT IN (SELECT collected_at FROM kept)) - (SELECT CAST(sum(n) AS BIGINT) FROM kept) AS rows_removed, "
+        + ", ".join(f"(SELECT count(*) FROM rare WHERE label = {i}) AS {n}_before, (SELECT CAST(coalesce(sum(n), 0) / 2 AS BIGINT) FROM kept) AS {n}_after" for i, n in enumerate(("benign", "phishing")))
+        + ", (SELECT count(*) FROM rare) - (SELECT count(*) FROM rare WHERE collected_at NOT IN (SELECT collected_at FROM kept)) - (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM kept) AS rows_removed, "
         + _DAY_LIST.format("collected_at", "(SELECT DISTINCT collected_at FROM rare WHERE collected_at NOT IN (SELECT collected_at FROM kept))") + " AS dropped_dates, "
         + ", ".join(
-            f"(SELECT CAST(sum(n) AS BIGINT) FROM kept JOIN split_days USING (collected_at) WHERE split = '{s}') AS {s}_rows, "
+            f"(SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM kept JOIN split_days USING (collected_at) WHERE split = '{s}') AS {s}_rows, "
             + _DAY_LIST.format("collected_at", f"(SELECT collected_at FROM split_days WHERE split = '{s}')") + f" AS {s}_dates" for s in ("train", "val", "test")
         )
         + f", {len(V.DOMAIN_FEATURES)} AS features",
