@@ -8,7 +8,7 @@ import re
 from functools import lru_cache
 
 #: Distinct pieces whose ids a worker keeps.
-CACHED_PIECES = 300_000
+CACHED_PIECES = 1_000_000
 _INNER_SPACE = re.compile(r"\s ")
 
 
