@@ -77,3 +77,22 @@ def test_empty_batches(spark, tmp_path):
     assert rows(master) == [("a", 1)]
     with pytest.raises(ValueError):
         Master(spark, str(tmp_path / "m"), "day").live()
+
+
+def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path):
+    from checks.queries import QUERIES
+    from checks.views import Tables
+
+    for name, files in (("many", 3), ("one", 1)):
+        pages = spark.createDataFrame([(i, f"http://h{i % 4}.example.com/a", "<p>x</p>") for i in range(6)], "page_id long, url string, html string")
+        written = tmp_path / f"{name}-files"
+        pages.repartition(files).write.parquet(str(written))
+        parts = list(written.glob("part-*.parquet"))
+        assert len(parts) == files
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "pages.parquet").symlink_to(written if files > 1 else parts[0])
+        # A table beside it stays out of the stream.
+        spark.range(1).write.parquet(str(tmp_path / name / "events.parquet"))
+        assert Tables(spark, str(tmp_path / name)).stream("pages").columns == pages.columns
+        found = QUERIES["stream_new_urls"](spark, str(tmp_path / name)).collect()
+        assert sorted(r["canonical_url"] for r in found) == [f"http://h{i}.example.com/a" for i in range(4)], name
