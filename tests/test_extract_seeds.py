@@ -266,3 +266,14 @@ def test_news_pages_need_no_valid_labels_or_port(spark):
     pages = spark.createDataFrame([(u,) for u in [*kept, "https://npr.org/", "https://other.org/n/4", "ftp://npr.org/n/5", "https:///n/6"]], "url string")
     got = extract.allowed_news(pages, "url", press).collect()
     assert sorted(r.url for r in got) == sorted(kept) and {(r.publisher, r.registered_domain) for r in got} == {("npr", "npr.org")}
+
+
+def test_links_take_one_pass_over_the_attributes_of_a_tag(spark):
+    from hostlens.operators import extract
+
+    assert len(extract._ATTRIBUTE) and not extract._HIDDEN.startswith("(?is)<!--")
+    html = "<A class=x HREF \n=\t '/a=b' data-href='/no'><a href==c><!-- <a href=n> --><a title=\"href='/no'\" href=\"/d\"><SCRIPT><a href=/s></script ><style>x</STYLE><a href=''><a href='/e\""
+    row = spark.createDataFrame([(html,)], "html string")
+    links = extract.page_links(F.col("html"))
+    assert row.select(links.alias("l")).first()["l"] == ["/a=b", "=c", "/d"]
+    assert str(links._jc.toString()).count("regexp_extract_all") == 2  # the tags, and each tag's attributes once

@@ -4,6 +4,8 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from hostlens.session import Stages, discard, materialize, shared_folder
 
 
@@ -33,3 +35,20 @@ def test_stages_go_after_an_error(spark):
             materialize(spark.range(10), "tse")
             raise ValueError
     assert left(spark, "tse") == []
+
+
+def test_scans_are_dealt_out_by_their_bytes(spark, tmp_path, monkeypatch):
+    from hostlens import session
+
+    spark.range(40_000).selectExpr("id", "md5(id) AS a").coalesce(1).write.parquet(f"{tmp_path}/one")  # one row group, however it is split
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(session, "TASK_BYTES", 50_000)
+    scan = spark.read.parquet(f"{tmp_path}/one")
+    dealt = session.spread(scan)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert cores < len(sizes) <= session.TASKS_PER_CORE * cores and max(sizes) < 40_000 / cores
+    assert sum(sizes) == 40_000 and dealt.select(F.sum("id")).first()[0] == 40_000 * 39_999 // 2
+    monkeypatch.setattr(session, "TASK_BYTES", 1 << 40)
+    assert session.parsing_tasks(scan) == 1 and session.spread(scan).rdd.getNumPartitions() == cores
+    many = scan.repartition(cores)
+    assert session.spread(many) is many
