@@ -171,3 +171,19 @@ def test_whole_corpus_flow(spark, tmp_path):
 
 def test_shared_folder_follows_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_training_rows_are_parsed_before_they_are_split(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    from checks import queries
+
+    rows = [(i, f"2024-01-{1 + i % 9:02d} 00:00:00", i, ("view", "click", "error")[i % 3], 1.0, "{}") for i in range(54)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    seen = []
+    monkeypatch.setattr(queries.models, "train_compare", lambda data, *a, **k: seen.append(data) or SimpleNamespace(comparison=data))
+    queries.QUERIES["train_compare"](spark, str(tmp_path))
+    files = seen[0].inputFiles()
+    assert files and all("/rows-" in f for f in files)  # no fit, count or check parses the events again
+    assert seen[0].count() == 54 and "split" in seen[0].columns
