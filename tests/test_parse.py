@@ -175,3 +175,20 @@ def test_references_match_urllib(spark, base):
     df = spark.createDataFrame([(r,) for r in refs], "r string")
     got = {r.r: r.u for r in df.select("r", resolve_reference(F.lit(base), F.col("r")).alias("u")).collect()}
     assert got == {r: urljoin(base, r) for r in refs}
+
+
+def test_rules_are_broadcast_without_arrow(spark):
+    from hostlens.operators.parse import host_parts
+    from hostlens.sources.suffix_rules import SuffixRules
+
+    key = "spark.sql.execution.arrow.pyspark.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        rules = SuffixRules(spark, {"com": 1, "uk": 1, "co.uk": 1})
+    finally:
+        spark.conf.set(key, before)
+    out = host_parts(spark.createDataFrame([("a.b.com",), ("x.co.uk",)], "host string"), "host", rules)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == rules.depth and "SortMergeJoin" not in plan  # hosts of one tail stay where they are
+    assert sorted(r["registered_domain"] for r in out.collect()) == ["b.com", "x.co.uk"]

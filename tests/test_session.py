@@ -40,7 +40,7 @@ def test_stages_go_after_an_error(spark):
 def test_scans_are_dealt_out_by_their_bytes(spark, tmp_path, monkeypatch):
     from hostlens import session
 
-    spark.range(40_000).selectExpr("id", "md5(id) AS a").coalesce(1).write.parquet(f"{tmp_path}/one")  # one row group, however it is split
+    spark.range(40_000).selectExpr("id", "md5(string(id)) AS a").coalesce(1).write.parquet(f"{tmp_path}/one")  # one row group, however it is split
     cores = spark.sparkContext.defaultParallelism
     monkeypatch.setattr(session, "TASK_BYTES", 50_000)
     scan = spark.read.parquet(f"{tmp_path}/one")
