@@ -186,4 +186,4 @@ def test_training_rows_are_parsed_before_they_are_split(spark, tmp_path, monkeyp
     queries.QUERIES["train_compare"](spark, str(tmp_path))
     files = seen[0].inputFiles()
     assert files and all("/rows-" in f for f in files)  # no fit, count or check parses the events again
-    assert seen[0].count() == 54 and "split" in seen[0].columns
+    assert seen[0].count() == 36 and "split" in seen[0].columns  # the hosts of error events have one label and do not parse
