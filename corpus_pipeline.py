@@ -31,8 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that other places repeat."""
-    return suffix_dedup.clean(docs)
+    """Texts without the strings of 400 bytes or of 50 words that other places repeat."""
+    return suffix_dedup.clean(docs, words=True)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

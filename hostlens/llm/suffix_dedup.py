@@ -18,6 +18,9 @@ segment, about 140 windows long.
 
 Everything is keyed by batches of documents; their texts travel compressed, and nothing depends on how many
 documents share a passage but the number of entries per batch.
+
+``clean`` can read texts by words as well: each word is written as a code of ``CODE`` bytes, and the same steps over the codes find
+the strings of ``LENGTH`` / ``CODE`` words that start twice, however few bytes they have.
 """
 
 from __future__ import annotations
@@ -33,11 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostlens.llm.common import Stages, batches, keyed, materialize
-from hostlens.llm.words import mix
+from hostlens.llm.words import mix, word_hashes
 
 LENGTH = 400
 GRAM = 128
 SYMBOL = 80
+CODE = 8
 _BATCH_BYTES = 4 << 20
 _RANGE = 1 << 18
 _BIN_BYTES = 1 << 20
@@ -101,8 +105,13 @@ def segments(raw: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
             yield a + s, e - s, key, int.from_bytes(hashlib.blake2b(data[s : e + LENGTH - 1], digest_size=8).digest(), "little", signed=True), itself
 
 
-def _segmented(rows: DataFrame) -> DataFrame:
-    """One row per batch of documents: ids, compressed texts with their sizes, and segments."""
+def word_codes(text: bytes) -> bytes:
+    """The words of a text, each as ``CODE`` bytes."""
+    return word_hashes(np.frombuffer(text, np.uint8))[2].astype("<u8").tobytes()
+
+
+def _segmented(rows: DataFrame, words: bool) -> DataFrame:
+    """One row per batch of documents: ids, compressed texts with their sizes, sizes and segments of the strings that are judged."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -111,18 +120,19 @@ def _segmented(rows: DataFrame) -> DataFrame:
         zip_ = zstandard.ZstdCompressor(level=3)
         for i, batch in enumerate(batches(source, _BATCH_BYTES, "text")):
             data = [t or b"" for t in batch.column("text").to_pylist()]
-            found = [(d, *s) for d, text in enumerate(data) for s in segments(np.frombuffer(text, np.uint8))]
+            judged = [word_codes(d) for d in data] if words else data
+            found = [(d, *s) for d, string in enumerate(judged) for s in segments(np.frombuffer(string, np.uint8))]
             columns = list(zip(*found)) or [()] * 6
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([task + i], pa.int64()), pa.array([batch.column("id").to_pylist()], pa.list_(pa.int64())),
-                    pa.array([zip_.compress(b"".join(data))], pa.binary()), pa.array([np.array([len(d) for d in data], "<i8").tobytes()], pa.binary()),
+                    pa.array([zip_.compress(b"".join(data))], pa.binary()), *[pa.array([np.array([len(d) for d in x], "<i8").tobytes()], pa.binary()) for x in (data, judged)],
                     *[pa.array([np.array(c, "<i8").tobytes()], pa.binary()) for c in columns],
                 ],
-                ["batch", "id", "text", "sizes", "doc", "start", "count", "key", "digest", "itself"],
+                ["batch", "id", "text", "stored", "sizes", "doc", "start", "count", "key", "digest", "itself"],
             )
 
-    schema = "batch long, id array<long>, text binary, sizes binary, doc binary, start binary, count binary, key binary, digest binary, itself binary"
+    schema = "batch long, id array<long>, text binary, stored binary, sizes binary, doc binary, start binary, count binary, key binary, digest binary, itself binary"
     return rows.mapInArrow(run, schema)
 
 
@@ -204,15 +214,15 @@ def _states(row: dict, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _texts(row: dict) -> list[bytes]:
-    whole = zstandard.ZstdDecompressor().decompress(row["text"]) if len(_ints(row["sizes"])) else b""
-    ends = np.cumsum(_ints(row["sizes"])).tolist()
+    whole = zstandard.ZstdDecompressor().decompress(row["text"]) if len(_ints(row["stored"])) else b""
+    ends = np.cumsum(_ints(row["stored"])).tolist()
     return [whole[a:b] for a, b in zip([0, *ends], ends)]
 
 
 BIN = "bin long, salt int, spread boolean, batch long, doc int, start long, windows int, bytes binary"
 
 
-def _shipped(joined: DataFrame, buckets: int, bins: int) -> DataFrame:
+def _shipped(joined: DataFrame, buckets: int, bins: int, words: bool) -> DataFrame:
     """Segments whose bytes are compared, with their bin."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,6 +234,8 @@ def _shipped(joined: DataFrame, buckets: int, bins: int) -> DataFrame:
                     continue
                 texts = _texts(row)
                 doc, start, count, key, digest = (_ints(row[c])[sent] for c in ("doc", "start", "count", "key", "digest"))
+                if words:
+                    texts = {d: word_codes(texts[d]) for d in np.unique(doc).tolist()}
                 # A key with more segments than a bin takes is spread over bins of its own.
                 salts = -(-many[sent].astype(np.int64) * (LENGTH + GRAM) // (2 * _BIN_BYTES))
                 spread = salts > 1
@@ -401,7 +413,7 @@ SPANS = "id long, spans binary"
 
 
 def _gone(row: dict, buckets: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Of each document of a batch: its id, its size, and which bytes go."""
+    """Of each document of a batch: its id, the size of its string, and which bytes of it go."""
     state, _ = _states(row, buckets)
     whole = (state == _REPEATED) | (state == _SAMPLE)
     spans = np.stack([_ints(row[c])[whole] for c in ("doc", "start", "count")], 1)
@@ -434,7 +446,7 @@ def _removed(joined: DataFrame, buckets: int) -> DataFrame:
 
 
 def _spans(joined: DataFrame, buckets: int) -> DataFrame:
-    """Starts and sizes of the removed runs of the documents that have any."""
+    """Starts and sizes of the removed runs, in bytes of the judged strings, of the documents that have any."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -446,10 +458,10 @@ def _spans(joined: DataFrame, buckets: int) -> DataFrame:
     return joined.mapInArrow(run, SPANS)
 
 
-def _judged(docs: DataFrame, id_column: str) -> tuple[DataFrame, int]:
+def _judged(docs: DataFrame, id_column: str, words: bool = False) -> tuple[DataFrame, int]:
     """Batches of documents with all that was found of them, and the number of buckets of their entries."""
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
-    batched = materialize(_segmented(rows), "suffix-batches")
+    batched = materialize(_segmented(rows, words), "suffix-batches")
     total = int(batched.agg(F.sum(F.length("key"))).head()[0] or 0) // 8
     buckets = max(1, -(-total // _ENTRIES_PER_BUCKET))
     met = materialize(_met(batched, buckets), "suffix-states")
@@ -457,7 +469,7 @@ def _judged(docs: DataFrame, id_column: str) -> tuple[DataFrame, int]:
     compared = F.expr("aggregate(found, 0L, (s, x) -> s + length(replace(replace(hex(x.state), '00', ''), '01', '')))")
     # Hex digits of states 2 and 3, roughly: only the number of bins follows from it.
     bins = max(1, int(met.agg(F.sum(compared)).head()[0] or 0) // 2 * (LENGTH + GRAM) // _BIN_BYTES)
-    open_ = _shipped(shipping, buckets, bins)
+    open_ = _shipped(shipping, buckets, bins, words)
     marks = materialize(open_.groupBy("bin", "salt", "spread").applyInArrow(_compare(buckets), MARKS), "suffix-marks")
     across = marks.where("bucket is not null").groupBy("bucket").applyInArrow(_meet, "batch long, marks binary")
     found = marks.where("marks is not null").select("batch", "marks").unionAll(across)
@@ -475,33 +487,50 @@ def strip(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return _removed(*_judged(docs, id_column))
 
 
-def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+def _cut(texts: pd.Series, spans: pd.Series, codes: pd.Series) -> pd.Series:
+    """Texts without their spans of bytes and without the words whose whole code goes; white space around cut words stays."""
     out = []
-    for text, packed in zip(texts, spans):
-        if packed is None or text is None:
-            out.append(text)
-            continue
-        data, at, kept = text.encode("utf-8", "surrogatepass"), 0, []
-        for start, size in _ints(packed).reshape(-1, 2).tolist():
-            kept.append(data[at:start])
-            at = start + size
-        out.append(b"".join([*kept, data[at:]]).decode("utf-8", "ignore"))
+    for text, cut, coded in zip(texts, spans, codes):
+        data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        left = np.ones(len(data), bool)
+        for start, size in _ints(cut or b"").reshape(-1, 2).tolist():
+            left[start : start + size] = False
+        if coded is not None:
+            starts, ends, _ = word_hashes(data)
+            for start, size in _ints(coded).reshape(-1, 2).tolist():
+                first, last = -(-start // CODE), (start + size) // CODE
+                if first < last:
+                    left[starts[first] : ends[last - 1]] = False
+        out.append(data[left].tobytes().decode("utf-8", "ignore"))
     return pd.Series(out, dtype=object)
 
 
-def clean(docs: DataFrame) -> DataFrame:
+def _found(rows: DataFrame, words: bool) -> DataFrame:
+    """``row, spans`` of the rows that lose any of their string."""
+    name = "codes" if words else "spans"
+    with Stages() as own:
+        joined, buckets = _judged(rows, "row", words)
+        found = own.result(_spans(joined.drop("text"), buckets), f"suffix-{name}")
+    return found.select(F.col("id").alias("row"), F.col("spans").alias(name))
+
+
+def clean(docs: DataFrame, words: bool = False) -> DataFrame:
     """``docs`` with repeated strings cut from ``text`` (bytes of split characters are dropped) and ``n_chars`` set anew.
 
+    With ``words``, runs of ``LENGTH`` / ``CODE`` words (cut at ASCII white space, whatever stands between them) that also start
+    anywhere else go as well; both are judged on the input.
+
     Every row stays, if empty; other columns stay as they are, whatever their names.  Null and empty texts stay as they are, repeated
     rows are texts of their own, and so equal texts of ``LENGTH`` bytes or more end up empty.  Only the rows and
     the cut spans stay written.
     """
     nested = materialize(keyed(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), "suffix-documents")
-    with Stages() as own:
-        found = own.result(_spans(*_judged(nested.select("row", F.col("doc.text").alias("text")), "row")), "suffix-spans")
-    both = nested.join(found.withColumnRenamed("id", "row"), "row", "left")
-    hit = F.col("spans").isNotNull()
-    cut = F.pandas_udf(_cut, "string")(F.when(hit, F.col("doc.text").cast("string")), "spans")
+    rows = nested.select("row", F.col("doc.text").alias("text"))
+    found = _found(rows, False)
+    found = found.join(_found(rows, True), "row", "full") if words else found.withColumn("codes", F.lit(None).cast("binary"))
+    both = nested.join(found, "row", "left")
+    hit = F.col("spans").isNotNull() | F.col("codes").isNotNull()
+    cut = F.pandas_udf(_cut, "string")(F.when(hit, F.col("doc.text").cast("string")).otherwise(""), "spans", "codes")
     text = F.when(hit, cut).otherwise(F.col("doc.text"))
     both = both.select("doc", text.alias("text"))
     fixed = {"text": F.col("text")} | ({"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {})

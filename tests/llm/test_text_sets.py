@@ -148,6 +148,57 @@ def test_clean_drops_split_characters(spark):
     assert got == {1: "é", 2: "ê", 3: "�"}  # the first two bytes of € and ₭ go with the passage, the third is no character
 
 
+def without_repeats(rows):
+    """Texts without repeated strings of 400 bytes or 50 words, by plain counting; None where nothing goes."""
+    data = [(r[1] or "").encode() for r in rows]
+    words = [[(m.start(), m.end(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for b in data]
+    runs = Counter(tuple(x[2] for x in w[i : i + 50]) for w in words for i in range(len(w) - 49))
+    strings = Counter(b[s : s + 400] for b in data for s in range(len(b) - 399))
+    out = []
+    for b, w in zip(data, words):
+        gone = np.zeros(len(b), bool)
+        for s in range(len(b) - 399):
+            if strings[b[s : s + 400]] > 1:
+                gone[s : s + 400] = True
+        for i in range(len(w) - 49):
+            if runs[tuple(x[2] for x in w[i : i + 50])] > 1:
+                gone[w[i][0] : w[i + 49][1]] = True
+        out.append(np.frombuffer(b, np.uint8)[~gone].tobytes().decode("utf-8", "ignore") if gone.any() else None)
+    return out
+
+
+def test_clean_by_words(nasty, nasty_rows, spark, empty):
+    rng = random.Random(8)
+
+    def prose(n, size=3):
+        return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(size)) for _ in range(n))
+
+    short, long, less, wide = prose(55), prose(50, 12), prose(49, 12), prose(50, 1)
+    rows = [(r[0], r[1]) for r in nasty_rows] + [(2000 + i, f"{prose(9, 5)} {p.replace(' ', gap)}{end}") for i, (p, gap, end) in enumerate(
+        [(short, " ", ""), (short, "\n", " é tail"), (long, " ", "\n"), (long, "  ", " x"), (less, " ", " y"), (less, "\t", " z"), (wide, " ", ""), (wide, "\r\n", " 中"), (prose(70), " ", "")]
+    )]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, codes int").repartition(3)
+    got = Counter((r["doc_id"], r["text"], r["codes"]) for r in suffix_dedup.clean(docs, words=True).collect())
+    plain = without_repeats(rows)
+    assert all(p is not None for p in plain[-9:-5] + plain[-3:-1]) and all(p is None for p in (*plain[-5:-3], plain[-1]))
+    assert got == Counter((i, text if p is None else p, 7) for (i, text), p in zip(rows, plain))
+    assert suffix_dedup.clean(empty, words=True).collect() == []
+
+
+def test_pipeline_cuts_passages_of_over_50_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 6))) for _ in range(3000)]
+    passage = " ".join(words[:53])
+    assert len(passage) < 400
+    own = [" ".join(words[100 * i : 100 * i + 90]) for i in range(1, 5)]
+    texts = [f"{own[0]} {passage} end", f"{passage} {own[1]}", f"{own[2]}\n{passage}", own[3]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_strings(spark, docs, "").collect()}
+    assert got == {0: f"{own[0]}  end", 1: f" {own[1]}", 2: f"{own[2]}\n", 3: own[3]}
+
+
 @pytest.mark.parametrize("shard", [600, 4000, 1 << 30])
 def test_merged_shards(shard):
     rng = random.Random(3)
