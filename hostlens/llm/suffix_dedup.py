@@ -111,7 +111,10 @@ def word_codes(text: bytes) -> bytes:
 
 
 def _segmented(rows: DataFrame, words: bool) -> DataFrame:
-    """One row per batch of documents: ids, compressed texts with their sizes, sizes and segments of the strings that are judged."""
+    """One row per batch of documents: ids, compressed texts with their sizes, sizes and segments of the strings that are judged.
+
+    These are the texts and then, with ``words``, their codes.
+    """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -120,7 +123,7 @@ def _segmented(rows: DataFrame, words: bool) -> DataFrame:
         zip_ = zstandard.ZstdCompressor(level=3)
         for i, batch in enumerate(batches(source, _BATCH_BYTES, "text")):
             data = [t or b"" for t in batch.column("text").to_pylist()]
-            judged = [word_codes(d) for d in data] if words else data
+            judged = data + [word_codes(d) for d in data] if words else data
             found = [(d, *s) for d, string in enumerate(judged) for s in segments(np.frombuffer(string, np.uint8))]
             columns = list(zip(*found)) or [()] * 6
             yield pa.RecordBatch.from_arrays(
@@ -222,7 +225,7 @@ def _texts(row: dict) -> list[bytes]:
 BIN = "bin long, salt int, spread boolean, batch long, doc int, start long, windows int, bytes binary"
 
 
-def _shipped(joined: DataFrame, buckets: int, bins: int, words: bool) -> DataFrame:
+def _shipped(joined: DataFrame, buckets: int, bins: int) -> DataFrame:
     """Segments whose bytes are compared, with their bin."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,14 +237,13 @@ def _shipped(joined: DataFrame, buckets: int, bins: int, words: bool) -> DataFra
                     continue
                 texts = _texts(row)
                 doc, start, count, key, digest = (_ints(row[c])[sent] for c in ("doc", "start", "count", "key", "digest"))
-                if words:
-                    texts = {d: word_codes(texts[d]) for d in np.unique(doc).tolist()}
+                strings = {d: texts[d] if d < len(texts) else word_codes(texts[d - len(texts)]) for d in np.unique(doc).tolist()}
                 # A key with more segments than a bin takes is spread over bins of its own.
                 salts = -(-many[sent].astype(np.int64) * (LENGTH + GRAM) // (2 * _BIN_BYTES))
                 spread = salts > 1
                 bin_ = np.where(spread, key, (key.view(np.uint64) % np.uint64(bins)).astype(np.int64))
                 salt = np.where(spread, (digest.view(np.uint64) % np.maximum(salts, 1).astype(np.uint64)).astype(np.int64), 0)
-                data = [texts[d][s : s + c + LENGTH - 1] for d, s, c in zip(doc.tolist(), start.tolist(), count.tolist())]
+                data = [strings[d][s : s + c + LENGTH - 1] for d, s, c in zip(doc.tolist(), start.tolist(), count.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(bin_), pa.array(salt.astype("i4")), pa.array(spread), pa.array([row["batch"]] * len(sent), pa.int64()),
@@ -409,11 +411,11 @@ def _meet(group: pa.Table) -> pa.Table:
 
 
 RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
-SPANS = "id long, spans binary"
+SPANS = "id long, spans binary, codes binary"
 
 
 def _gone(row: dict, buckets: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Of each document of a batch: its id, the size of its string, and which bytes of it go."""
+    """Of each string of a batch: the id of its document, its size, and which bytes of it go."""
     state, _ = _states(row, buckets)
     whole = (state == _REPEATED) | (state == _SAMPLE)
     spans = np.stack([_ints(row[c])[whole] for c in ("doc", "start", "count")], 1)
@@ -424,7 +426,7 @@ def _gone(row: dict, buckets: int) -> Iterator[tuple[int, int, np.ndarray]]:
     np.add.at(edges, first[spans[:, 0]] + spans[:, 1], 1)
     np.add.at(edges, first[spans[:, 0]] + spans[:, 1] + spans[:, 2] + LENGTH - 1, -1)
     gone = np.cumsum(edges[:-1]) > 0
-    for i, f, n in zip(row["id"], first.tolist(), sizes.tolist()):
+    for i, f, n in zip(row["id"] * 2, first.tolist(), sizes.tolist()):
         yield i, n, gone[f : f + n]
 
 
@@ -446,14 +448,16 @@ def _removed(joined: DataFrame, buckets: int) -> DataFrame:
 
 
 def _spans(joined: DataFrame, buckets: int) -> DataFrame:
-    """Starts and sizes of the removed runs, in bytes of the judged strings, of the documents that have any."""
+    """Starts and sizes of the removed runs of texts and of codes, of the documents that have any."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for row in batch.to_pylist():
-                out = [(i, np.stack(_runs(own), 1).astype("<i8").tobytes()) for i, _, own in _gone(row, buckets) if own.any()]
-                columns = list(zip(*out)) or [()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], ["id", "spans"])
+                runs = [np.stack(_runs(own), 1).astype("<i8").tobytes() if own.any() else None for _, _, own in _gone(row, buckets)]
+                n = len(row["id"])
+                out = [x for x in zip(row["id"], runs[:n], runs[n:] or [None] * n) if any(x[1:])]
+                columns = list(zip(*out)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["id", "spans", "codes"])
 
     return joined.mapInArrow(run, SPANS)
 
@@ -469,7 +473,7 @@ def _judged(docs: DataFrame, id_column: str, words: bool = False) -> tuple[DataF
     compared = F.expr("aggregate(found, 0L, (s, x) -> s + length(replace(replace(hex(x.state), '00', ''), '01', '')))")
     # Hex digits of states 2 and 3, roughly: only the number of bins follows from it.
     bins = max(1, int(met.agg(F.sum(compared)).head()[0] or 0) // 2 * (LENGTH + GRAM) // _BIN_BYTES)
-    open_ = _shipped(shipping, buckets, bins, words)
+    open_ = _shipped(shipping, buckets, bins)
     marks = materialize(open_.groupBy("bin", "salt", "spread").applyInArrow(_compare(buckets), MARKS), "suffix-marks")
     across = marks.where("bucket is not null").groupBy("bucket").applyInArrow(_meet, "batch long, marks binary")
     found = marks.where("marks is not null").select("batch", "marks").unionAll(across)
@@ -505,15 +509,6 @@ def _cut(texts: pd.Series, spans: pd.Series, codes: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def _found(rows: DataFrame, words: bool) -> DataFrame:
-    """``row, spans`` of the rows that lose any of their string."""
-    name = "codes" if words else "spans"
-    with Stages() as own:
-        joined, buckets = _judged(rows, "row", words)
-        found = own.result(_spans(joined.drop("text"), buckets), f"suffix-{name}")
-    return found.select(F.col("id").alias("row"), F.col("spans").alias(name))
-
-
 def clean(docs: DataFrame, words: bool = False) -> DataFrame:
     """``docs`` with repeated strings cut from ``text`` (bytes of split characters are dropped) and ``n_chars`` set anew.
 
@@ -525,10 +520,10 @@ def clean(docs: DataFrame, words: bool = False) -> DataFrame:
     the cut spans stay written.
     """
     nested = materialize(keyed(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), "suffix-documents")
-    rows = nested.select("row", F.col("doc.text").alias("text"))
-    found = _found(rows, False)
-    found = found.join(_found(rows, True), "row", "full") if words else found.withColumn("codes", F.lit(None).cast("binary"))
-    both = nested.join(found, "row", "left")
+    with Stages() as own:
+        judged, buckets = _judged(nested.select("row", F.col("doc.text").alias("text")), "row", words)
+        found = own.result(_spans(judged.drop("text"), buckets), "suffix-spans")
+    both = nested.join(found.withColumnRenamed("id", "row"), "row", "left")
     hit = F.col("spans").isNotNull() | F.col("codes").isNotNull()
     cut = F.pandas_udf(_cut, "string")(F.when(hit, F.col("doc.text").cast("string")).otherwise(""), "spans", "codes")
     text = F.when(hit, cut).otherwise(F.col("doc.text"))
