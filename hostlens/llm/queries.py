@@ -104,8 +104,8 @@ def op2_multi_order_join(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op5_merged_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    left = suffix_dedup.strip(table(spark, folder, "documents"))
-    return left.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    left = suffix_dedup.strip(table(spark, folder, "documents"), words=True)
+    return left.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated_words")
 
 
 @query

@@ -19,8 +19,8 @@ segment, about 140 windows long.
 Everything is keyed by batches of documents; their texts travel compressed, and nothing depends on how many
 documents share a passage but the number of entries per batch.
 
-``clean`` can read texts by words as well: each word is written as a code of ``CODE`` bytes, and the same steps over the codes find
-the strings of ``LENGTH`` / ``CODE`` words that start twice, however few bytes they have.
+Texts can be read by words as well: each word becomes a code of ``CODE`` bytes, and the same steps over the codes, one code where a
+text has one byte, find the strings of ``LENGTH`` / ``CODE`` words that start twice, however few bytes they have.
 """
 
 from __future__ import annotations
@@ -53,8 +53,8 @@ _ALONE, _REPEATED, _OPEN, _SAMPLE = range(4)
 
 
 def gram_hashes(raw: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all strings of ``size`` bytes, from those of powers of two."""
-    powers = {1: _BYTE[raw]}
+    """Hashes of all strings of ``size`` bytes or codes, from those of powers of two."""
+    powers = {1: _BYTE[raw] if raw.itemsize == 1 else raw}
     width, i = 1, 0
     while width * 2 <= size:
         h = powers[width]
@@ -79,12 +79,12 @@ def _sliding(values: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
 
 
 def window_keys(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The key of the window that starts at each byte, and the keys that stand at two places of a run of windows.
+    """The key of the window that starts at each byte or code, and the keys that stand at two places of a run of windows.
 
     Equal windows of one run have the key at two places no further apart than a window has grams.
     """
-    size = LENGTH - GRAM + 1
-    grams = mix(gram_hashes(raw, GRAM))
+    size = (LENGTH - GRAM) // raw.itemsize + 1
+    grams = mix(gram_hashes(raw, GRAM // raw.itemsize))
     keys = _sliding(grams, size, np.minimum)
     edge = np.zeros(size - 1, np.uint64)
     at = np.flatnonzero(grams == _sliding(np.concatenate([edge, keys, edge]), size, np.maximum))
@@ -93,16 +93,17 @@ def window_keys(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def segments(raw: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-    """Start, number of windows, key and digest of each segment of a text, and 1 if it may repeat itself."""
-    for a in range(0, max(0, len(raw) - LENGTH + 1), _RANGE):
-        part = raw[a : a + _RANGE + LENGTH - 1]
+    """Start, number of windows, key and digest of each segment of a text (or of codes), and 1 if it may repeat itself."""
+    unit, length = raw.itemsize, LENGTH // raw.itemsize
+    for a in range(0, max(0, len(raw) - length + 1), _RANGE):
+        part = raw[a : a + _RANGE + length - 1]
         keys, twice = window_keys(part)
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         data = part.tobytes()
         ends = np.r_[starts[1:], len(keys)]
         own = np.isin(keys[starts], twice).astype(np.int64) if len(twice) else np.zeros(len(starts), np.int64)
         for s, e, key, itself in zip(starts.tolist(), ends.tolist(), keys[starts].view(np.int64).tolist(), own.tolist()):
-            yield a + s, e - s, key, int.from_bytes(hashlib.blake2b(data[s : e + LENGTH - 1], digest_size=8).digest(), "little", signed=True), itself
+            yield a + s, e - s, key, int.from_bytes(hashlib.blake2b(data[s * unit : (e + length - 1) * unit], digest_size=8).digest(), "little", signed=True), itself
 
 
 def word_codes(text: bytes) -> bytes:
@@ -113,7 +114,7 @@ def word_codes(text: bytes) -> bytes:
 def _segmented(rows: DataFrame, words: bool) -> DataFrame:
     """One row per batch of documents: ids, compressed texts with their sizes, sizes and segments of the strings that are judged.
 
-    These are the texts and then, with ``words``, their codes.
+    These are the texts and then, with ``words``, their codes; all places in the latter are counted in codes.
     """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,8 +124,8 @@ def _segmented(rows: DataFrame, words: bool) -> DataFrame:
         zip_ = zstandard.ZstdCompressor(level=3)
         for i, batch in enumerate(batches(source, _BATCH_BYTES, "text")):
             data = [t or b"" for t in batch.column("text").to_pylist()]
-            judged = data + [word_codes(d) for d in data] if words else data
-            found = [(d, *s) for d, string in enumerate(judged) for s in segments(np.frombuffer(string, np.uint8))]
+            judged = [np.frombuffer(d, np.uint8) for d in data] + [np.frombuffer(word_codes(d), "<u8") for d in data if words]
+            found = [(d, *s) for d, string in enumerate(judged) for s in segments(string)]
             columns = list(zip(*found)) or [()] * 6
             yield pa.RecordBatch.from_arrays(
                 [
@@ -222,7 +223,7 @@ def _texts(row: dict) -> list[bytes]:
     return [whole[a:b] for a, b in zip([0, *ends], ends)]
 
 
-BIN = "bin long, salt int, spread boolean, batch long, doc int, start long, windows int, bytes binary"
+BIN = "bin long, salt int, spread boolean, coded boolean, batch long, doc int, start long, windows int, bytes binary"
 
 
 def _shipped(joined: DataFrame, buckets: int, bins: int) -> DataFrame:
@@ -243,13 +244,15 @@ def _shipped(joined: DataFrame, buckets: int, bins: int) -> DataFrame:
                 spread = salts > 1
                 bin_ = np.where(spread, key, (key.view(np.uint64) % np.uint64(bins)).astype(np.int64))
                 salt = np.where(spread, (digest.view(np.uint64) % np.maximum(salts, 1).astype(np.uint64)).astype(np.int64), 0)
-                data = [strings[d][s : s + c + LENGTH - 1] for d, s, c in zip(doc.tolist(), start.tolist(), count.tolist())]
+                coded = doc >= len(texts)
+                units = np.where(coded, CODE, 1).tolist()
+                data = [strings[d][s * u : (s + c - 1) * u + LENGTH] for d, s, c, u in zip(doc.tolist(), start.tolist(), count.tolist(), units)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(bin_), pa.array(salt.astype("i4")), pa.array(spread), pa.array([row["batch"]] * len(sent), pa.int64()),
+                        pa.array(bin_), pa.array(salt.astype("i4")), pa.array(spread), pa.array(coded), pa.array([row["batch"]] * len(sent), pa.int64()),
                         pa.array(doc.astype("i4")), pa.array(start.astype("i8")), pa.array(count.astype("i4")), pa.array(data, pa.binary()),
                     ],
-                    ["bin", "salt", "spread", "batch", "doc", "start", "windows", "bytes"],
+                    ["bin", "salt", "spread", "coded", "batch", "doc", "start", "windows", "bytes"],
                 )
 
     return joined.mapInArrow(run, BIN)
@@ -300,30 +303,30 @@ class Transform:
         return Transform(at, before, block)
 
 
-def repeated_windows(texts: list[bytes], shard: int = _SHARD_BYTES) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def repeated_windows(texts: list[bytes], shard: int = _SHARD_BYTES, unit: int = 1) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Of each text, which windows are found twice or more in all texts; with two 64-bit digests of all windows.
 
-    The digests are of the windows of all texts, one after the other.
+    The digests are of the windows of all texts, one after the other.  With ``unit`` = ``CODE`` the texts are codes.
     """
-    rounds = LENGTH // SYMBOL
-    sizes = np.array([len(t) for t in texts], np.int64)
-    hashes = [gram_hashes(np.frombuffer(t, np.uint8), SYMBOL) for t in texts]
+    rounds, length, symbol = LENGTH // SYMBOL, LENGTH // unit, SYMBOL // unit
+    sizes = np.array([len(t) // unit for t in texts], np.int64)
+    hashes = [gram_hashes(np.frombuffer(t, np.uint8 if unit == 1 else "<u8"), symbol) for t in texts]
     # Places: of each text its suffixes of a symbol or more, then an end for each of its strings.
-    suffixes = sizes - SYMBOL + 1
-    begin = np.cumsum(suffixes + SYMBOL) - suffixes - SYMBOL
-    total = int((suffixes + SYMBOL).sum())
-    inside = (np.arange(total) - np.repeat(begin, suffixes + SYMBOL)).astype(np.int32)
-    real = inside < np.repeat(suffixes, suffixes + SYMBOL)
+    suffixes = sizes - symbol + 1
+    begin = np.cumsum(suffixes + symbol) - suffixes - symbol
+    total = int((suffixes + symbol).sum())
+    inside = (np.arange(total) - np.repeat(begin, suffixes + symbol)).astype(np.int32)
+    real = inside < np.repeat(suffixes, suffixes + symbol)
     raw = np.zeros(total, np.uint64)
     raw[real] = np.concatenate(hashes)
     del hashes
     symbols = np.zeros(total, np.int32)
     symbols[real] = np.unique(raw[real], return_inverse=True)[1].astype(np.int32) + 1
     onward = np.arange(total, dtype=np.int32)
-    onward[real] += SYMBOL  # an end follows the last symbol of each string
+    onward[real] += symbol  # an end follows the last symbol of each string
     before = np.zeros(total, np.int32)
-    after = inside >= SYMBOL
-    before[after] = symbols[np.flatnonzero(after) - SYMBOL]
+    after = inside >= symbol
+    before[after] = symbols[np.flatnonzero(after) - symbol]
     cuts = [0]
     for i in range(1, len(texts)):
         if begin[i] - begin[cuts[-1]] >= shard:
@@ -335,12 +338,12 @@ def repeated_windows(texts: list[bytes], shard: int = _SHARD_BYTES) -> tuple[lis
     whole = shards[0]
     again = np.zeros(total, bool)
     again[whole.at] = np.bincount(whole.block)[whole.block] > 1
-    windows = np.maximum(sizes - LENGTH + 1, 0)
+    windows = np.maximum(sizes - length + 1, 0)
     starts = [np.arange(b, b + n) for b, n in zip(begin.tolist(), windows.tolist())]
     every = np.concatenate(starts)
     one, two = np.zeros(len(every), np.uint64), np.ones(len(every), np.uint64)
     for i in range(rounds):
-        part = raw[every + i * SYMBOL]
+        part = raw[every + i * symbol]
         one, two = mix(one * _STEP[1] + part), mix(two * _STEP[2] ^ part)
     return [again[s] for s in starts], one, two
 
@@ -364,11 +367,11 @@ def _by_batch(batch: np.ndarray, *columns: np.ndarray) -> tuple[list[int], list[
 MARKS = "batch long, marks binary, bucket int, one binary, two binary, refs binary"
 
 
-def _compare(buckets: int):
+def _compare(buckets: int, unit: int = 1):
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("batch", "ascending"), ("doc", "ascending"), ("start", "ascending")])
         batch, doc, start = (group.column(c).to_numpy() for c in ("batch", "doc", "start"))
-        again, one, two = repeated_windows(group.column("bytes").to_pylist())
+        again, one, two = repeated_windows(group.column("bytes").to_pylist(), unit=unit)
         marks = [(i, *_runs(a)) for i, a in enumerate(again)]
         which = np.repeat(np.arange(len(again)), [len(s) for _, s, _ in marks])
         at, count = (np.concatenate([m[j] for m in marks]) for j in (1, 2))
@@ -410,12 +413,12 @@ def _meet(group: pa.Table) -> pa.Table:
     return pa.table({"batch": pa.array(own, pa.int64()), "marks": pa.array(packed, pa.binary())})
 
 
-RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
+RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept binary, n_repeated_words long"
 SPANS = "id long, spans binary, codes binary"
 
 
 def _gone(row: dict, buckets: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Of each string of a batch: the id of its document, its size, and which bytes of it go."""
+    """Of each string of a batch: the id of its document, its size, and which bytes (or codes) of it go."""
     state, _ = _states(row, buckets)
     whole = (state == _REPEATED) | (state == _SAMPLE)
     spans = np.stack([_ints(row[c])[whole] for c in ("doc", "start", "count")], 1)
@@ -424,25 +427,28 @@ def _gone(row: dict, buckets: int) -> Iterator[tuple[int, int, np.ndarray]]:
     first = np.cumsum(sizes) - sizes
     edges = np.zeros(int(sizes.sum()) + 1, np.int32)
     np.add.at(edges, first[spans[:, 0]] + spans[:, 1], 1)
-    np.add.at(edges, first[spans[:, 0]] + spans[:, 1] + spans[:, 2] + LENGTH - 1, -1)
+    length = np.where(spans[:, 0] < len(row["id"]), LENGTH, LENGTH // CODE)
+    np.add.at(edges, first[spans[:, 0]] + spans[:, 1] + spans[:, 2] + length - 1, -1)
     gone = np.cumsum(edges[:-1]) > 0
     for i, f, n in zip(row["id"] * 2, first.tolist(), sizes.tolist()):
         yield i, n, gone[f : f + n]
 
 
 def _removed(joined: DataFrame, buckets: int) -> DataFrame:
-    """What is left of every document."""
+    """What is left of every document, and the number of its repeated words (null where words were not judged)."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for row in batch.to_pylist():
                 out = []
-                for (i, n, own), text in zip(_gone(row, buckets), _texts(row)):
+                gone, texts = list(_gone(row, buckets)), _texts(row)
+                coded = [int(own.sum()) for _, _, own in gone[len(texts) :]] or [None] * len(texts)
+                for (i, n, own), text, again in zip(gone, texts, coded):
                     kept = text if not own.any() else np.frombuffer(text, np.uint8)[~own].tobytes()
-                    out.append((i, n, n - len(kept), len(_runs(own)[0]), kept))
-                columns = list(zip(*out)) or [()] * 5
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
+                    out.append((i, n, n - len(kept), len(_runs(own)[0]), kept, again))
+                columns = list(zip(*out)) or [()] * 6
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "n_bytes", "n_removed", "n_spans", "kept", "n_repeated_words"])
 
     return joined.mapInArrow(run, RESULT)
 
@@ -474,25 +480,33 @@ def _judged(docs: DataFrame, id_column: str, words: bool = False) -> tuple[DataF
     # Hex digits of states 2 and 3, roughly: only the number of bins follows from it.
     bins = max(1, int(met.agg(F.sum(compared)).head()[0] or 0) // 2 * (LENGTH + GRAM) // _BIN_BYTES)
     open_ = _shipped(shipping, buckets, bins)
-    marks = materialize(open_.groupBy("bin", "salt", "spread").applyInArrow(_compare(buckets), MARKS), "suffix-marks")
+
+    def compare(group: pa.Table) -> pa.Table:
+        return _compare(buckets, CODE if group.column("coded")[0].as_py() else 1)(group)
+
+    marks = materialize(open_.groupBy("bin", "salt", "spread", "coded").applyInArrow(compare, MARKS), "suffix-marks")
     across = marks.where("bucket is not null").groupBy("bucket").applyInArrow(_meet, "batch long, marks binary")
     found = marks.where("marks is not null").select("batch", "marks").unionAll(across)
     per_batch = found.groupBy("batch").agg(F.collect_list("marks").alias("marks"))
     return batched.join(met, "batch", "left").join(per_batch, "batch", "left"), buckets
 
 
-def strip(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+def strip(docs: DataFrame, id_column: str = "doc_id", words: bool = False) -> DataFrame:
     """``id, n_bytes, n_removed, n_spans, kept`` of every document: ``kept`` are the bytes left, as one string.
 
     Texts are UTF-8 bytes, null ones empty; strings never cross documents and are judged on the input, so every copy of a
     repeated string goes, the first as well.  Texts shorter than ``LENGTH`` stay whole.  Repeated rows and null ids are
     documents of their own.  Other columns are ignored.
+
+    With ``words``, ``n_repeated_words`` follows: how many of a document's words (cut at ASCII white space) stand in runs of
+    ``LENGTH`` / ``CODE`` words that also start anywhere else, however few bytes they have.  It changes nothing of what is removed.
     """
-    return _removed(*_judged(docs, id_column))
+    left = _removed(*_judged(docs, id_column, words))
+    return left if words else left.drop("n_repeated_words")
 
 
 def _cut(texts: pd.Series, spans: pd.Series, codes: pd.Series) -> pd.Series:
-    """Texts without their spans of bytes and without the words whose whole code goes; white space around cut words stays."""
+    """Texts without their spans of bytes and their runs of words; white space around cut words stays."""
     out = []
     for text, cut, coded in zip(texts, spans, codes):
         data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
@@ -502,9 +516,7 @@ def _cut(texts: pd.Series, spans: pd.Series, codes: pd.Series) -> pd.Series:
         if coded is not None:
             starts, ends, _ = word_hashes(data)
             for start, size in _ints(coded).reshape(-1, 2).tolist():
-                first, last = -(-start // CODE), (start + size) // CODE
-                if first < last:
-                    left[starts[first] : ends[last - 1]] = False
+                left[starts[start] : ends[start + size - 1]] = False
         out.append(data[left].tobytes().decode("utf-8", "ignore"))
     return pd.Series(out, dtype=object)
 

@@ -185,6 +185,45 @@ def test_clean_by_words(nasty, nasty_rows, spark, empty):
     assert suffix_dedup.clean(empty, words=True).collect() == []
 
 
+def repeated_words(rows):
+    """Words that stand in runs of 50 words found twice, by plain counting."""
+    words = [re.findall(rb"[^\x20\x09-\x0D]+", (r[1] or "").encode()) for r in rows]
+    runs = Counter(tuple(w[i : i + 50]) for w in words for i in range(len(w) - 49))
+    return [len({j for i in range(len(w) - 49) if runs[tuple(w[i : i + 50])] > 1 for j in range(i, i + 50)}) for w in words]
+
+
+def test_strip_counts_repeated_words(nasty_rows, spark, empty):
+    rng = random.Random(12)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(4)) for _ in range(n))
+
+    passage, less, inner = prose(53), prose(49), prose(60)
+    rows = [(r[0], r[1]) for r in nasty_rows] + list(enumerate([
+        f"{prose(40)} {passage}", f"{passage.replace(' ', chr(10))} {prose(9)}", f"{less} {prose(30)}", f"{prose(30)} {less}", f"{inner} é {inner}", prose(90), "again " * 80,
+    ], 3000))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts = repeated_words(rows)
+    assert counts[-7:] == [53, 53, 0, 0, 120, 0, 80]
+    got = [(*r[:4], bytes(r[4]), r["n_repeated_words"]) for r in suffix_dedup.strip(docs, words=True).collect()]
+    assert sorted(map(repr, got)) == sorted(repr((*w, n)) for w, n in zip(stripped(rows), counts))
+    assert suffix_dedup.strip(empty, words=True).collect() == []
+
+
+def test_op5_shows_passages_of_over_50_words(spark, tmp_path):
+    from hostlens.llm.queries import QUERIES
+
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 6))) for _ in range(900)]
+    passage = " ".join(words[:53])
+    assert len(passage) < 400
+    texts = [f"{' '.join(words[100:190])} {passage} end", f"{passage} {' '.join(words[200:290])}", " ".join(words[300:420])]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r["doc_id"]: r for r in QUERIES["op5_merged_suffix_dedup"](spark, str(tmp_path)).collect()}
+    assert {i: r["n_repeated_words"] for i, r in rows.items()} == {0: 53, 1: 53, 2: 0}
+    assert all(r["n_removed"] == 0 and r["n_bytes"] == len(texts[i]) for i, r in rows.items())  # 400 bytes bind what is removed
+
+
 def test_pipeline_cuts_passages_of_over_50_words(spark):
     import corpus_pipeline
 
