@@ -3,13 +3,16 @@
 A text is the set of its hashed n-grams.  Two sets of similarity t or more share a token within the first
 |x| - ceil(t |x|) + 1 tokens of each, under any global order; so candidates must share one under every order used:
 
-- *rarest first*, over the whole corpus.  Tokens with a hash in the lowest quarter come before all others, ordered by how many
-  documents hold them; so only they are counted, and a document sends just its lowest hashes.  A prefix without any
-  token that another document holds ends the search for its document.
+- *rarest first*, over the whole corpus.  The more text there is, the more single tokens are shared by chance; so here a set is read as
+  *parts*: the range of hashes is cut into equal parts, fixed for a class of sizes, and the tokens that a set has in one make an element.
+  Two sets with d tokens of their own differ in d parts at most, so they share one of the first d + 1 of each.  Parts of ``_HELD``
+  tokens or more come first, ordered by how many documents hold them; only they are counted, and of the others a document sends no more
+  than a prefix takes.  Small sets, and similarities at which a part would hold too few tokens, are read by single tokens, those with
+  a hash in the lowest quarter first.  A prefix without any element that another document holds ends the search for its document.
 - within a task, rarest first over all tokens of the sets at hand, then by bands of rarity with other ties, then by hash.
 
-Documents with equal sets form one class.  Classes that share a prefix token are dealt to families (components of the
-graph class - first class of each token's list), so every candidate pair lies in one family.  A family of many tokens is cut
+Documents with equal sets form one class.  Classes that share an element of that order are dealt to families (components of the
+graph class - first class of each element's list), so every candidate pair lies in one family.  A family of many tokens is cut
 into blocks, and each pair of blocks is a task of bounded size.  Tasks hold sets, filter and verify all pairs, and return per class how many documents it is linked
 with, and a spanning forest of links, never pairs.  Components of the forest and the sums of the numbers are the result.
 Where only components are asked for, pairs already connected are skipped.
@@ -25,15 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostlens.llm.common import Stages, batches, discard, materialize
 from hostlens.llm.components import components
 
 _BATCH_BYTES = 2 << 20
-#: Tokens with hashes below it are counted over the corpus: a quarter of all.
+#: Elements below it are counted over the corpus: a quarter of all tokens, and the parts of ``_HELD`` tokens or more.
 _COUNTED = np.uint64(1 << 62)
+#: Parts for each that a prefix takes at most; tokens of a part that is counted; size up to which sets are read by single tokens.
+_SLACK, _HELD, _SINGLE = 1.25, 2, 63
+#: Bytes of an element that are sent to be counted: equal ones by chance only lengthen a list.
+_SENT = 5
 _TOKENS_PER_BUCKET = 1_000_000
 #: Tokens of the sets in a block of a family.
 BLOCK_TOKENS = 1_000_000
@@ -47,14 +54,63 @@ def prefix_size(n: np.ndarray | int, percent: int):
     return np.where(np.asarray(n) > 0, n + (-percent * np.asarray(n)) // 100 + 1, 0)
 
 
-def _heads(texts: list[str], n: int, percent: int) -> tuple[list[np.ndarray], list[bytes], list[np.ndarray]]:
-    """Sets, their digests, and of each the counted tokens, or as many of the lowest as a prefix takes."""
+def parts_of(largest: int, percent: int) -> int:
+    """Parts of the sets of a class of sizes up to ``largest``; 0 if they are read by single tokens."""
+    parts = int(np.ceil(_SLACK * (2 * largest * (100 - percent) // (100 + percent) + 1)))
+    return parts if largest > _SINGLE and largest >= 2 * _SLACK * parts else 0
+
+
+def heads_of(tokens: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]:
+    """The counted elements of a set, or as many of the lowest as a prefix takes, and the size of the prefix.
+
+    There is a list for each class of sizes (a power of two to the next) that sets of similarity ``percent`` / 100 or more and no
+    fewer tokens lie in; two sets meet in that of the larger.  The classes read by single tokens have one list together.
+    """
+    from hostlens.llm.words import mix
+
+    n, out, single = len(tokens), [], False
+    largest = 100 * n // percent
+    mixed = None
+    for k in range(n.bit_length() - 1, largest.bit_length()) if n else ():
+        last = (2 << k) - 1
+        parts = parts_of(last, percent)
+        if not parts:
+            single = True
+            continue
+        room = (n + min(largest, last)) * (100 - percent) // (100 + percent) + 1
+        mixed = mix(tokens ^ _COUNTED) if mixed is None else mixed
+        part = ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        held = np.diff(np.r_[starts, n])
+        found = mix(np.add.reduceat(mixed, starts) + np.uint64(k)) >> np.uint64(2)
+        found |= np.maximum(_HELD - held, 0).astype(np.uint64) << np.uint64(62)
+        if len(found) < room:  # parts without tokens come last
+            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part)
+            found = np.r_[found, mix(empty + np.uint64(parts << 32)) | np.uint64(3 << 62)]
+        found.sort()
+        out.append((found[: max(int(np.searchsorted(found, _COUNTED)), room)], room))
+    if single:
+        room = int(prefix_size(n, percent))
+        out.append((tokens[: max(int(np.searchsorted(tokens, _COUNTED)), room)], room))
+    return out
+
+
+def _sets(texts: list[str], n: int) -> tuple[list[np.ndarray], list[bytes]]:
+    """Sets and their digests."""
     from hostlens.llm.words import shingle_sets
 
     sets = shingle_sets(texts, n)
-    keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
-    heads = [x[: max(int(np.searchsorted(x, _COUNTED)), int(prefix_size(len(x), percent)))] for x in sets]
-    return sets, keys, heads
+    return sets, [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
+
+
+def _packed(tokens: np.ndarray) -> bytes:
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_SENT].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // _SENT, 8), np.uint8)
+    out[:, :_SENT] = np.frombuffer(data, np.uint8).reshape(-1, _SENT)
+    return out.view("<u8").ravel()
 
 
 def _by_bucket(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -69,44 +125,44 @@ def _by_bucket(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray
 
 
 def digest(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """One row per batch of documents: ids, text keys, set sizes, set digests and head tokens."""
+    """One row per batch of documents: ids, text keys, set sizes, set digests, and their lists: documents, prefixes, sizes and elements."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId() << 32
         for i, batch in enumerate(batches(source, _BATCH_BYTES, "text")):
-            sets, keys, heads = _heads([t or "" for t in batch.column("text").to_pylist()], n, percent)
+            sets, keys = _sets([t or "" for t in batch.column("text").to_pylist()], n)
+            heads = [(d, *x) for d, tokens in enumerate(sets) for x in heads_of(tokens, percent)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([task + i], pa.int64()), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                     pa.array([batch.column("tk").to_pylist()], pa.list_(pa.int64())), pa.array([[len(x) for x in sets]], pa.list_(pa.int64())),
-                    pa.array([keys], pa.list_(pa.binary())), pa.array([np.array([len(x) for x in heads], "<i4").tobytes()], pa.binary()),
-                    pa.array([b"".join(x.tobytes() for x in heads)], pa.binary()),
+                    pa.array([keys], pa.list_(pa.binary())),
+                    *[pa.array([np.array(c, "<i4").tobytes()], pa.binary()) for c in ([d for d, _, _ in heads], [room for _, _, room in heads], [len(x) for _, x, _ in heads])],
+                    pa.array([b"".join(x.tobytes() for _, x, _ in heads)], pa.binary()),
                 ],
-                ["batch", "doc_id", "tk", "n", "cid", "sizes", "tokens"],
+                ["batch", "doc_id", "tk", "n", "cid", "docs", "rooms", "sizes", "tokens"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("tk"))
-    return rows.mapInArrow(run, "batch long, doc_id array<long>, tk array<long>, n array<long>, cid array<binary>, sizes binary, tokens binary")
+    return rows.mapInArrow(run, "batch long, doc_id array<long>, tk array<long>, n array<long>, cid array<binary>, docs binary, rooms binary, sizes binary, tokens binary")
 
 
 def text_key():
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def _distinct_heads(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the batch's classes, the sizes of their heads, and their tokens."""
+def _distinct_heads(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the lists of the batch's classes: the places of their documents, their prefixes and sizes, and their elements."""
     places: dict[bytes, int] = {}
     for i, cid in enumerate(row["cid"]):
         places.setdefault(cid, i)
-    first = np.array(list(places.values()), np.int64)
-    sizes = np.frombuffer(row["sizes"], "<i4").astype(np.int64)
-    starts = np.cumsum(sizes) - sizes
-    own = sizes[first]
-    ends = np.cumsum(own)
-    at = np.arange(int(own.sum())) + np.repeat(starts[first] - ends + own, own)
-    return first, own, np.frombuffer(row["tokens"], "<u8")[at]
+    first = np.zeros(len(row["cid"]), bool)
+    first[list(places.values())] = True
+    docs, rooms, sizes = (np.frombuffer(row[c], "<i4").astype(np.int64) for c in ("docs", "rooms", "sizes"))
+    own = first[docs]
+    return docs[own], rooms[own], sizes[own], np.frombuffer(row["tokens"], "<u8")[np.repeat(own, sizes)]
 
 
 def frequencies(heads: DataFrame, buckets: int) -> DataFrame:
@@ -115,19 +171,19 @@ def frequencies(heads: DataFrame, buckets: int) -> DataFrame:
     def send(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for row in batch.to_pylist():
-                tokens, count, edges, _ = _by_bucket(_distinct_heads(row)[2], buckets)
+                tokens, count, edges, _ = _by_bucket(_distinct_heads(row)[3], buckets)
                 own = [i for i in range(buckets) if edges[i] < edges[i + 1]]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(own, pa.int32()), pa.array([row["batch"]] * len(own), pa.int64()),
-                        pa.array([tokens[edges[i] : edges[i + 1]].tobytes() for i in own], pa.binary()),
+                        pa.array([_packed(tokens[edges[i] : edges[i + 1]]) for i in own], pa.binary()),
                         pa.array([np.minimum(count[edges[i] : edges[i + 1]], _MOST).astype("<u2").tobytes() for i in own], pa.binary()),
                     ],
                     ["bucket", "batch", "tokens", "counts"],
                 )
 
     def answer(group: pa.Table) -> pa.Table:
-        tokens = [np.frombuffer(x, "<u8") for x in group.column("tokens").to_pylist()]
+        tokens = [_unpacked(x) for x in group.column("tokens").to_pylist()]
         counts = np.concatenate([np.frombuffer(x, "<u2") for x in group.column("counts").to_pylist()])
         distinct, which = np.unique(np.concatenate(tokens), return_inverse=True)
         total = np.bincount(which, weights=counts, minlength=len(distinct))
@@ -135,37 +191,37 @@ def frequencies(heads: DataFrame, buckets: int) -> DataFrame:
         edges = np.cumsum([len(x) for x in tokens])[:-1]
         return pa.table({"batch": group.column("batch"), "bucket": group.column("bucket"), "found": pa.array([x.tobytes() for x in np.split(found, edges)], pa.binary())})
 
-    sent = heads.select("batch", "cid", "sizes", "tokens").mapInArrow(send, "bucket int, batch long, tokens binary, counts binary")
+    sent = heads.select("batch", "cid", "docs", "rooms", "sizes", "tokens").mapInArrow(send, "bucket int, batch long, tokens binary, counts binary")
     answers = sent.groupBy("bucket").applyInArrow(answer, "batch long, bucket int, found binary")
     return answers.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("bucket", "found"))).alias("found"))
 
 
-def postings(heads: DataFrame, found: DataFrame, buckets: int, percent: int) -> DataFrame:
-    """``token, cid, tk, n``: prefix tokens that several documents hold, with the classes that have them in their prefix."""
+def postings(heads: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
+    """``token, cid, tk, n``: elements of prefixes that several documents hold, with the classes that have them in a prefix."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for row in batch.to_pylist():
-                first, sizes, tokens = _distinct_heads(row)
+                docs, rooms, sizes, tokens = _distinct_heads(row)
                 _, _, edges, place = _by_bucket(tokens, buckets)
                 counts = np.zeros(edges[-1], np.int64)
                 for x in row["found"]:
                     counts[edges[x["bucket"]] : edges[x["bucket"] + 1]] = np.frombuffer(x["found"], "<u2")
                 count = counts[place]
-                n = np.array(row["n"], np.int64)[first]
-                doc = np.repeat(np.arange(len(first)), sizes)
+                which = np.repeat(np.arange(len(docs)), sizes)
                 late = tokens >= _COUNTED
-                order = np.lexsort((tokens, np.where(late, 0, count), late, doc))
+                order = np.lexsort((tokens, np.where(late, 0, count), late, which))
                 rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                keep = order[(rank < prefix_size(n, percent)[doc]) & (count[order] > 1)]
-                raw = [row["cid"][i] for i in first[doc[keep]].tolist()]
-                tk = np.array(row["tk"], np.int64)[first[doc[keep]]]
+                keep = order[(rank < rooms[which]) & (count[order] > 1)]
+                doc = docs[which[keep]]
+                raw = [row["cid"][i] for i in doc.tolist()]
+                tk, n = (np.array(row[c], np.int64)[doc] for c in ("tk", "n"))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(tokens[keep].astype(np.int64)), pa.array(raw, pa.binary()), pa.array(tk, pa.int64()), pa.array(n[doc[keep]], pa.int64())],
+                    [pa.array(tokens[keep].astype(np.int64)), pa.array(raw, pa.binary()), pa.array(tk, pa.int64()), pa.array(n, pa.int64())],
                     ["token", "cid", "tk", "n"],
                 )
 
-    rows = heads.select("batch", "tk", "n", "cid", "sizes", "tokens").join(found, "batch")
+    rows = heads.select("batch", "tk", "n", "cid", "docs", "rooms", "sizes", "tokens").join(found, "batch")
     return rows.mapInArrow(run, "token long, cid binary, tk long, n long")
 
 
@@ -278,7 +334,7 @@ def links(docs: DataFrame, heads: DataFrame, n: int, percent: int, counted: bool
     of other classes a task found ``a`` linked with."""
     total = heads.agg(F.sum(F.length("tokens"))).head()[0] or 0
     buckets = max(1, -(-int(total) // (8 * _TOKENS_PER_BUCKET)))
-    posted = materialize(postings(heads, frequencies(heads, buckets), buckets, percent), "join-postings")
+    posted = materialize(postings(heads, frequencies(heads, buckets), buckets), "join-postings")
     lists = posted.groupBy("token").agg(F.min("cid").alias("leader"), F.max("cid").alias("other")).where("leader <> other").select("token", "leader")
     stars = posted.join(lists, "token").where("cid <> leader").select(F.col("cid").alias("a"), F.col("leader").alias("b")).distinct()
     family = components(stars)
@@ -298,7 +354,7 @@ def links(docs: DataFrame, heads: DataFrame, n: int, percent: int, counted: bool
             if not fresh:
                 continue
             batch = batch.take(pa.array(fresh))
-            sets, keys, _ = _heads([t or "" for t in batch.column("text").to_pylist()], n, percent)
+            sets, keys = _sets([t or "" for t in batch.column("text").to_pylist()], n)
             right = [i for i, c in enumerate(batch.column("cid").to_pylist()) if c == keys[i]]
             out = batch.select(["cid", "copies", "family", "blocks", "block"]).take(pa.array(right, pa.int64()))
             yield out.append_column("tokens", pa.array([sets[i].tobytes() for i in right], pa.binary()))
@@ -341,6 +397,11 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, counted: bool = True
     return whole.select(columns).unionAll(alone.select(columns))
 
 
+def same_id(column: Column) -> list[Column]:
+    """Two columns without nulls that are equal where ids are equal or both are null."""
+    return [column.isNull().alias("no_id"), F.coalesce(column, F.lit(0)).alias("id")]
+
+
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` less near duplicates: of each component the row of the smallest id, of its texts any one.
 
@@ -349,8 +410,8 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     with Stages() as own:
         found = similar(docs, n, percent, counted=False)
         linked_rows = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "tk")).alias("first"))
-        keepers = own.result(linked_rows.select(F.col("first.doc_id").alias("id"), F.col("first.tk").alias("tk")), "join-keepers")
-    nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("id"), text_key().alias("tk"), F.col("text").rlike(r"[^\x20\x09-\x0D]").alias("worded"))
-    same = nested["id"].eqNullSafe(keepers["id"]) & (nested["tk"] == keepers["tk"])
-    once = nested.where("worded").join(keepers, same, "left_semi").dropDuplicates(["id", "tk"])
+        keepers = own.result(linked_rows.select(*same_id(F.col("first.doc_id")), F.col("first.tk").alias("tk")), "join-keepers")
+    nested = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *same_id(F.col("doc_id").cast("long")), text_key().alias("tk"), F.col("text").rlike(r"[^\x20\x09-\x0D]").alias("worded"))
+    key = ["no_id", "id", "tk"]  # without nulls, so that the join and the duplicates after it need one shuffle
+    once = nested.where("worded").join(keepers, key, "left_semi").dropDuplicates(key)
     return once.select("doc.*").unionAll(nested.where("worded is null or not worded").select("doc.*"))
